@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substring
+from . import packing, simhash, substring, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -50,3 +50,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives in segments and read back."""
+    path = warc.archive_path(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.digests(warc.read_archive(spark, path)).drop("error")
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS low FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN low <> page_id THEN low END AS refers_to FROM r
+"""
