@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substring, warc
+from . import packing, quality, secrets, simhash, substring, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,40 @@ r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN low <> page_id THEN low END AS refers_to FROM r
 """
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdicts of all documents. No SQL: expectation-maximisation is iterative."""
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_quality.*")
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, each distinct content scanned once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.findings(docs, secrets.scan(docs))
+    spans = F.col("_spans")
+    base = [r.kind for r in secrets.BASE]
+
+    def n(kind: str):
+        return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(secrets.rendered(F.filter(spans, lambda s: s.kind.isin(base))), 256)
+    return out.select("doc_id", *map(n, base), digest.alias("base_sha256"), secrets.rendered(spans).alias("spans"))
+
+
+def _oracle_spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, pos - length(hit) AS start, pos AS stop FROM (
+  SELECT doc_id, hit, part, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM (
+    SELECT doc_id, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(parts) AS part, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT doc_id, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS hits, regexp_extract_all(text, {p}, {group}) AS parts FROM d)))
+  WHERE length(part) >= {least}"""
+
+
+ORACLES["op4_secrets"] = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\ns AS (" + "\nUNION ALL ".join(_oracle_spans(r.kind, i, r.pattern.replace("1,20000", "1,1000"), r.group, r.least) for i, r in enumerate(secrets.RULES)) + """)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
