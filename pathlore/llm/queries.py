@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash, substring, warc
-from .common import table
+from . import langid, packing, quality, secrets, simhash, substring, warc
+from .common import held_out, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,11 @@ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from two thirds of the ids. No SQL: it has no compressor."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    dictionaries = langid.learn(langid.sample(docs.where(~F.col("held_out")).select("lang", "text")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), dictionaries)
