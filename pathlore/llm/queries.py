@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, simhash, substring, warc
+from . import decontam, langid, packing, quality, secrets, simhash, substring, warc
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -111,3 +111,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
     dictionaries = langid.learn(langid.sample(docs.where(~F.col("held_out")).select("lang", "text")))
     return langid.predict(docs.select("doc_id", "held_out", "text"), dictionaries)
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contaminated pairs of documents and benchmark items. No SQL: templates need look-behind over words; tested by brute force."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
