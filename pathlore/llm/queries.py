@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, secrets, simhash, substring, warc
+from . import decontam, langid, packing, quality, secrets, simhash, substring, urlfilter, warc
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -117,3 +117,43 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contaminated pairs of documents and benchmark items. No SQL: templates need look-behind over words; tested by brute force."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a dated list.
+
+    The tables have neither fetch times nor lists, so both are derived by rule: a page is fetched
+    on day page_id mod 365; of the distinct hosts and their parent domains, those whose MD5 begins
+    with 0-3 are listed (block) on day (second digit) * 12, and removed 100 days later where the
+    third digit is below 8; those that begin with 4 are allowed from day 0.
+    """
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (F.col("page_id") % 365).alias("fetched_at"))
+    hosts = captures.select(urlfilter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    domains = hosts.select(F.explode(F.array("host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))).alias("domain")).where("domain != ''").distinct()
+    h = F.md5("domain")
+
+    def digit(i: int):
+        return F.conv(F.substring(h, i, 1), 16, 10).cast("long")
+
+    block = F.struct((digit(2) * 12).alias("listed_at"), F.lit("block").alias("action"))
+    remove = F.struct((digit(2) * 12 + 100).alias("listed_at"), F.lit("remove").alias("action"))
+    allow = F.struct(F.lit(0).cast("long").alias("listed_at"), F.lit("allow").alias("action"))
+    none = F.array().cast("array<struct<listed_at:bigint,action:string>>")
+    listed = F.when(digit(1) == 4, F.array(allow)).when((digit(1) < 4) & (digit(3) < 8), F.array(block, remove)).when(digit(1) < 4, F.array(block)).otherwise(none)
+    events = domains.select("domain", F.explode(listed).alias("e")).select("domain", "e.*")
+    return urlfilter.verdicts(captures, events).select("page_id", "fetched_at", "matched_domain", "list_action", "listed_at", "blocked")
+
+
+ORACLES["op8_urls"] = r"""
+WITH c AS (SELECT page_id, page_id % 365 AS fetched_at, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host FROM pages),
+d AS (SELECT DISTINCT domain FROM (SELECT host AS domain FROM c UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c) WHERE domain <> ''),
+x AS (SELECT domain, ('0x' || md5(domain)[1])::BIGINT AS a, ('0x' || md5(domain)[2])::BIGINT AS b, ('0x' || md5(domain)[3])::BIGINT AS e FROM d),
+iv AS (SELECT domain, 'allow' AS action, 0 AS f, NULL AS t FROM x WHERE a = 4
+  UNION ALL SELECT domain, 'block', b * 12, CASE WHEN e < 8 THEN b * 12 + 100 END FROM x WHERE a < 4),
+m AS (SELECT c.page_id, iv.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(iv.domain) DESC) AS rn FROM c JOIN iv
+  ON (c.host = iv.domain OR ends_with(c.host, '.' || iv.domain)) AND f <= fetched_at AND (t IS NULL OR fetched_at < t))
+SELECT c.page_id, c.fetched_at, m.domain AS matched_domain, m.action AS list_action, CAST(m.f AS BIGINT) AS listed_at, coalesce(m.action = 'block', false) AS blocked
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.rn = 1
+"""
