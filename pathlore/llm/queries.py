@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, secrets, simhash, substring, urlfilter, warc
+from . import decontam, langid, packing, quality, secrets, simhash, substring, toxicity, urlfilter, warc
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -157,3 +157,12 @@ m AS (SELECT c.page_id, iv.*, row_number() OVER (PARTITION BY c.page_id ORDER BY
 SELECT c.page_id, c.fetched_at, m.domain AS matched_domain, m.action AS list_action, CAST(m.f AS BIGINT) AS listed_at, coalesce(m.action = 'block', false) AS blocked
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.rn = 1
 """
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from four fifths of the ids. No SQL: models are iterative."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.fit(docs.where(~F.col("held_out")).select("doc_id", "text"), labels)
+    return toxicity.score(docs.select("doc_id", "held_out", "text"), model)
