@@ -16,3 +16,8 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Registers the queries of this library."""
+    from pathlore.plans import queries  # noqa: F401
