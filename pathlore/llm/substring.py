@@ -10,7 +10,8 @@ one row for each batch. No longer level can remove more than the
 windows of ``window`` words do, so doubling ends there.
 
 A window's place is (doc_id, start); each word covered by a window whose sequence has an earlier
-place is removed. Sequences are compared by 128 bits of hash.
+place is removed. Sequences are compared by 120 bits of hash (64 of the anchor, 56 of the window) and the anchor's
+offset. ``window`` is 510 at most.
 
 Nulls: a null text has no words. A null id counts as before all others. Rows with equal id and text
 are judged alike: the windows of each of them have no earlier place than those of the others, so
@@ -32,6 +33,8 @@ WINDOW = 20
 #: Text bytes that are folded at once.
 FOLD_BYTES = 12 << 20
 _LOW = np.iinfo(np.int64).min
+#: Low bits of a window's hash that hold how far its anchor lies behind its begin; windows of up to twice as many words.
+_OFFSET = 255
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,11 +67,9 @@ class Batch:
         self.anchor = sliding_low(self.part, window - half + 1)[self.at] if len(self.at) else self.at
         self.anchor_hash = self.part[self.anchor].view(np.int64)
 
-    def full(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for the windows that begin at flat positions."""
-        a = rolling(self.hash, self.window)
-        b = rolling(self.hash * _SALT ^ (self.hash >> np.uint64(17)), self.window)
-        return a[at].view(np.int64), b[at].view(np.int64)
+    def full(self, at: np.ndarray) -> np.ndarray:
+        """Second hash of the windows that begin at flat positions, beside their anchors'."""
+        return rolling(self.hash * _SALT ^ (self.hash >> np.uint64(17)), self.window)[at].view(np.int64)
 
     def split(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ranges, cut where a document ends."""
@@ -133,7 +134,7 @@ def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, ranges): each document's word ranges to remove, as an array of (begin, end); they may overlap."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(one, two, id, begin, end): a batch's earliest place of each extended window (end null), and ranges of its later places."""
+        """(h, id, at, end, w): a batch's earliest places of extended windows, as one row for each anchor's place, and ranges of its later places (w null)."""
         for s in slices(batches, "text", FOLD_BYTES):
             b = Batch(s, window)
             known = np.unique(s.column("h").flatten().to_numpy())
@@ -141,24 +142,31 @@ def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             if not len(at):
                 continue
             ids, start = b.ids[b.owner[at]], at - b.offsets[b.owner[at]]
-            one, two = b.full(at)
-            first, later = _first(one, two, ids, start)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (one, two, ids, start)), pa.nulls(len(first), pa.int64())], _NAMES)
+            anchor = b.anchor[np.searchsorted(b.at, at)]
+            h, own = b.part[anchor].view(np.int64), b.full(at) & ~np.int64(_OFFSET) | (anchor - at)
+            first, later = _first(h, own, ids, start)
+            first = np.sort(first)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(anchor[first])) + 1, [len(first)]])
+            lead, low = first[cut[:-1]], anchor[first[cut[:-1]]]
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(own[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[lead]), pa.array(ids[lead]), pa.array(low - b.offsets[b.owner[low]]), pa.nulls(len(lead), pa.int64()), lists], _NAMES)
             if later.any():
                 mask = covered(int(b.offsets[-1]), at[later], at[later] + window)
                 begin, end = b.split(*runs(mask))
                 ids, start = b.ids[b.owner[begin]], begin - b.offsets[b.owner[begin]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids * 31 + start, start, ids, start, start + end - begin)], _NAMES)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ids * 31 + start, ids, start, start + end - begin)), pa.nulls(len(ids), pa.list_(pa.int64()))], _NAMES)
 
     anchors = repeated_anchors(texts, window)
     survivors = texts.join(anchors, "id", "left").select("id", F.when(F.col("h").isNotNull(), F.col("text")).alias("text"), F.coalesce("h", F.array().cast("array<bigint>")).alias("h"))
-    places = survivors.mapInArrow(extend, "one long, two long, id long, begin long, end long")
-    first = F.min(F.when(F.col("end").isNull(), F.struct("id", "begin"))).over(Window.partitionBy("one", "two"))
-    found = places.withColumn("first", first).where(F.col("end").isNotNull() | (F.struct("id", "begin") > F.col("first")))
+    places = survivors.mapInArrow(extend, "h long, id long, at long, end long, w array<long>").repartition("h")
+    # windows of one anchor lie in one partition, so they are unfolded behind the shuffle
+    single = places.select("h", "id", "at", "end", F.explode_outer("w").alias("w")).withColumn("begin", F.when(F.col("w").isNull(), F.col("at")).otherwise(F.col("at") - F.col("w").bitwiseAND(F.lit(_OFFSET))))
+    first = F.min(F.when(F.col("end").isNull(), F.struct("id", "begin"))).over(Window.partitionBy("h", "w"))
+    found = single.withColumn("first", first).where(F.col("end").isNotNull() | (F.struct("id", "begin") > F.col("first")))
     return found.groupBy("id").agg(F.collect_list(F.struct("begin", F.coalesce("end", F.col("begin") + window).alias("end"))).alias("ranges"))
 
 
-_NAMES = ["one", "two", "id", "begin", "end"]
+_NAMES = ["h", "id", "at", "end", "w"]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
