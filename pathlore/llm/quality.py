@@ -45,10 +45,10 @@ def votes(text: Column) -> Column:
         own = {
             "word_length": F.when((dense < 2 * n) | (dense > 15 * n), -1).when((dense >= 3 * n) & (dense <= 11 * n), 1).otherwise(0),
             "symbols": vote(c.symbols / n, 0.02, 0.1),
-            "letters": vote(c.letters / dense, 0.8, 0.6),
+            "letters": vote(c.letters / dense, 0.85, 0.7),
             "capitals": vote(c.capitals / F.greatest(c.letters, F.lit(1)), 0.2, 0.5),
             "exclaims": vote(c.exclaims / n, 0.05, 0.25),
-            "digits": vote(c.digits / dense, 0.15, 0.4),
+            "digits": vote(c.digits / dense, 0.1, 0.3),
             "brackets": vote(c.brackets / n, 0.02, 0.2),
             "wordless": vote(c.wordless / n, 0.05, 0.25),
         }
