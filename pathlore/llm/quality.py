@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import checkpoint
 from .native import count_of, let, words
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -32,42 +32,64 @@ SYMBOLS = r"[#*$%&|<>]"
 RULES = ["word_length", "symbols", "letters", "capitals", "exclaims", "digits", "brackets", "wordless"]
 
 
-def votes(text: Column) -> Column:
-    """Struct of each rule's vote. A rule abstains between its two bounds, and all do on texts without words."""
+#: What a text keeps for the counts of characters: all but white space and letters that aren't upper-case.
+_PLAIN = r"[a-z\x20\x09-\x0D\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+"
+_WORDLESS = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
+
+
+def facts(text: Column, window: int | None = WINDOW) -> Column:
+    """Struct of the counts that base figures and rules need, from one split and one reduction of the text.
+
+    Characters are counted in the short rest that remains once white space and plain letters are
+    gone. Without a window the base figures that only the base conditions need are left out.
+    """
+    whole = F.coalesce(text, F.lit(""))
+
+    def of_words(ws: Column) -> Column:
+        own = [F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars")]
+        return F.struct(*own, *([repeated_words(ws, window).alias("n_repeat_words")] if window else []))
+
+    def of_rest(rest: Column) -> Column:
+        return F.struct(
+            count_of(rest, SYMBOLS).alias("symbols"),
+            F.length(F.regexp_replace(rest, r"\p{Lu}+", "")).alias("others"),
+            count_of(rest, r"\p{Lu}").alias("capitals"),
+            count_of(rest, "!").alias("exclaims"),
+            count_of(rest, r"\p{N}").alias("digits"),
+            count_of(rest, r"[{}=;]").alias("brackets"),
+        )
+
+    def lines(ls: Column) -> Column:
+        def again(full: Column) -> Column:
+            return F.size(full) - F.size(F.array_distinct(full))
+
+        return F.when(F.size(ls) == F.size(F.array_distinct(ls)), 0).otherwise(let(F.filter(ls, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), again)).cast("long")
+
+    more = [let(F.split(whole, "\n"), lines).alias("n_dup_lines")] if window else []
+    rest = let(F.regexp_replace(whole, _PLAIN, ""), of_rest)
+    return F.struct(let(words(text), of_words).alias("w"), rest.alias("r"), F.regexp_count(whole, F.lit(_WORDLESS)).alias("wordless"), *more)
+
+
+def votes(f: Column) -> Column:
+    """Struct of each rule's vote from a text's facts. A rule abstains between its two bounds, and all do on texts without words."""
 
     def vote(value: Column, good: float, bad: float) -> Column:
         worse = value >= bad if bad > good else value <= bad
         better = value <= good if bad > good else value >= good
         return F.when(worse, -1).when(better, 1).otherwise(0)
 
-    def of(c: Column) -> Column:
-        dense, n = F.greatest(c.dense, F.lit(1)), c.gaps + 1
-        own = {
-            "word_length": F.when((dense < 2 * n) | (dense > 15 * n), -1).when((dense >= 3 * n) & (dense <= 11 * n), 1).otherwise(0),
-            "symbols": vote(c.symbols / n, 0.02, 0.1),
-            "letters": vote(c.letters / dense, 0.85, 0.7),
-            "capitals": vote(c.capitals / F.greatest(c.letters, F.lit(1)), 0.2, 0.5),
-            "exclaims": vote(c.exclaims / n, 0.05, 0.25),
-            "digits": vote(c.digits / dense, 0.1, 0.3),
-            "brackets": vote(c.brackets / n, 0.02, 0.2),
-            "wordless": vote(c.wordless / n, 0.05, 0.25),
-        }
-        return F.struct(*[F.when(c.dense == 0, 0).otherwise(own[k]).alias(k) for k in RULES])
-
-    def counts(t: Column) -> Column:
-        return F.struct(
-            F.length(F.regexp_replace(t, SPACE, "")).alias("dense"),
-            F.regexp_count(t, F.lit(SPACE)).alias("gaps"),
-            count_of(t, SYMBOLS).alias("symbols"),
-            F.length(F.regexp_replace(t, r"\P{L}+", "")).alias("letters"),
-            count_of(t, r"\p{Lu}").alias("capitals"),
-            (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).alias("exclaims"),
-            count_of(t, r"\p{N}").alias("digits"),
-            count_of(t, r"[{}=;]").alias("brackets"),
-            F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).alias("wordless"),
-        )
-
-    return let(counts(F.coalesce(text, F.lit(""))), of)
+    dense, n, letters = F.greatest(f.w.word_chars, F.lit(1)), F.greatest(f.w.n_words, F.lit(1)), f.w.word_chars - f.r.others
+    own = {
+        "word_length": F.when((dense < 2 * n) | (dense > 15 * n), -1).when((dense >= 3 * n) & (dense <= 11 * n), 1).otherwise(0),
+        "symbols": vote(f.r.symbols / n, 0.02, 0.1),
+        "letters": vote(letters / dense, 0.85, 0.7),
+        "capitals": vote(f.r.capitals / F.greatest(letters, F.lit(1)), 0.2, 0.5),
+        "exclaims": vote(f.r.exclaims / n, 0.05, 0.25),
+        "digits": vote(f.r.digits / dense, 0.1, 0.3),
+        "brackets": vote(f.r.brackets / n, 0.02, 0.2),
+        "wordless": vote(f.wordless / n, 0.05, 0.25),
+    }
+    return F.struct(*[F.when(f.w.n_words == 0, 0).otherwise(own[k]).alias(k) for k in RULES])
 
 
 #: A model: the share of good documents, and for good and for bad ones each rule's chances of (-1, 0, 1).
@@ -110,9 +132,9 @@ def posterior(pattern, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-700, min(700, odds))))
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model from all documents' votes."""
-    counts = docs.select(votes(F.col("text")).alias("v")).groupBy("v").count().collect()
+def fit(known: DataFrame) -> Model:
+    """The model from the votes of all rows (a column ``_facts``)."""
+    counts = known.select(votes(F.col("_facts")).alias("v")).groupBy("v").count().collect()
     return estimate(sorted((tuple(r[0]), r[1]) for r in counts), len(RULES))
 
 
@@ -150,46 +172,29 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(ws) <= window, 0).otherwise(windows(F.transform(ws, lambda w: F.xxhash64(w)), 1)).cast("long")
 
 
-def measures(text: Column) -> Column:
-    """Struct of the base figures of a text."""
-    whole = F.coalesce(text, F.lit(""))
-
-    def of(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words"))
-
-    def lines(ls: Column) -> Column:
-        return (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")
-
-    own = let(words(text), of)
+def verdict(f: Column, model: Model) -> Column:
+    """Struct of the base figures, base_failed, probability and kept."""
+    w, p = f.w, probability(votes(f), model)
+    failed = (w.n_words < MIN_WORDS) | (100 * w.n_repeat_words > REPEAT_PERCENT * w.n_words)
     return F.struct(
-        own.alias("w"),
-        F.length(F.regexp_replace(whole, SPACE, "")).cast("long").alias("word_chars"),
-        count_of(whole, SYMBOLS).alias("n_symbols"),
-        let(F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines).alias("n_dup_lines"),
+        w.n_words.alias("n_words"),
+        w.word_chars.alias("word_chars"),
+        f.r.symbols.alias("n_symbols"),
+        f.n_dup_lines.alias("n_dup_lines"),
+        w.n_repeat_words.alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        p.alias("probability"),
+        (~failed & (p >= 0.5)).alias("kept"),
     )
 
 
 def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with a struct column ``_quality``: the base figures, base_failed, probability and kept."""
-    model = model or fit(docs)
-
-    def of(x: Column) -> Column:
-        m = x.measures
-        failed = (m.w.n_words < MIN_WORDS) | (100 * m.w.n_repeat_words > REPEAT_PERCENT * m.w.n_words)
-        return F.struct(
-            m.w.n_words.alias("n_words"),
-            m.word_chars.alias("word_chars"),
-            m.n_symbols.alias("n_symbols"),
-            m.n_dup_lines.alias("n_dup_lines"),
-            m.w.n_repeat_words.alias("n_repeat_words"),
-            failed.alias("base_failed"),
-            x.p.alias("probability"),
-            (~failed & (x.p >= 0.5)).alias("kept"),
-        )
-
-    p = let(votes(F.col("text")), lambda v: probability(v, model))
-    return docs.withColumn("_quality", let(F.struct(measures(F.col("text")).alias("measures"), p.alias("p")), of))
+    """``docs`` less text, with a struct column ``_quality``. Texts are read once; their facts go through a checkpoint."""
+    known = checkpoint(docs.withColumn("_facts", facts(F.col("text"))).drop("text"))
+    return known.withColumn("_quality", verdict(F.col("_facts"), model or fit(known))).drop("_facts")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    return judged(docs).where("_quality.kept").drop("_quality")
+    """The rows of ``docs`` that are kept. Texts are read twice, so that none has to be written in between."""
+    model = fit(docs.select(facts(F.col("text"), None).alias("_facts")))
+    return docs.where(let(facts(F.col("text")), lambda f: verdict(f, model).kept))
