@@ -189,11 +189,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents less those of each component but the one with its smallest id (null ids stay)."""
-    out = near_duplicates(docs, **options)
-    return docs.join(out.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
