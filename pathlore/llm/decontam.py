@@ -3,11 +3,15 @@
 Words lose outer punctuation and case; a number, a unit after a number, and a capitalised word
 that does not begin a sentence become typed placeholders (slots). Windows of ``WINDOW`` template
 words of every document are joined by hash with those of the benchmark items (an item with fewer
-words is one window of its own length, if it has ``LEAST`` or more). A pair of document and item
-is contaminated if windows with ``COVERAGE`` of the item's windows match in one place, that is at
-one difference of positions, and the slots are consistent: each slot value of the item stands for
-one value of the document throughout, so a question with other numbers or names is caught, and
-a text whose slots don't line up is not. Windows of mostly placeholders aren't compared.
+words is one window of its own length, if it has ``LEAST`` or more), by their template words and by
+their plain words. Windows that match at one difference of positions and touch or overlap are a run.
+A run's slots must be consistent: each slot value of the item stands for one value of the document
+throughout, so a question with other numbers or names is caught, and a text whose slots don't line
+up is not. A pair of document and item is contaminated if a run has ``LONG`` words, or if runs in
+the same order in both, with consistent slots and positions shifted by no more than the item's
+length, hold ``COVERAGE`` of the item's words (rounded down), so words put in, left out or replaced
+between runs don't matter. Windows of mostly placeholders in the item aren't compared. A change
+within each ``WINDOW`` words leaves no run, and isn't found.
 
 The item windows' hashes go to the tasks as a filter only while there are at most
 ``FILTER_HASHES`` of them; with more, every window takes part in the join.
@@ -18,17 +22,22 @@ Repeated rows give one result. Empty tables give an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Words, slices, starts, string_hashes
+
 WINDOW, LEAST, COVERAGE = 8, 5, 0.5
+LONG = 13
 FILTER_HASHES = 1 << 21
 
 UNITS = frozenset("mm cm m km in ft mi mg g kg t oz lb lbs ml l s sec min h hr hours minutes seconds days weeks months years % kb mb gb tb usd eur dollars euros cents percent miles meters metres feet inches degrees".split())
@@ -40,34 +49,29 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NUM, _UNIT, _NAME = "<num>", "<unit>", "<name>"
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word, 11)
-
-
-_SLOTS = {s: _hash(s) for s in (_NUM, _UNIT, _NAME)}
+_SLOTS = dict(zip((_NUM, _UNIT, _NAME), string_hashes(pa.array([_NUM, _UNIT, _NAME])).tolist(), strict=True))
 
 
 @lru_cache(1 << 18)
-def _word(raw: bytes) -> tuple[str, bool, bool, bool, bool, int]:
-    """Plain form, whether number, unit, capitalised, whether a sentence may begin after it, and the plain form's hash."""
+def _word(raw: bytes) -> tuple[str, bool, bool, bool, bool]:
+    """Plain form, whether number, unit, capitalised, and whether a sentence may begin after it."""
     word = raw.decode()
     core = _OUTER.sub("", word)
     low = core.lower()
-    return low, _NUMBER.fullmatch(core) is not None, low in UNITS, core[:1].isupper() and not core.isupper(), word[-1] in ".!?:;|\"'»)" or not core, _hash(low)
+    return low, _NUMBER.fullmatch(core) is not None, low in UNITS, core[:1].isupper() and not core.isupper(), word[-1] in ".!?:;|\"'»)" or not core
 
 
-def _template(text: str | None) -> tuple[list[str], list[str], list[int]]:
-    out, plain, hashes, begins, after_number = [], [], [], True, False
+def _template(text: str | None) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    out, plain, begins, after_number = [], [], True, False
     for raw in (text or "").encode().split():
-        low, number, unit, capital, ends, h = _word(raw)
+        low, number, unit, capital, ends = _word(raw)
         if low:
             kind = _NUM if number else _UNIT if unit and after_number else _NAME if capital and not begins else low
             out.append(kind)
             plain.append(low)
-            hashes.append(h if kind is low else _SLOTS[kind])
             after_number = number
         begins = ends
-    return out, plain, hashes
+    return out, plain, string_hashes(pa.array(out, pa.string())), string_hashes(pa.array(plain, pa.string()))
 
 
 def template(text: str | None) -> tuple[list[str], list[str]]:
@@ -78,11 +82,9 @@ def template(text: str | None) -> tuple[list[str], list[str]]:
 _SLOT_HASHES = np.array(sorted(_SLOTS.values()), np.uint64)
 
 
-def _windows(hashes: list[int], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _windows(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each size: the size, window hashes, and which windows have literal words in at least half of their places."""
-    if not hashes:
-        return
-    h = np.array(hashes, np.uint64)
+    h = hashes
     total = np.concatenate([[0], np.cumsum(np.isin(h, _SLOT_HASHES))])
     for k in sizes:
         n = len(h) - k + 1
@@ -95,60 +97,153 @@ def _windows(hashes: list[int], sizes: list[int]) -> Iterator[tuple[int, np.ndar
         yield k, out.view(np.int64), 2 * (total[k:] - total[:-k]) <= k
 
 
+def _templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """``_template`` of many texts at once: flat template hashes, plain hashes and vocabulary codes, offsets of the texts, the vocabulary of raw words."""
+    words = Words(texts)
+    raw = words.vocab
+    easy = pc.and_(pc.utf8_is_alpha(raw), pc.utf8_is_lower(raw))  # words that are their own plain form
+    hard = [_word(w.encode() or b"-") for w in raw.filter(pc.invert(easy)).to_pylist()]  # an unused empty word may be there
+    easy = easy.to_numpy(zero_copy_only=False)
+    columns = list(zip(*hard, strict=True)) or [()] * 5
+    flags = np.zeros((5, len(raw)), bool)  # whether not empty, number, unit, capitalised, end
+    flags[0, easy], flags[2] = True, pc.is_in(raw, pa.array(sorted(UNITS), raw.type)).to_numpy(zero_copy_only=False)
+    for flag, column in zip(flags, [list(map(bool, columns[0])), *columns[1:]], strict=True):
+        flag[~easy] = column
+    by_word = np.zeros(len(raw), np.uint64)
+    by_word[easy] = string_hashes(raw.filter(pa.array(easy)))
+    by_word[~easy] = string_hashes(pa.array(columns[0], pa.string()))
+    full, number, unit, capital, ends = (f[words.codes] for f in flags)
+    n = len(full)
+    begins = np.concatenate([[True], ends[:-1]])[:n]
+    begins[words.offsets[:-1][words.offsets[:-1] < n]] = True
+    offsets = np.concatenate([[0], np.cumsum(full)])[words.offsets]
+    codes, number, unit, capital, begins = words.codes[full], number[full], unit[full], capital[full], begins[full]
+    n = len(codes)
+    after_number = np.concatenate([[False], number[:-1]])[:n]
+    after_number[offsets[:-1][offsets[:-1] < n]] = False
+    plain = by_word[codes]
+    kinds = [number, unit & after_number, capital & ~begins]
+    hashes = np.select(kinds, [np.uint64(_SLOTS[s]) for s in (_NUM, _UNIT, _NAME)], plain)
+    kind = np.select(kinds, [1, 2, 3], 0)
+    return hashes, plain, np.stack([codes, kind]), offsets, raw
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(h, item_id, at, size, windows, words, plain): the windows of every item; ``windows`` is how many it has."""
+    """(h, item_id, at, size, windows, length, words, plain): the windows of every item by template and plain hash.
+
+    ``windows`` is how many places of windows the item has, ``length`` how many words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words, plain, hashes = _template(text)
+                words, plain, hashes, plain_hashes = _template(text)
                 size = min(WINDOW, len(words))
                 if item is None or size < LEAST:
                     continue
-                for k, h, ok in _windows(hashes, [size]):
+                for (k, h, ok), (_, p, _) in zip(_windows(hashes, [size]), _windows(plain_hashes, [size]), strict=True):
                     at = np.flatnonzero(ok)
-                    rows += [(int(h[i]), item, int(i), k, len(at), words[i : i + k], plain[i : i + k]) for i in at]
+                    rows += [(v, item, int(i), k, len(at), len(words), words[i : i + k], plain[i : i + k]) for i in at for v in {int(h[i]), int(p[i])}]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "h long, item_id long, at long, size long, windows long, words array<string>, plain array<string>")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "h long, item_id long, at long, size long, windows long, length long, words array<string>, plain array<string>")
 
 
-_NAMES = ["h", "item_id", "at", "size", "windows", "words", "plain"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
+_NAMES = ["h", "item_id", "at", "size", "windows", "length", "words", "plain"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
 
 def doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, h, place, words, plain): the documents' windows of these sizes, only wanted hashes if given."""
+    """(doc_id, t, h, place, words, plain): the documents' windows of these sizes, only wanted hashes if given; ``t`` is the text's hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    if wanted is not None:
+        maybe = np.zeros(1 << 20, bool)  # by low bits, before the search
+        maybe[wanted & (len(maybe) - 1)] = True
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first in range(0, b.num_rows, 500):
-                part, ids, hs, places, ws, ps = b.slice(first, 500), [], [], [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    words, plain, hashes = _template(text)
-                    for k, h, ok in _windows(hashes, sizes):
-                        if wanted is not None:
-                            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                            ok = ok & (wanted[at] == h)
-                        for j in np.flatnonzero(ok).tolist():
-                            ids.append(i)
-                            hs.append(int(h[j]))
-                            places.append(j)
-                            ws.append(words[j : j + k])
-                            ps.append(plain[j : j + k])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ids)), pa.array(hs), pa.array(places, pa.int64()), pa.array(ws), pa.array(ps)], ["doc_id", "h", "place", "doc_words", "doc_plain"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h long, place long, doc_words array<string>, doc_plain array<string>")
+        for part in slices(batches, "text", 1 << 20):
+            ids, hs, places, ws, ps = [], [], [], [], []
+            hashes, plain_hashes, (codes, kinds), offsets, vocab = _templates(part.column("text"))
+            for (k, h, ok), (_, p, _) in zip(_windows(hashes, sizes), _windows(plain_hashes, sizes), strict=True):
+                whole = np.zeros(len(h), bool)
+                whole[starts(offsets, k)] = True
+                for v, good in ((h, ok & whole), (p, (p != h) & whole)):
+                    if wanted is not None:
+                        at = np.flatnonzero(good & maybe[v & (len(maybe) - 1)])
+                        at = at[wanted[np.minimum(np.searchsorted(wanted, v[at]), len(wanted) - 1)] == v[at]]
+                    else:
+                        at = np.flatnonzero(good)
+                    own = np.searchsorted(offsets, at, side="right") - 1
+                    ids += own.tolist()
+                    hs += v[at].tolist()
+                    places += (at - offsets[own]).tolist()
+                    for j in at.tolist():
+                        plain = [_word(vocab[c].as_py().encode())[0] for c in codes[j : j + k].tolist()]
+                        ps.append(plain)
+                        ws.append([(w, _NUM, _UNIT, _NAME)[x] for w, x in zip(plain, kinds[j : j + k].tolist(), strict=True)])
+            if ids:
+                texts = part.column("text")
+                ts = {i: xxhash.xxh64_intdigest(texts[i].as_py(), 11) - (1 << 63) for i in set(ids)}
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ids)), pa.array([ts[i] for i in ids], pa.int64()), pa.array(hs, pa.int64()), pa.array(places, pa.int64()), pa.array(ws), pa.array(ps)], ["doc_id", "t", "h", "place", "doc_words", "doc_plain"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t long, h long, place long, doc_words array<string>, doc_plain array<string>")
+
+
+def _joined(slots: dict[str, str], more: list[tuple[str, str]]) -> dict[str, str] | None:
+    """The slots with these values too; none if a slot would have two values."""
+    out = dict(slots)
+    for item, doc in more:
+        if out.setdefault(item, doc) != doc:
+            return None
+    return out
+
+
+def runs(hits: list[tuple[int, int, int, list]]) -> list[tuple[int, int, int, int, dict]]:
+    """(shift, begin, end, windows, slots) of each run with consistent slots, longest first, from (at, place, size, slots)."""
+    out, open_run = [], None
+    for at, place, size, slots in sorted(hits, key=lambda x: (x[1] - x[0], x[0])):
+        if open_run and open_run[0] == place - at and at <= open_run[2]:
+            open_run[2], open_run[3] = max(open_run[2], at + size), open_run[3] + 1
+            open_run[4] += slots
+        else:
+            open_run = [place - at, at, at + size, 1, list(slots)]
+            out.append(open_run)
+    kept = [(shift, a, b, n, own) for shift, a, b, n, slots in out if (own := _joined({}, slots)) is not None]
+    return sorted(kept, key=lambda r: (r[1] - r[2], r[0], r[1]))
+
+
+def judge(hits: list[tuple[int, int, int, list]], length: int) -> tuple[int, int, bool] | None:
+    """Most windows and item words in one place and whether one place is verbatim; none if the pair isn't contaminated."""
+    found, used, ordered = [], set(), runs(hits)
+    by_shift = sorted(range(len(ordered)), key=lambda i: ordered[i][0])
+    shifts = [ordered[i][0] for i in by_shift]
+    for i, first in enumerate(ordered):
+        if i in used:
+            continue
+        chain, slots = [i], first[4]
+        near = by_shift[bisect_left(shifts, first[0] - length) : bisect_right(shifts, first[0] + length)]
+        for j in sorted(near):
+            s, a, b, _, own = ordered[j]
+            if j in used or any(j == c or (a < ordered[c][1]) != (a + s < ordered[c][1] + ordered[c][0]) or (b < ordered[c][2]) != (b + s < ordered[c][2] + ordered[c][0]) for c in chain):
+                continue
+            if (more := _joined(slots, list(own.items()))) is not None:
+                chain.append(j)
+                slots = more
+        of = [ordered[c] for c in chain]
+        covered = min(len({x for _, a, b, _, _ in of for x in range(a, b)}), len({x + s for s, a, b, _, _ in of for x in range(a, b)}))
+        if covered >= int(COVERAGE * length) or first[2] - first[1] >= LONG:
+            used.update(chain)
+            found.append((sum(r[3] for r in of), covered, all(x == y for x, y in slots.items())))
+    return (max(x[0] for x in found), max(x[1] for x in found), any(x[2] for x in found)) if found else None
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, verbatim): a row for each contaminated pair.
 
-    ``verbatim`` is false where slots have other values than the item's.
+    ``coverage`` is the share of the item's words; ``verbatim`` is false where slots have other values than the item's.
     """
     items = item_windows(benchmark)
     sizes = [r[0] for r in items.select("size").distinct().collect()]
@@ -158,12 +253,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         found = doc_windows(docs, sorted(sizes), None)
     slots = F.filter(F.transform(F.arrays_zip("words", "plain", "doc_plain"), lambda x: F.when(x.words.rlike("^<(num|unit|name)>$"), F.struct(x.plain.alias("item"), x.doc_plain.alias("doc")))), lambda x: x.isNotNull())
-    pairs = found.join(items, "h").where("words = doc_words").select("doc_id", "item_id", "windows", (F.col("place") - F.col("at")).alias("shift"), "at", slots.alias("slots"))
-    placed = pairs.groupBy("doc_id", "item_id", "windows", "shift").agg(F.count_distinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one_value = F.size(F.array_distinct(F.transform("slots", lambda s: s.item))) == F.size("slots")
-    good = placed.where((F.col("n") >= COVERAGE * F.col("windows")) & one_value)
-    verbatim = F.forall("slots", lambda s: s.item == s.doc)
-    return good.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max("windows").alias("item_windows"), F.round(F.max(F.col("n") / F.col("windows")), 6).alias("coverage"), F.max(verbatim).alias("verbatim"))
+    pairs = found.join(items, "h").where("words = doc_words OR plain = doc_plain").select("doc_id", "t", "item_id", "windows", "length", F.struct("at", "place", "size", slots.alias("slots")).alias("hit"))
+    placed = pairs.groupBy("doc_id", "t", "item_id", "windows", "length").agg(F.collect_set("hit").alias("hits"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, at = [], []
+            for i, (length, hits) in enumerate(zip(b.column("length").to_pylist(), b.column("hits").to_pylist(), strict=True)):
+                if own := judge([(h["at"], h["place"], h["size"], [(s["item"], s["doc"]) for s in h["slots"]]) for h in hits], length):
+                    rows.append((own[0], own[1] / length, own[2]))
+                    at.append(i)
+            if rows:
+                n, share, verbatim = zip(*rows, strict=True)
+                old = [b.column(c).take(pa.array(at)) for c in ("doc_id", "t", "item_id", "windows")]
+                yield pa.RecordBatch.from_arrays([*old, pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(verbatim)], ["doc_id", "t", "item_id", "windows", "n", "share", "verbatim"])
+
+    good = placed.mapInArrow(run, f"doc_id {kind}, t long, item_id long, windows long, n long, share double, verbatim boolean")
+    return good.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max("windows").alias("item_windows"), F.round(F.max("share"), 6).alias("coverage"), F.max("verbatim").alias("verbatim"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

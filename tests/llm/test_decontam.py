@@ -56,3 +56,22 @@ def test_slots(spark):
     finally:
         decontam.FILTER_HASHES = old
     assert decontam.matches(df.limit(0), b).count() == 0 and decontam.matches(df, b.limit(0)).count() == 0
+
+
+def test_edited_and_partial_copies(spark):
+    words = Q.split()
+    texts = {
+        1: [*words[:11], "also", *words[11:]],
+        2: [*words[:11], *words[12:]],
+        3: words[: len(words) // 2],
+        4: words[:9],
+        5: ["so", *words[11:], "while", *words[:11]],
+        6: [w.upper() if w in ("called", "pears") else w for w in words],
+    }
+    long = " ".join(f"term{i}" for i in range(200))
+    docs = [(d, "It says: " + " ".join(t)) for d, t in texts.items()] + [(7, " ".join(long.split()[50:64])), (8, " ".join(long.split()[50:60]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, Q), (2, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontam.matches(df, b).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 2)}
+    assert got[1, 1] == 1 and got[3, 1] == round(11 / 23, 6) and got[7, 2] == 0.07
