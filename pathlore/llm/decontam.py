@@ -274,5 +274,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that match no item; rows with a null id stay."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents whose text matches no item, whatever other rows have their id; rows with a null id stay."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text")
+    gone = matches(texts, benchmark).select(F.col("doc_id").alias("_key")).distinct()
+    key = F.when(F.col("doc_id").isNotNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").select(docs.columns)

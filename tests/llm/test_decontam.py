@@ -75,3 +75,9 @@ def test_edited_and_partial_copies(spark):
     got = {(r.doc_id, r.item_id): r.coverage for r in decontam.matches(df, b).collect()}
     assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 2)}
     assert got[1, 1] == 1 and got[3, 1] == round(11 / 23, 6) and got[7, 2] == 0.07
+
+
+def test_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(1, Q), (1, "clean text of the same id")], "doc_id long, text string")
+    got = decontam.drop_contaminated(df, spark.createDataFrame([(7, Q)], "item_id long, text string")).collect()
+    assert [r.text for r in got] == ["clean text of the same id"]
