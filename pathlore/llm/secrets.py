@@ -34,7 +34,7 @@ BASE = [
     Rule("hex", r"[0-9a-f]{32,}"),  # maximal runs: the same as runs of any length, less the short ones
 ]
 MORE = [
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", r"\bgh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"\bxox[abps]-[A-Za-z0-9-]{10,}"),

@@ -54,3 +54,16 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é password = 'abcdefgh' x " + "0" * 32 + "!", "k"), (2, None, "k"), (3, "clean", "k"), (4, "token=" + "a" * 40, "k")], "doc_id long, text string, blob string")
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "é [SECRET]' x [SECRET]!", 2: None, 3: "clean", 4: "[SECRET]"}
+
+
+def test_long_keys(spark):
+    from pathlore.llm import queries, secrets
+
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab0/+9zZ" * 4000 + "\n-----END RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string")
+    assert [r.text for r in secrets.redact(df).collect()] == ["x [SECRET] y"]
+    pem = next(r.pattern for r in secrets.RULES if r.kind == "pem")
+    assert pem in queries.ORACLES["op4_secrets"]
+    import duckdb
+
+    assert duckdb.execute("SELECT length(regexp_extract(?, ?))", [text, pem]).fetchone()[0] == len(text)
