@@ -26,9 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # written, so that the join can split the edges of a hub
+        low = checkpoint(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         state, before = _state(e), state
