@@ -1,23 +1,27 @@
 """Benchmark decontamination by template windows.
 
-Words lose outer punctuation and case; a number, a unit after a number, and a capitalised word
-that does not begin a sentence become typed placeholders (slots). Windows of ``WINDOW`` template
-words of every document are joined by hash with those of the benchmark items (an item with fewer
-words is one window of its own length, if it has ``LEAST`` or more), by their template words and by
-their plain words. Windows that match at one difference of positions and touch or overlap are a run.
-A run's slots must be consistent: each slot value of the item stands for one value of the document
-throughout, so a question with other numbers or names is caught, and a text whose slots don't line
-up is not. A pair of document and item is contaminated if a run has ``LONG`` words, or if runs in
+Words lose outer punctuation and case; a number, a unit after a number, and a name become typed
+placeholders (slots). A name is a capitalised word, at the beginning of a sentence only if the
+benchmark has it nowhere in lower case. Windows of ``WINDOW`` template words of every document are
+joined by hash with those of the benchmark items (an item with fewer words is one window of its own
+length, if it has ``LEAST`` or more), by their template words and by their plain words; windows of
+mostly placeholders in the item are compared by their plain words only. Windows that match at one
+difference of positions and touch or overlap are a run. A run's slots must be consistent: each slot
+value of the item stands for one value of the document throughout, and each name of the document for
+one of the item, so a question with other numbers or names is caught, and a text whose slots don't
+line up is not. A pair of document and item is contaminated if a run has ``LONG`` words, or if runs in
 the same order in both, with consistent slots and positions shifted by no more than the item's
 length, hold ``COVERAGE`` of the item's words (rounded down), so words put in, left out or replaced
-between runs don't matter. Windows of mostly placeholders in the item aren't compared. A change
-within each ``WINDOW`` words leaves no run, and isn't found.
+between runs don't matter. A change within each ``WINDOW`` words leaves no run, and isn't found.
+An item with fewer than ``LEAST`` words is found where a line of a document has its plain words and
+no others.
 
-The item windows' hashes go to the tasks as a filter only while there are at most
-``FILTER_HASHES`` of them; with more, every window takes part in the join.
+Before the join a Bloom filter of ``BITS`` bits, gathered from the item windows of any number, keeps
+the documents' windows in place that no item has.
 
-Nulls: a null text has no words; rows with a null item_id are left out, a null doc_id is kept.
-Repeated rows give one result. Empty tables give an empty result.
+Nulls: a null text has no words; rows with a null item_id are left out, a null doc_id is kept. Ids
+may be of any type. Repeated rows give one result. Texts of any length are read whole, a few at a
+time. Empty tables give an empty result. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,11 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, starts, string_hashes
+from .common import SPACE, Words, checkpoint, fresh, slices, small, starts, string_hashes
 
 WINDOW, LEAST, COVERAGE = 8, 5, 0.5
 LONG = 13
-FILTER_HASHES = 1 << 21
+#: Of the Bloom filter, a power of two.
+BITS = 1 << 25
 
 UNITS = frozenset("mm cm m km in ft mi mg g kg t oz lb lbs ml l s sec min h hr hours minutes seconds days weeks months years % kb mb gb tb usd eur dollars euros cents percent miles meters metres feet inches degrees".split())
 _NUMBER = regex.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d*%?|[+-]?[$€£]?\d+%?")
@@ -61,12 +66,12 @@ def _word(raw: bytes) -> tuple[str, bool, bool, bool, bool]:
     return low, _NUMBER.fullmatch(core) is not None, low in UNITS, core[:1].isupper() and not core.isupper(), word[-1] in ".!?:;|\"'»)" or not core
 
 
-def _template(text: str | None) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+def _template(text: str | None, ordinary: frozenset[str] = frozenset()) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
     out, plain, begins, after_number = [], [], True, False
     for raw in (text or "").encode().split():
         low, number, unit, capital, ends = _word(raw)
         if low:
-            kind = _NUM if number else _UNIT if unit and after_number else _NAME if capital and not begins else low
+            kind = _NUM if number else _UNIT if unit and after_number else _NAME if capital and not (begins and low in ordinary) else low
             out.append(kind)
             plain.append(low)
             after_number = number
@@ -74,9 +79,20 @@ def _template(text: str | None) -> tuple[list[str], list[str], np.ndarray, np.nd
     return out, plain, string_hashes(pa.array(out, pa.string())), string_hashes(pa.array(plain, pa.string()))
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Template words and the plain forms of the same words."""
-    return _template(text)[:2]
+def template(text: str | None, ordinary: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
+    """Template words and the plain forms of the same words; ``ordinary`` words aren't names where a sentence begins."""
+    return _template(text, ordinary)[:2]
+
+
+def ordinary_words(benchmark: DataFrame) -> frozenset[str]:
+    """The words that the benchmark has in lower case: its vocabulary at most, without numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            own = {_word(w.encode()) for w in Words(b.column("text")).vocab.to_pylist() if w}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({low for low, number, _, capital, _ in own if low and not number and not capital}), pa.string())], ["word"])
+
+    return frozenset(r[0] for r in benchmark.select("text").mapInArrow(run, "word string").distinct().collect())
 
 
 _SLOT_HASHES = np.array(sorted(_SLOTS.values()), np.uint64)
@@ -97,7 +113,7 @@ def _windows(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.nda
         yield k, out.view(np.int64), 2 * (total[k:] - total[:-k]) <= k
 
 
-def _templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+def _templates(texts: pa.Array, ordinary: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
     """``_template`` of many texts at once: flat template hashes, plain hashes and vocabulary codes, offsets of the texts, the vocabulary of raw words."""
     words = Words(texts)
     raw = words.vocab
@@ -105,19 +121,20 @@ def _templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     hard = [_word(w.encode() or b"-") for w in raw.filter(pc.invert(easy)).to_pylist()]  # an unused empty word may be there
     easy = easy.to_numpy(zero_copy_only=False)
     columns = list(zip(*hard, strict=True)) or [()] * 5
-    flags = np.zeros((5, len(raw)), bool)  # whether not empty, number, unit, capitalised, end
+    flags = np.zeros((6, len(raw)), bool)  # whether not empty, number, unit, capitalised, end, ordinary
+    flags[5, ~easy] = [w in ordinary for w in columns[0]]
     flags[0, easy], flags[2] = True, pc.is_in(raw, pa.array(sorted(UNITS), raw.type)).to_numpy(zero_copy_only=False)
-    for flag, column in zip(flags, [list(map(bool, columns[0])), *columns[1:]], strict=True):
+    for flag, column in zip(flags[:5], [list(map(bool, columns[0])), *columns[1:]], strict=True):
         flag[~easy] = column
     by_word = np.zeros(len(raw), np.uint64)
     by_word[easy] = string_hashes(raw.filter(pa.array(easy)))
     by_word[~easy] = string_hashes(pa.array(columns[0], pa.string()))
-    full, number, unit, capital, ends = (f[words.codes] for f in flags)
+    full, number, unit, capital, ends, common = (f[words.codes] for f in flags)
     n = len(full)
     begins = np.concatenate([[True], ends[:-1]])[:n]
     begins[words.offsets[:-1][words.offsets[:-1] < n]] = True
     offsets = np.concatenate([[0], np.cumsum(full)])[words.offsets]
-    codes, number, unit, capital, begins = words.codes[full], number[full], unit[full], capital[full], begins[full]
+    codes, number, unit, capital, begins = words.codes[full], number[full], unit[full], capital[full], (begins & common)[full]
     n = len(codes)
     after_number = np.concatenate([[False], number[:-1]])[:n]
     after_number[offsets[:-1][offsets[:-1] < n]] = False
@@ -128,54 +145,73 @@ def _templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return hashes, plain, np.stack([codes, kind]), offsets, raw
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def item_windows(benchmark: DataFrame, ordinary: frozenset[str] = frozenset()) -> DataFrame:
     """(h, item_id, at, size, windows, length, words, plain): the windows of every item by template and plain hash.
 
     ``windows`` is how many places of windows the item has, ``length`` how many words.
     """
+    kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words, plain, hashes, plain_hashes = _template(text)
+        for b in slices(batches, "text", 1 << 18):
+            rows, own = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words, plain, hashes, plain_hashes = _template(text, ordinary)
                 size = min(WINDOW, len(words))
-                if item is None or size < LEAST:
+                if size < LEAST:
                     continue
                 for (k, h, ok), (_, p, _) in zip(_windows(hashes, [size]), _windows(plain_hashes, [size]), strict=True):
-                    at = np.flatnonzero(ok)
-                    rows += [(v, item, int(i), k, len(at), len(words), words[i : i + k], plain[i : i + k]) for i in at for v in {int(h[i]), int(p[i])}]
+                    for at in range(len(h)):
+                        for v in {int(h[at]), int(p[at])} if ok[at] else {int(p[at])}:
+                            own.append(i)
+                            rows.append((v, at, k, len(h), len(words), words[at : at + k], plain[at : at + k]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(own)), *columns], _NAMES)
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "h long, item_id long, at long, size long, windows long, length long, words array<string>, plain array<string>")
+    return benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(run, f"item_id {kind}, h long, at long, size long, windows long, length long, words array<string>, plain array<string>")
 
 
-_NAMES = ["h", "item_id", "at", "size", "windows", "length", "words", "plain"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
+_NAMES = ["item_id", "h", "at", "size", "windows", "length", "words", "plain"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
 
-def doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, t, h, place, words, plain): the documents' windows of these sizes, only wanted hashes if given; ``t`` is the text's hash."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class Filter:
+    """A Bloom filter of ``BITS`` bits with two places for each hash."""
+
+    def __init__(self, items: DataFrame):
+        places = F.explode(F.array(*[F.shiftrightunsigned("h", n).bitwiseAND(F.lit(BITS - 1)) for n in (0, 32)]))
+        rows = items.select(places.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int)) AS bit"))
+        words = np.zeros(BITS >> 6, np.uint64)  # no more rows than this come to the driver
+        for word, bits in rows.groupBy("word").agg(F.bit_or("bit")).collect():
+            words[word] = bits & 0xFFFFFFFFFFFFFFFF
+        self.words = words
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that an item may have."""
+        at = np.arange(len(h))
+        for n in (0, 32):
+            p = (h[at].view(np.uint64) >> np.uint64(n)) & np.uint64(BITS - 1)
+            at = at[(self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
 
-    if wanted is not None:
-        maybe = np.zeros(1 << 20, bool)  # by low bits, before the search
-        maybe[wanted & (len(maybe) - 1)] = True
+def doc_windows(docs: DataFrame, sizes: list[int], wanted: Filter, ordinary: frozenset[str] = frozenset()) -> DataFrame:
+    """(doc_id, t, h, place, doc_words, doc_plain): the documents' windows of these sizes that an item may have; ``t`` is the text's hash."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, ordinary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, ordinary = shared.value
         for part in slices(batches, "text", 1 << 20):
             ids, hs, places, ws, ps = [], [], [], [], []
-            hashes, plain_hashes, (codes, kinds), offsets, vocab = _templates(part.column("text"))
+            hashes, plain_hashes, (codes, kinds), offsets, vocab = _templates(part.column("text"), ordinary)
             for (k, h, ok), (_, p, _) in zip(_windows(hashes, sizes), _windows(plain_hashes, sizes), strict=True):
                 whole = np.zeros(len(h), bool)
                 whole[starts(offsets, k)] = True
-                for v, good in ((h, ok & whole), (p, (p != h) & whole)):
-                    if wanted is not None:
-                        at = np.flatnonzero(good & maybe[v & (len(maybe) - 1)])
-                        at = at[wanted[np.minimum(np.searchsorted(wanted, v[at]), len(wanted) - 1)] == v[at]]
-                    else:
-                        at = np.flatnonzero(good)
+                for v, good in ((h, ok & whole), (p, (p != h) & whole | ~ok & whole)):
+                    at = wanted.maybe(v)
+                    at = at[good[at]]
                     own = np.searchsorted(offsets, at, side="right") - 1
                     ids += own.tolist()
                     hs += v[at].tolist()
@@ -192,16 +228,42 @@ def doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t long, h long, place long, doc_words array<string>, doc_plain array<string>")
 
 
-def _joined(slots: dict[str, str], more: list[tuple[str, str]]) -> dict[str, str] | None:
-    """The slots with these values too; none if a slot would have two values."""
+def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_words): documents with a line of just the plain words of an item of fewer than ``LEAST`` words."""
+
+    def plain(df: DataFrame, key: str) -> DataFrame:
+        kind = df.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text"):
+                own = [template(x)[1] for x in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array([" ".join(w) if len(w) < LEAST else None for w in own], pa.string()), pa.array([len(w) for w in own], pa.int64())], [key, "line", "n"])
+
+        return df.mapInArrow(run, f"{key} {kind}, line string, n long").where("line is not null and n > 0").distinct()
+
+    items = checkpoint(plain(benchmark.where("item_id IS NOT NULL").select("item_id", "text"), "item_id"))
+    if items.isEmpty():
+        return None
+    full = F.filter(F.split("text", SPACE), lambda w: w.rlike(r"[\p{L}\p{N}%]"))  # the others have no plain form
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text")).where(F.size(full) < LEAST)
+    return plain(lines, "doc_id").drop("n").join(small(items), "line").select("doc_id", "item_id", F.col("n").alias("n_words"))
+
+
+#: (kind, value in the item, value in the document) of a placeholder.
+Slot = tuple[str, str, str]
+
+
+def _joined(slots: dict[tuple, str], more: list[Slot] | dict[tuple, str]) -> dict[tuple, str] | None:
+    """The slots, by item's value and for names by the document's too, with these also; none if one would have two values."""
     out = dict(slots)
-    for item, doc in more:
-        if out.setdefault(item, doc) != doc:
+    pairs = more.items() if isinstance(more, dict) else [x for kind, item, doc in more for x in ((("item", item), doc), *([(("doc", doc), item)] if kind == _NAME else []))]
+    for key, value in pairs:
+        if out.setdefault(key, value) != value:
             return None
     return out
 
 
-def runs(hits: list[tuple[int, int, int, list]]) -> list[tuple[int, int, int, int, dict]]:
+def runs(hits: list[tuple[int, int, int, list[Slot]]]) -> list[tuple[int, int, int, int, dict]]:
     """(shift, begin, end, windows, slots) of each run with consistent slots, longest first, from (at, place, size, slots)."""
     out, open_run = [], None
     for at, place, size, slots in sorted(hits, key=lambda x: (x[1] - x[0], x[0])):
@@ -215,7 +277,7 @@ def runs(hits: list[tuple[int, int, int, list]]) -> list[tuple[int, int, int, in
     return sorted(kept, key=lambda r: (r[1] - r[2], r[0], r[1]))
 
 
-def judge(hits: list[tuple[int, int, int, list]], length: int) -> tuple[int, int, bool] | None:
+def judge(hits: list[tuple[int, int, int, list[Slot]]], length: int) -> tuple[int, int, bool] | None:
     """Most windows and item words in one place and whether one place is verbatim; none if the pair isn't contaminated."""
     found, used, ordered = [], set(), runs(hits)
     by_shift = sorted(range(len(ordered)), key=lambda i: ordered[i][0])
@@ -229,39 +291,37 @@ def judge(hits: list[tuple[int, int, int, list]], length: int) -> tuple[int, int
             s, a, b, _, own = ordered[j]
             if j in used or any(j == c or (a < ordered[c][1]) != (a + s < ordered[c][1] + ordered[c][0]) or (b < ordered[c][2]) != (b + s < ordered[c][2] + ordered[c][0]) for c in chain):
                 continue
-            if (more := _joined(slots, list(own.items()))) is not None:
+            if (more := _joined(slots, own)) is not None:
                 chain.append(j)
                 slots = more
         of = [ordered[c] for c in chain]
         covered = min(len({x for _, a, b, _, _ in of for x in range(a, b)}), len({x + s for s, a, b, _, _ in of for x in range(a, b)}))
         if covered >= int(COVERAGE * length) or first[2] - first[1] >= LONG:
             used.update(chain)
-            found.append((sum(r[3] for r in of), covered, all(x == y for x, y in slots.items())))
+            found.append((sum(r[3] for r in of), covered, all(key[1] == value for key, value in slots.items())))
     return (max(x[0] for x in found), max(x[1] for x in found), any(x[2] for x in found)) if found else None
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, verbatim): a row for each contaminated pair.
 
-    ``coverage`` is the share of the item's words; ``verbatim`` is false where slots have other values than the item's.
+    ``coverage`` is the share of the item's words; ``verbatim`` is false where slots have other
+    values than the item's. An item shorter than a window counts as one window.
     """
-    items = item_windows(benchmark)
-    sizes = [r[0] for r in items.select("size").distinct().collect()]
-    if items.select("h").distinct().limit(FILTER_HASHES + 1).count() <= FILTER_HASHES:
-        wanted = np.sort(np.array([r[0] for r in items.select("h").distinct().collect()], np.int64))
-        found = doc_windows(docs if len(wanted) else docs.limit(0), sorted(sizes), wanted)
-    else:
-        found = doc_windows(docs, sorted(sizes), None)
-    slots = F.filter(F.transform(F.arrays_zip("words", "plain", "doc_plain"), lambda x: F.when(x.words.rlike("^<(num|unit|name)>$"), F.struct(x.plain.alias("item"), x.doc_plain.alias("doc")))), lambda x: x.isNotNull())
-    pairs = found.join(items, "h").where("words = doc_words OR plain = doc_plain").select("doc_id", "t", "item_id", "windows", "length", F.struct("at", "place", "size", slots.alias("slots")).alias("hit"))
+    ordinary = ordinary_words(benchmark)
+    items = checkpoint(item_windows(benchmark, ordinary))
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())
+    found = doc_windows(docs if sizes else docs.limit(0), sizes, Filter(items), ordinary)
+    slots = F.filter(F.transform(F.arrays_zip("words", "plain", "doc_plain"), lambda x: F.when(x.words.rlike("^<(num|unit|name)>$"), F.struct(x.words.alias("kind"), x.plain.alias("item"), x.doc_plain.alias("doc")))), lambda x: x.isNotNull())
+    pairs = found.join(small(items), "h").where("words = doc_words OR plain = doc_plain").select("doc_id", "t", "item_id", "windows", "length", F.struct("at", "place", "size", slots.alias("slots")).alias("hit"))
     placed = pairs.groupBy("doc_id", "t", "item_id", "windows", "length").agg(F.collect_set("hit").alias("hits"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, at = [], []
             for i, (length, hits) in enumerate(zip(b.column("length").to_pylist(), b.column("hits").to_pylist(), strict=True)):
-                if own := judge([(h["at"], h["place"], h["size"], [(s["item"], s["doc"]) for s in h["slots"]]) for h in hits], length):
+                if own := judge([(h["at"], h["place"], h["size"], [(s["kind"], s["item"], s["doc"]) for s in h["slots"]]) for h in hits], length):
                     rows.append((own[0], own[1] / length, own[2]))
                     at.append(i)
             if rows:
@@ -269,13 +329,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 old = [b.column(c).take(pa.array(at)) for c in ("doc_id", "t", "item_id", "windows")]
                 yield pa.RecordBatch.from_arrays([*old, pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(verbatim)], ["doc_id", "t", "item_id", "windows", "n", "share", "verbatim"])
 
-    good = placed.mapInArrow(run, f"doc_id {kind}, t long, item_id long, windows long, n long, share double, verbatim boolean")
+    good = placed.mapInArrow(run, f"{kinds}, windows long, n long, share double, verbatim boolean")
+    if (short := short_matches(docs, benchmark)) is not None:
+        one = F.lit(1).cast("long")
+        good = good.unionByName(short.select("doc_id", F.lit(0).cast("long").alias("t"), "item_id", one.alias("windows"), one.alias("n"), F.lit(1.0).alias("share"), F.lit(True).alias("verbatim")))
     return good.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max("windows").alias("item_windows"), F.round(F.max("share"), 6).alias("coverage"), F.max("verbatim").alias("verbatim"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents whose text matches no item, whatever other rows have their id; rows with a null id stay."""
-    texts = docs.where("doc_id IS NOT NULL").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text")
-    gone = matches(texts, benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    key = F.when(F.col("doc_id").isNotNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").select(docs.columns)
+    key, gone_key = fresh(docs, "_key"), fresh(docs, "_gone")
+    address = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = docs.where("doc_id IS NOT NULL").select(address.alias("doc_id"), "text")
+    gone = small(checkpoint(matches(texts, benchmark).select(F.col("doc_id").alias(gone_key)).distinct()))
+    own = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), address))
+    return own.join(gone, F.col(key) == F.col(gone_key), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

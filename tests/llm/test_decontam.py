@@ -1,42 +1,88 @@
+import random
+import re
 from collections import defaultdict
 
 from pathlore.llm import decontam
 from pathlore.llm.queries import op2_decontamination
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
+
+
+def plain_word(w):
+    """A word without outer punctuation, written out by hand."""
+    good = [c.isalpha() or c.isnumeric() for c in w]
+    a = next((i for i, c in enumerate(w) if good[i] or c in "$€£+%-"), len(w))
+    b = next((i for i in range(len(w) - 1, -1, -1) if good[i] or w[i] == "%"), -1)
+    return w[a : b + 1] if b >= a else ""
+
+
+def independent_template(text, ordinary):
+    out, plain, begins, after = [], [], True, False
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        core = plain_word(w)
+        low = core.lower()
+        if low:
+            number = re.fullmatch(r"[+-]?[$€£]?\d([\d.,:/]*\d)?%?", core) is not None
+            name = core[0].isupper() and not core.isupper() and not (begins and low in ordinary)
+            out.append("<num>" if number else "<unit>" if after and low in decontam.UNITS else "<name>" if name else low)
+            plain.append(low)
+            after = number
+        begins = w[-1] in ".!?:;|\"'»)" or not core
+    return out, plain
+
+
+def lower_words(items):
+    return {c.lower() for q in items for w in (q or "").split() if (c := plain_word(w)) and (not c[0].isupper() or c.isupper()) and not re.fullmatch(r"[+-]?[$€£]?\d([\d.,:/]*\d)?%?", c)}
 
 
 def brute(docs, items):
-    out = set()
+    """Pairs with half of the item's usable windows at one shift and consistent slots: a part of what counts."""
+    out, ordinary = set(), lower_words([q for _, q in items])
+    items = [(i, *independent_template(q, ordinary)) for i, q in items]
     for d, text in docs:
-        words, plain = decontam.template(text)
-        for i, q in items:
-            iw, ip = decontam.template(q)
+        words, plain = independent_template(text, ordinary)
+        for i, iw, ip in items:
             k = min(8, len(iw))
             if i is None or k < 5:
                 continue
-            usable = [a for a in range(len(iw) - k + 1) if 2 * sum(w[0] == "<" for w in iw[a : a + k]) <= k]
+            usable = [a for a in range(len(iw) - k + 1) if 2 * sum(w in ("<num>", "<unit>", "<name>") for w in iw[a : a + k]) <= k]
             by_shift = defaultdict(set)
-            for a in usable:
+            for a in range(len(iw) - k + 1):
                 for p in range(len(words) - k + 1):
-                    if words[p : p + k] == iw[a : a + k]:
+                    if a in usable and words[p : p + k] == iw[a : a + k] or plain[p : p + k] == ip[a : a + k]:
                         by_shift[p - a].add(a)
             for shift, ats in by_shift.items():
-                slots = {(ip[x], plain[x + shift]) for a in ats for x in range(a, a + k) if iw[x][0] == "<"}
-                if len(ats) >= 0.5 * len(usable) and len({s for s, _ in slots}) == len(slots):
+                slots = {(iw[x], ip[x], plain[x + shift]) for a in ats for x in range(a, a + k) if iw[x] in ("<num>", "<unit>", "<name>")}
+                names = {(s, t) for n, s, t in slots if n == "<name>"}
+                if len(ats) >= 0.5 * (len(iw) - k + 1) and len({s for _, s, _ in slots}) == len({x[1:] for x in slots}) and len({t for _, t in names}) == len(names):
                     out.add((d, i))
     return out
 
 
 def test_against_plain_search(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in op2_decontamination(spark, SF).collect()}
-    assert {x for x in got if x[0] < 60} == brute(docs, items) and got
+    assert got and brute(docs, items) == got
     whole = {(r.doc_id, r.item_id) for r in spark.sql(f"SELECT doc_id, item_id FROM parquet.`{SF}/documents.parquet` d, parquet.`{SF}/benchmark.parquet` b WHERE contains(d.text, b.text)").collect()}
     assert whole <= got
 
 
+def test_templates_equal_independent_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    rng, pieces = random.Random(5), ["Ann", "ann", "The", "the", "12", "$3.50", "kg", "(kg)", "end.", "\"Quote\"", "5%", "-", "...", "É", "é!", "NASA", "x\ty", "3/4:", "1.", "'s"]
+    texts = [" ".join(rng.choices(pieces, k=rng.randrange(0, 12))) for _ in range(300)] + [None, "", " "]
+    ordinary = frozenset(["the", "x"])
+    hashes, plain, _, offsets, _ = decontam._templates(pa.array(texts, pa.string()), ordinary)
+    for i, t in enumerate(texts):
+        want = independent_template(t, ordinary)
+        assert decontam.template(t, ordinary) == want
+        at = slice(offsets[i], offsets[i + 1])
+        assert np.array_equal(hashes[at], decontam.string_hashes(pa.array(want[0], pa.string()))) and np.array_equal(plain[at], decontam.string_hashes(pa.array(want[1], pa.string())))
+
+
 Q = "A farmer called Ann sells 12 kg of apples to Bob and then 12 kg of pears to Carl before the market closes"
 OTHER = "Start here. A farmer called Eve sells 7 km of apples to Dan and then 7 km of pears to Finn before the market closes tonight"
 BROKEN = "A farmer called Eve sells 7 kg of apples to Dan and then 9 kg of pears to Finn before the market closes"
@@ -50,11 +96,6 @@ def test_slots(spark):
     got = {(r.doc_id, r.item_id, r.verbatim) for r in decontam.matches(df, b).collect()}
     assert got == {(1, 7, True), (2, 7, False), (None, 7, True), (6, 8, True)}
     assert sorted((r.doc_id or 0) for r in decontam.drop_contaminated(df, b).collect()) == [0, 3, 4, 5]
-    old, decontam.FILTER_HASHES = decontam.FILTER_HASHES, 0
-    try:
-        assert {(r.doc_id, r.item_id, r.verbatim) for r in decontam.matches(df, b).collect()} == got
-    finally:
-        decontam.FILTER_HASHES = old
     assert decontam.matches(df.limit(0), b).count() == 0 and decontam.matches(df, b.limit(0)).count() == 0
 
 
@@ -81,3 +122,48 @@ def test_rows_that_share_an_id(spark):
     df = spark.createDataFrame([(1, Q), (1, "clean text of the same id")], "doc_id long, text string")
     got = decontam.drop_contaminated(df, spark.createDataFrame([(7, Q)], "item_id long, text string")).collect()
     assert [r.text for r in got] == ["clean text of the same id"]
+
+
+def found(spark, docs, items):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    b = spark.createDataFrame([(f"item {i}", q) for i, q in enumerate(items)], "item_id string, text string")
+    return {(r.doc_id, int(r.item_id[5:]), r.verbatim) for r in decontam.matches(df, b).collect()}
+
+
+def test_verbatim_items_of_mostly_numbers(spark):
+    item = "Compute 12 + 30 - 4 * 9 = 24 and 5 * 7 = 35"
+    assert found(spark, [f"Before it. {item} after it.", "Compute 13 + 31 - 5 * 8 = 25 and 6 * 8 = 36"], [item]) == {(0, 0, True)}
+
+
+def test_names_at_the_beginning_of_sentences(spark):
+    item = "Natalia sold 48 clips in the market in April. Natalia sold half as many in the next month, and the rest was left"
+    doc = "Maria sold 30 clips in the market in June. Maria sold half as many in the next month, and the rest was left"
+    broken = "Maria sold 30 clips in the market in June. Paula sold half as many in the next month, and the rest was left"
+    got = found(spark, [doc, broken], [item, "the clips were sold in the market"])
+    assert (0, 0, False) in got and (1, 0) not in {x[:2] for x in got}
+
+
+def test_slots_hold_in_both_directions(spark):
+    item = "On that day Ann gave the red box to Bob before lunch and Bob gave the blue box back to Ann at night"
+    merged = item.replace("Ann", "Eve").replace("Bob", "Eve")
+    assert found(spark, [item.replace("Ann", "Eve").replace("Bob", "Dan"), merged], [item]) == {(0, 0, False)}
+
+
+def test_short_items_are_whole_lines(spark):
+    docs = ["first line\n  Who are you? \nlast line", "he asked who are you today", "WHO ARE YOU", None, ""]
+    assert found(spark, docs, ["Who are you?", "", None, "..."]) == {(0, 0, True), (2, 0, True)}
+
+
+def test_filter_loses_no_hash(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    own = rng.integers(-(2**63), 2**63 - 1, 5000)
+    f = decontam.Filter(spark.createDataFrame([(int(x),) for x in own], "h long"))
+    assert len(f.maybe(own)) == 5000 and len(f.maybe(rng.integers(-(2**63), 2**63 - 1, 100_000))) < 50
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, Q, "a", "b"), (2, "clean", "a", "b")], "doc_id long, text string, _key string, _gone string")
+    got = decontam.drop_contaminated(df, spark.createDataFrame([(7, Q, 1)], "item_id long, text string, doc_id long"))
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, "clean", "a", "b")]
