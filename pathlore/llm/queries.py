@@ -76,9 +76,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents, each distinct content scanned once."""
+    """Secrets of all documents, scanned as two increments against a new ledger, each distinct content once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = secrets.findings(docs, secrets.scan(docs))
+    out = secrets.findings(docs, secrets.scan_increments(secrets.increments(docs), secrets.new_ledger(spark)))
     spans = F.col("_spans")
     base = [r.kind for r in secrets.BASE]
 
@@ -98,7 +98,7 @@ def _oracle_spans(kind: str, rank: int, pattern: str, group: int, least: int) ->
   WHERE length(part) >= {least}"""
 
 
-ORACLES["op4_secrets"] = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\ns AS (" + "\nUNION ALL ".join(_oracle_spans(r.kind, i, r.pattern.replace("1,20000", "1,1000"), r.group, r.least) for i, r in enumerate(secrets.RULES)) + """)
+ORACLES["op4_secrets"] = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\ns AS (" + "\nUNION ALL ".join(_oracle_spans(r.kind, i, r.pattern, r.group, r.least) for i, r in enumerate(secrets.RULES)) + """)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
@@ -147,7 +147,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_urls"] = r"""
-WITH c AS (SELECT page_id, page_id % 365 AS fetched_at, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host FROM pages),
+WITH c AS (SELECT page_id, page_id % 365 AS fetched_at, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS any_host, CASE WHEN length(any_host) <= 253 THEN any_host END AS host FROM pages),
 d AS (SELECT DISTINCT domain FROM (SELECT host AS domain FROM c UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c) WHERE domain <> ''),
 x AS (SELECT domain, ('0x' || md5(domain)[1])::BIGINT AS a, ('0x' || md5(domain)[2])::BIGINT AS b, ('0x' || md5(domain)[3])::BIGINT AS e FROM d),
 iv AS (SELECT domain, 'allow' AS action, 0 AS f, NULL AS t FROM x WHERE a = 4

@@ -8,17 +8,22 @@ Spans are (kind, start, end) in code points, end exclusive, leftmost and without
 kind. The places of matches follow from the texts between them: ``split`` gives the gaps,
 ``regexp_extract_all`` the matches, and a fold adds up their lengths.
 
-Nulls: a null content is an empty one, without spans. Repeated rows give repeated results. An
-empty table gives an empty result.
+The ledger is a Parquet folder of (blob, rules_version, spans); rows that two writers add twice
+count once. Nulls: a null content is an empty one, without spans. Repeated rows give repeated
+results. Texts of any length are scanned whole. An empty table gives an empty result. Other
+columns are passed on under any name; a column named like the findings' is replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpoint, exists, fresh, held_out, shared_folder, small
+
 
 class Rule(NamedTuple):
     kind: str
@@ -71,27 +76,41 @@ def content_key(text: Column) -> Column:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES, rules_version: int = RULES_VERSION) -> DataFrame:
     """(blob, rules_version, spans) for each distinct content of ``text`` that the ledger lacks under this version."""
     own = versions.select(content_key(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    blobs = own.groupBy("blob").agg(F.first("text").alias("text"))  # copies are folded before the shuffle
     if ledger is not None:
-        own = own.join(ledger.where(F.col("rules_version") == rules_version).select("blob").distinct(), "blob", "left_anti")
-    blobs = own.groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = blobs.join(ledger.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
     spans = F.concat(*[spans_of(F.col("text"), r, i) for i, r in enumerate(rules)])
     return blobs.select("blob", F.lit(rules_version).alias("rules_version"), F.array_sort(spans).alias("spans"))
 
 
-def findings(versions: DataFrame, scanned: DataFrame, rules_version: int = RULES_VERSION) -> DataFrame:
-    """``versions`` with its findings as a column ``spans``, from scanned blobs (ledger rows of this version)."""
-    found = scanned.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = versions.withColumn("_key", content_key(F.col("text"))).join(found, F.col("_key") == F.col("_blob"), "left")
-    return joined.select(*[versions[c] for c in versions.columns], F.coalesce("_spans", F.array().cast(SPANS)).alias("_spans"))
+def findings(versions: DataFrame, scanned: DataFrame, rules_version: int = RULES_VERSION, name: str = "_spans") -> DataFrame:
+    """``versions`` with its findings as a last column ``name`` (in place of one of that name), from scanned blobs (ledger rows of this version).
+
+    Only blobs with findings are joined, each once, however often the ledger has it; they are
+    broadcast where they are few, and else the join can split a blob that many rows have, if
+    ``scanned`` is a written table.
+    """
+    kept = [c for c in versions.columns if c.lower() != name.lower()]
+    key, blob, spans = (fresh(versions, c) for c in ("_key", "_blob", "_found"))
+    found = scanned.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    found = small(checkpoint(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))))
+    joined = versions.withColumn(key, content_key(F.col("text"))).join(found, F.col(key) == F.col(blob), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(spans, F.array().cast(SPANS)).alias(name))
 
 
 def update_ledger(versions: DataFrame, path: str, rules: list[Rule] = RULES, rules_version: int = RULES_VERSION) -> DataFrame:
-    """Scans what the ledger at ``path`` lacks, appends it there, and returns ``findings`` of all versions."""
+    """Scans what the ledger at ``path`` lacks, appends it there, and returns the ledger."""
     spark = versions.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    scan(versions, spark.read.parquet(path) if known else None, rules, rules_version).write.mode("append").parquet(path)
-    return findings(versions, spark.read.parquet(path), rules_version)
+    scan(versions, spark.read.parquet(path) if exists(spark, path) else None, rules, rules_version).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def scan_increments(parts: list[DataFrame], path: str, rules: list[Rule] = RULES, rules_version: int = RULES_VERSION) -> DataFrame:
+    """The ledger at ``path`` after one increment of versions after the other; none is scanned for what an earlier one had."""
+    ledger = None
+    for versions in parts:
+        ledger = update_ledger(versions, path, rules, rules_version)
+    return ledger
 
 
 def rendered(spans: Column) -> Column:
@@ -112,7 +131,21 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with their secrets replaced in ``text``."""
-    found = findings(docs, scan(docs))
-    return found.withColumn("text", redacted(F.col("text"), F.col("_spans"))).select(docs.columns)
+def increments(docs: DataFrame) -> list[DataFrame]:
+    """``docs`` as two increments of versions: rows whose crc32 of the id's text is even are taken as history, the others as what came after."""
+    old = held_out(F.col("doc_id"), 2, 0)
+    return [docs.where(old), docs.where(~old)]
+
+
+def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The documents with their secrets replaced in ``text``, scanned against the ledger at ``path`` (a new one by default)."""
+    spark = docs.sparkSession
+    ledger = update_ledger(docs.select("text"), path or new_ledger(spark))
+    name = fresh(docs, "_spans")
+    found = findings(docs, ledger, name=name)
+    return found.withColumn("text", redacted(F.col("text"), F.col(name))).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def new_ledger(spark: SparkSession) -> str:
+    """Where a run without a ledger of its own keeps it: a new folder below the shared one."""
+    return f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
