@@ -1,59 +1,99 @@
-"""URL filters by a temporal join with dated lists, in DataFrame functions only.
+"""URL filters by an as-of join with dated lists, in DataFrame functions only.
 
-List events (domain, listed_at, action 'block' | 'allow' | 'remove') become validity intervals: an
-event holds from its time until the next event of the same domain. A capture is matched on its
-host and each parent domain, with the interval that holds at its fetch time (from inclusive, to
-exclusive); the longest listed domain decides, and 'allow' on it overrules 'block' above it.
+List events (domain, listed_at, action 'block' | 'allow' | 'remove') make validity intervals: an
+event holds from its time (inclusive) until the next event of the same domain (exclusive). A
+capture is matched on its host and each parent domain with the event that holds at its fetch time;
+the longest domain with a block or an allow decides, so 'allow' on it overrules 'block' above it.
 
-Captures are first folded to distinct (host, fetch time), so a hot host is joined once for each
-time; the join is an equi-join on the domain with the interval as a condition, and at most one
-interval of a domain matches. Of events of one domain at one time 'block' goes before 'allow'
-before 'remove', and equal events count once.
+The as-of join orders a domain's events and fetch times in one sequence and carries the last event
+forward. Only distinct times of listed domains take part, and a domain's sequence is cut into
+buckets of ``BUCKET`` units of time, each with the event that held before it, so a domain that a
+third of all captures have is neither one row for each capture nor one group. Of events of one
+domain at one time 'block' goes before 'allow' before 'remove', and equal events count once.
 
-Nulls: a capture without a url, host or fetch time is not blocked. List rows with a null field are
-left out. Repeated captures give repeated results. Empty tables give empty results; an empty list
-blocks nothing.
+Times are numbers, dates or timestamps. Nulls: a capture without a url, host or fetch time is not
+blocked. List rows with a null field or another action are left out. A host of over ``HOST_CHARS``
+characters is no domain name, and counts as none; urls may have any length. Repeated captures give
+repeated results. Empty tables give empty results; an empty list blocks nothing. Other columns of
+the captures are passed on; those named like the results are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import checkpoint, fresh, small
 
 ACTIONS = ["block", "allow", "remove"]
+RESULTS = ["matched_domain", "list_action", "listed_at", "blocked"]
+#: Units of time (days, seconds) in a bucket; the longest name that DNS allows.
+BUCKET, HOST_CHARS = 86_400, 253
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without port, user and final dot; null if there is none."""
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
     host = F.regexp_replace(host, r"\.+$", "")
-    return F.when(host != "", host)
+    return F.when((host != "") & (F.length(host) <= HOST_CHARS), host)
+
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """A time column as a number that orders and equals like it."""
+    own = F.col(f"`{name}`")
+    return (own.cast("timestamp") if isinstance(df.schema[name].dataType, T.DateType) else own).cast("double")
 
-def intervals(events: DataFrame) -> DataFrame:
-    """(domain, action, valid_from, valid_to): one row at most for each domain and time; valid_to null: open."""
+
+def folded(events: DataFrame) -> DataFrame:
+    """(domain, x, event): one event for each domain and time, with the time as a number."""
     rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).when(F.col("action") == "remove", 2)
-    own = events.select(F.lower("domain").alias("domain"), "listed_at", rank.alias("rank")).dropna()
-    first = own.groupBy("domain", "listed_at").agg(F.min("rank").alias("rank"))
-    until = F.lead("listed_at").over(Window.partitionBy("domain").orderBy("listed_at"))
-    held = first.withColumn("valid_to", until).where("rank < 2")
-    return held.select("domain", F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("rank") + 1).alias("action"), F.col("listed_at").alias("valid_from"), "valid_to")
+    own = events.select(F.lower("domain").alias("domain"), number_of(events, "listed_at").alias("x"), F.struct(rank.alias("rank"), "listed_at").alias("event"))
+    return own.where("domain is not null and x is not null and event.rank is not null").groupBy("domain", "x").agg(F.min("event").alias("event"))
+
+
+def as_of(points: DataFrame, events: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(domain, x, event): for each of the distinct points (domain, x) the last event of the domain at or before x, if there is one."""
+    of = F.floor(F.col("x") / bucket).alias("bucket")
+    own, listed = points.select("domain", of, "x"), events.select("domain", of, "x", "event")
+    begins = own.select("domain", "bucket").distinct()
+
+    def carried(rows: DataFrame, keys: list[str]) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy("x", F.col("event").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("last", F.last("event", ignorenulls=True).over(before)).where("event is null and last is not null")
+
+    marks = begins.select("domain", "bucket", (F.col("bucket") * bucket).cast("double").alias("x"))
+    # what holds as a bucket begins, from the domain's events and one row for each of its buckets
+    held = carried(listed.unionByName(marks, allowMissingColumns=True), ["domain"]).select("domain", "bucket", "x", F.col("last").alias("event"))
+    inside = listed.join(begins, ["domain", "bucket"], "left_semi")
+    rows = inside.unionByName(held).unionByName(own, allowMissingColumns=True)
+    return carried(rows, ["domain", "bucket"]).select("domain", "x", F.col("last").alias("event"))
 
 
 def verdicts(captures: DataFrame, events: DataFrame) -> DataFrame:
     """``captures`` (with url, fetched_at) plus matched_domain, list_action, listed_at and blocked."""
-    own = captures.withColumn("_host", host_of(F.col("url")))
-    keys = own.where("_host is not null and fetched_at is not null").select("_host", "fetched_at").distinct()
-    labels = F.split("_host", r"\.")
+    host, time = fresh(captures, "_host"), fresh(captures, "_time")
+    own = captures.withColumn(host, host_of(F.col("url"))).withColumn(time, number_of(captures, "fetched_at"))
+    keys = own.select(F.col(host).alias("host"), F.col(time).alias("x")).dropna().distinct()
+    labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = keys.select("_host", "fetched_at", F.explode(domains).alias("domain"))
-    active = intervals(events)
-    hit = each.join(active, "domain").where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
-    best = hit.groupBy("_host", "fetched_at").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "action", "valid_from")).alias("b"))
-    named = best.select(F.col("_host").alias("_h"), F.col("fetched_at").alias("_t"), "b")
-    joined = own.join(named, (F.col("_host") == F.col("_h")) & (own.fetched_at == F.col("_t")), "left")
-    return joined.select(*[own[c] for c in captures.columns], F.col("b.domain").alias("matched_domain"), F.col("b.action").alias("list_action"), F.col("b.valid_from").alias("listed_at"), F.coalesce(F.col("b.action") == "block", F.lit(False)).alias("blocked"))
+    listed = checkpoint(folded(events))
+    # top-level domains and other names that no list has go before anything is dealt out by domain
+    each = keys.select("host", "x", F.explode(domains).alias("domain")).join(small(listed.select("domain")), "domain", "left_semi")
+    state = as_of(each.select("domain", "x").distinct(), listed).where("event.rank < 2")
+    hit = each.join(state, ["domain", "x"])
+    best = hit.groupBy("host", "x").agg(F.max_by(F.struct("domain", "event"), F.length("domain")).alias("b"))
+    named = small(checkpoint(best.select(F.col("host").alias(fresh(own, "_h")), F.col("x").alias(fresh(own, "_x")), F.col("b").alias(fresh(own, "_b")))))
+    h, x, b = named.columns
+    joined = own.join(named, (F.col(host) == F.col(h)) & (F.col(time) == F.col(x)), "left")
+    rank = F.col(f"{b}.event.rank")
+    action = F.when(rank == 0, ACTIONS[0]).when(rank == 1, ACTIONS[1])
+    results = [F.col(f"{b}.domain"), action, F.col(f"{b}.event.listed_at"), F.coalesce(action == "block", F.lit(False))]
+    return joined.select(*[F.col(f"`{c}`") for c in captures.columns if c.lower() not in RESULTS], *[c.alias(n) for c, n in zip(results, RESULTS, strict=True)])
 
 
 def keep_allowed(captures: DataFrame, events: DataFrame) -> DataFrame:
-    return verdicts(captures, events).where("not blocked").select(captures.columns)
+    """The captures that are not blocked, with their own columns."""
+    renamed = {c: fresh(captures, f"_own_{c}") for c in captures.columns if c.lower() in RESULTS}
+    out = verdicts(captures.withColumnsRenamed(renamed), events).where("not blocked")
+    return out.select(*[F.col(f"`{renamed.get(c, c)}`").alias(c) for c in captures.columns])

@@ -1,3 +1,6 @@
+import datetime
+import random
+
 from pathlore.llm import urlfilter
 
 
@@ -13,3 +16,43 @@ def test_intervals_and_verdicts(spark):
     assert len(out) == len(rows)
     assert urlfilter.keep_allowed(captures, events.limit(0)).count() == len(rows)
     assert urlfilter.verdicts(captures.limit(0), events).count() == 0
+
+
+def brute(captures, events):
+    out = []
+    for key, host, t in captures:
+        best = None
+        for i in range(host.count(".") + 1):
+            domain = host.split(".", i)[-1]
+            own = [(at, -urlfilter.ACTIONS.index(a), a) for d, at, a in events if d == domain and at <= t]
+            if own and (last := max(own))[2] != "remove":
+                best = best or (domain, last[2], last[0])
+        out.append((key, *(best or (None, None, None))))
+    return sorted(out)
+
+
+def test_as_of_against_brute_force(spark):
+    rng = random.Random(3)
+    hosts = ["a.b.c", "b.c", "c", "x.b.c", "x.y.z", "z"]
+    events = sorted({(rng.choice(hosts), rng.randrange(0, 40), rng.choice(urlfilter.ACTIONS)) for _ in range(40)})
+    captures = [(i, rng.choice(hosts), rng.randrange(0, 45)) for i in range(400)]
+    e = spark.createDataFrame(events, "domain string, listed_at long, action string")
+    c = spark.createDataFrame([(i, f"http://{h}/p", t) for i, h, t in captures], "page_id long, url string, fetched_at long")
+    want = brute(captures, events)
+    got = sorted(tuple(r) for r in urlfilter.verdicts(c, e).select("page_id", "matched_domain", "list_action", "listed_at").collect())
+    assert got == want
+    points = c.select(urlfilter.host_of(c.url).alias("domain"), c.fetched_at.cast("double").alias("x")).distinct()
+    many, one = (sorted(map(tuple, urlfilter.as_of(points, urlfilter.folded(e), b).collect())) for b in (7, 10**6))
+    assert many == one and many
+
+
+def test_clashing_columns_and_dates(spark):
+    e = spark.createDataFrame([("evil.com", datetime.date(2024, 1, 5), "block")], "domain string, listed_at date, action string")
+    row = (1, "http://evil.com", datetime.date(2024, 1, 5), "b", "h", True, "x", 4)
+    c = spark.createDataFrame([row, (2, "http://evil.com", datetime.date(2024, 1, 4), "b", "h", True, "x", 4)], "page_id long, url string, fetched_at date, b string, _host string, blocked boolean, domain string, rank int")
+    out = {r.page_id: r for r in urlfilter.verdicts(c, e).collect()}
+    assert out[1].blocked and not out[2].blocked and out[1].b == "b" and out[1]._host == "h" and out[1].listed_at == datetime.date(2024, 1, 5)
+    kept = urlfilter.keep_allowed(c, e)
+    assert kept.columns == c.columns and [r.page_id for r in kept.collect()] == [2] and kept.first().blocked
+    long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "evil.com/x", datetime.date(2024, 1, 5))], "page_id long, url string, fetched_at date")
+    assert [r.blocked for r in urlfilter.verdicts(long, e).collect()] == [False]
