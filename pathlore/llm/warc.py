@@ -1,33 +1,40 @@
 """WARC archives: writing records in segments with chunked transfer framing, and reassembly.
 
-Writing: each page is one record. Of pages with equal payloads of ``MIN_REVISIT`` bytes or more,
-those with the smallest page_id are responses and the others revisit records that refer to it.
-A response's HTTP message has a chunked body; its block is cut into segments, the first in the
-response record, the others in continuation records. Spark's text writer, with the archive's
-record end as line end, writes the files (gzip), so any store that Spark can write to will do.
-
-Reading: records are cut by their Content-Length; segments are grouped by the origin's record id,
-ordered by segment number, checked against the total length, joined, and the chunked framing is
-decoded. ``error`` tells what is wrong with a record that fails (its payload is null then).
+Writing: each page is one record, whose id is made of the page_id and the payload's digest. Of pages
+with equal payloads of ``MIN_REVISIT`` bytes or more, those with the smallest page_id are responses
+and the others revisit records that refer to it. A response's HTTP message has a chunked body; its
+block is cut into segments, the first in the response record, the others in continuation records.
+Spark's text writer, with the archive's record end as line end, writes the files, so any store that
+Spark can write to will do; gzip covers a file, not each record, and there are no warcinfo records.
+
+Reading takes any WARC files (plain, or gzip by file or by record), each in the memory of one task:
+records are cut by their Content-Length; segments are grouped by the origin's record id, ordered by
+segment number, checked against the total length, joined, and the chunked framing is decoded. A
+SHA-256 or SHA-1 payload digest is checked. ``error`` tells what is wrong with a record that fails,
+or with the rest of a file that is cut short or no archive; the payload is null then. page_id and
+refers_to are null where a record id isn't one of this writer's.
 
 Nulls: a null html is an empty payload; a null url has no target header; a null page_id is never
-the smallest of a group that has another id. Rows that share page_id and payload are all responses
-if that id is the smallest. An empty table gives an archive without records.
+the smallest of a group that has another id. Rows that share page_id and payload have one record
+id; each is written, and read back as a row of its own. Payloads may have any length up to 2 GB. An empty table gives
+an archive without records, and reads as an empty result. Other columns of the pages are not written.
 """
 
 from __future__ import annotations
 
-import gzip
+import base64
 import hashlib
-import tempfile
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpoint, shared_folder, slices, small
+
 END = b"\r\n\r\n"
 MIN_REVISIT, SEGMENT, CHUNK, RECORDS_PER_FILE = 100, 8192, 3000, 4096
 _URN = "urn:pathlore:page:"
@@ -43,7 +50,7 @@ def dechunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         line = body.index(b"\r\n", at)
-        size = int(body[at:line].split(b";")[0], 16)
+        size = int(body[at:line].split(b";")[0], 16)  # ValueError if it is none
         at = line + 2
         if not size:
             return b"".join(out)
@@ -76,41 +83,78 @@ def records(record_id: str, url: str | None, payload: bytes, digest: str, refers
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and blocks of an archive's records, by Content-Length."""
+    """Headers (lower-case names) and blocks of an archive's records, by Content-Length; ValueError at what is no whole record."""
     at = 0
     while at < len(data):
-        stop = data.index(END, at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+        stop = data.find(END, at)
+        lines = data[at : max(stop, at)].decode(errors="replace").split("\r\n")
+        if stop < 0 or not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        end = stop + 4 + int(headers["content-length"])
-        yield headers, data[stop + 4 : end]
+        size = headers.get("content-length", "")
+        if not size.isascii() or not size.isdigit():
+            raise ValueError(f"no content length at byte {at}")
+        end = stop + 4 + int(size)
         if data[end : end + 4] != END:
             raise ValueError(f"record at byte {at} is cut short")
+        yield headers, data[stop + 4 : end]
         at = end + 4
 
 
-def payload_of(segments: list[tuple[int, bytes, int | None]], digest: str | None) -> bytes:
+def unpacked(content: bytes) -> tuple[bytes, str | None]:
+    """The bytes of a file, plain or in gzip members, as far as they go, and what is wrong behind that."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error:
+            return b"".join(out), "gzip data is damaged"
+        if not member.eof:
+            return b"".join(out), "gzip data is cut short"
+        content = member.unused_data
+    return b"".join(out) + content, None
+
+
+def _fits(digest: str, payload: bytes) -> bool:
+    """Whether a digest header (sha256 or sha1, hex or base 32) is that of the payload; others are not checked."""
+    kind, _, value = digest.partition(":")
+    if kind.lower() not in ("sha256", "sha1"):
+        return True
+    own = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def payload_of(segments: list[tuple[int, bytes, int | None]], digest: str | None, http: bool = True) -> bytes:
     """The payload from (number, block, total length) of all segments of a record; ValueError if they don't fit."""
-    segments = sorted(segments)
+    segments = sorted(segments, key=lambda s: s[0])
     if [s[0] for s in segments] != list(range(1, len(segments) + 1)):
         raise ValueError("segments are missing or doubled")
     block = b"".join(s[1] for s in segments)
     total = segments[-1][2]
     if len(segments) > 1 and total is None or total is not None and total != len(block):
         raise ValueError("total length differs")
-    head, _, body = block.partition(END)
+    head, _, body = block.partition(END) if http else (b"", b"", block)
     payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-    if digest is not None and hashlib.sha256(payload).hexdigest() != digest:
+    if digest is not None and not _fits(digest, payload) and not _fits(digest, body):  # some writers digest the framed body
         raise ValueError("digest differs")
     return payload
 
 
 def archive_path(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pathlore-warc-")
-    return f"{top}/warc-{uuid.uuid4().hex}"
+    """A new folder below the shared folder."""
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"{_URN}{'-' if page_id is None else page_id}:{digest}"
+
+
+def page_of(urn: str | None) -> int | None:
+    """The page_id in a record id of this writer, else null."""
+    own = (urn or "").strip("<>")
+    own = own.removeprefix(_URN).split(":")[0] if own.startswith(_URN) else ""
+    return int(own) if re.fullmatch(r"-?[0-9]{1,19}", own) else None
 
 
 def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
@@ -118,18 +162,16 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha2("html", 256))
     groups = own.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    roles = own.join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("low").eqNullSafe(F.col("page_id")), F.col("low")))
+    # only groups of copies are joined; written, so that the join can split a payload that many pages have
+    roles = own.join(small(checkpoint(groups)), "digest", "left").withColumn("refers_to", F.when(~F.col("low").eqNullSafe(F.col("page_id")), F.col("low")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                out = []
-                for r in b.slice(at, 256).to_pylist():
-                    n += 1
-                    to = None if r["refers_to"] is None else f"{_URN}{r['refers_to']}"
-                    out += records(f"{_URN}{'-' if r['page_id'] is None else r['page_id']}:{task}.{n}", r["url"], r["html"].encode(), r["digest"], to, segment)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        for b in slices(batches, "html"):
+            out = []
+            for r in b.to_pylist():
+                to = None if r["refers_to"] is None else record_id(r["refers_to"], r["digest"])
+                out += records(record_id(r["page_id"], r["digest"]), r["url"], r["html"].encode(), r["digest"], to, segment)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     archive = roles.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "value binary")
     # a cast from binary keeps the bytes as they are, also where a segment ends within a character
@@ -137,54 +179,73 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, payload binary, payload_digest, refers_to, error): a row for each record."""
+    """(record_id, page_id, record_type, payload binary, payload_digest, refers_to, error): a row for each record.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def page(urn):
-            own = urn.strip("<>").removeprefix(_URN).split(":")[0] if urn else "-"
-            return None if own == "-" else int(own)
+    ``payload_digest`` is the payload's SHA-256, of a revisit that which its header gives.
+    """
+
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        first = h.get("warc-type") != "continuation"
+        origin = h.get("warc-record-id" if first else "warc-segment-origin-id")
+        n, total = h.get("warc-segment-number", "1"), h.get("warc-segment-total-length")
+        if not origin or not n.isdigit() or total is not None and not total.isdigit():
+            raise ValueError("record id or segment number is missing")
+        own = h.get("warc-record-id") if first else None
+        http = "application/http" in h.get("content-type", "").lower() if first else None
+        return origin.strip("<>"), int(n), block, int(total) if total else None, h.get("warc-type", "unknown") if first else None, page_of(own), h.get("warc-payload-digest"), page_of(h.get("warc-refers-to")), http, None
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                rows = []
-                for h, block in parse(gzip.decompress(content.as_py())):
-                    first = h["warc-type"] != "continuation"
-                    total = h.get("warc-segment-total-length")
-                    rows.append((h["warc-record-id"] if first else h["warc-segment-origin-id"], int(h.get("warc-segment-number", 1)), block, int(total) if total else None, h["warc-type"] if first else None, page(h["warc-record-id"]) if first else None, h.get("warc-payload-digest", "").removeprefix("sha256:") or None, page(h.get("warc-refers-to"))))
-                    if len(rows) == 512:
-                        yield _batch(rows, _PARTS)
-                        rows = []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows, size, bad = [], 0, []
+                data, wrong = unpacked(content.as_py())
+                try:
+                    for n, (h, block) in enumerate(parse(data)):
+                        try:
+                            rows.append(row(h, block))
+                        except ValueError as e:
+                            bad.append((f"{name}#{n}", str(e)))
+                        size += len(block)
+                        if len(rows) == 512 or size > 4 << 20:
+                            yield _batch(rows, _PARTS)
+                            rows, size = [], 0
+                except ValueError as e:
+                    wrong = wrong or str(e)
+                if wrong:
+                    bad.append((f"{name}#rest", wrong))
+                rows += [(origin, 1, None, None, None, None, None, None, None, error) for origin, error in bad]
                 if rows:
                     yield _batch(rows, _PARTS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    parts = files.mapInArrow(cut, "origin string, n int, block binary, total long, kind string, page_id long, digest string, refers_to long")
-    whole = parts.groupBy("origin").agg(
-        F.collect_list(F.struct("n", "block", "total")).alias("segments"),
-        *(F.max(c).alias(c) for c in ("kind", "page_id", "digest", "refers_to")),
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("path", "content")
+    parts = files.mapInArrow(cut, "origin string, n int, block binary, total long, kind string, page_id long, digest string, refers_to long, http boolean, error string")
+    whole = parts.groupBy("origin").agg(  # a set, so records that are there twice are kept once, and counted
+        F.collect_set(F.struct("n", "block", "total")).alias("segments"),
+        F.count("kind").alias("copies"),
+        *(F.max(c).alias(c) for c in ("kind", "page_id", "digest", "refers_to", "http", "error")),
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = []
-                for r in b.slice(at, 256).to_pylist():
-                    payload = error = None
-                    if r["kind"] is None:
-                        error = "first segment is missing"
-                    elif r["kind"] != "revisit":
-                        try:
-                            payload = payload_of([(s["n"], s["block"], s["total"]) for s in r["segments"]], r["digest"])
-                        except ValueError as e:
-                            error = str(e)
-                    rows.append((r["page_id"], r["kind"], payload, r["digest"], r["refers_to"], error))
-                yield _batch(rows, _RECORDS)
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                payload, error = None, r["error"]
+                digest = (r["digest"] or "").partition(":")[2].lower() if (r["digest"] or "").lower().startswith("sha256:") else None
+                if error is None and r["kind"] is None:
+                    error = "first segment is missing"
+                elif error is None and r["kind"] != "revisit":
+                    try:
+                        payload = payload_of([(s["n"], s["block"], s["total"]) for s in r["segments"]], r["digest"], r["http"])
+                        digest = digest or hashlib.sha256(payload).hexdigest()
+                    except ValueError as e:
+                        error = str(e)
+                yield _batch([(r["origin"], r["page_id"], r["kind"], payload, digest, r["refers_to"], error)] * max(1, r["copies"]), _RECORDS)
 
-    return whole.mapInArrow(join, "page_id long, record_type string, payload binary, payload_digest string, refers_to long, error string")
+    return whole.mapInArrow(join, "record_id string, page_id long, record_type string, payload binary, payload_digest string, refers_to long, error string")
 
 
-_PARTS = pa.schema([("origin", pa.string()), ("n", pa.int32()), ("block", pa.binary()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64())])
-_RECORDS = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
+_PARTS = pa.schema([("origin", pa.string()), ("n", pa.int32()), ("block", pa.binary()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("http", pa.bool_()), ("error", pa.string())])
+_RECORDS = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -193,7 +254,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def digests(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, error); a revisit's size is that of the response it refers to."""
-    own = records.select("page_id", F.octet_length("payload").cast("long").alias("own"), "payload_digest", "record_type", "refers_to", "error")
-    to = own.where("record_type = 'response' and own is not null").groupBy(F.col("page_id").alias("to"), F.col("payload_digest").alias("to_digest")).agg(F.max("own").alias("seen"))
-    out = own.join(to, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("to_digest")), "left")
+    own = checkpoint(records.select("page_id", F.octet_length("payload").cast("long").alias("own"), "payload_digest", "record_type", "refers_to", "error"))
+    asked = own.where("refers_to is not null").select("refers_to", "payload_digest").distinct()
+    seen = own.where("record_type = 'response' and own is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("own").alias("seen"))
+    to = checkpoint(seen.join(asked, ["refers_to", "payload_digest"], "left_semi").groupBy("refers_to", "payload_digest").agg(F.max("seen").alias("seen")))
+    out = own.join(small(to), ["refers_to", "payload_digest"], "left")
     return out.select("page_id", F.coalesce("own", "seen").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "error")

@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 
 import pytest
@@ -43,8 +45,41 @@ def test_round_trip(payload, segment, chunk):
     digest = hashlib.sha256(payload).hexdigest()
     raw = b"".join(r + warc.END for r in warc.records("x", "u", payload, digest, None, segment))
     parts = [(int(h.get("warc-segment-number", 1)), b, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None) for h, b in warc.parse(raw)]
+    digest = f"sha256:{digest}"
     assert warc.payload_of(parts[::-1], digest) == payload
     if len(parts) > 1:
         for broken in (parts[1:], parts[:-1], [*parts, parts[-1]]):
             with pytest.raises(ValueError):
                 warc.payload_of(broken, digest)
+
+
+def record(kind, rid, block, more=""):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{rid}>\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + warc.END
+
+
+def test_foreign_and_broken_archives(spark, tmp_path):
+    body = b"hello"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    head = "Content-Type: application/http; msgtype=response\r\n"
+    good = [record("warcinfo", "urn:uuid:1", b"software: x\r\n"), record("response", "urn:uuid:2", http, f"{head}WARC-Payload-Digest: sha1:{sha1}\r\n"), record("response", "urn:uuid:3", http, f"{head}WARC-Payload-Digest: sha1:{'A' * 32}\r\n"), record("metadata", "urn:pathlore:page:x:1", b"m")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, good)))  # a member for each record
+    (tmp_path / "b.warc").write_bytes(good[0].replace(b"uuid:1", b"uuid:9") + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut")
+    (tmp_path / "c.gz").write_bytes(gzip.compress(b"no archive"))
+    (tmp_path / "d.gz").write_bytes(gzip.compress(good[1].replace(b"uuid:2", b"uuid:8"))[:-30])
+    (tmp_path / "e.warc").write_bytes(b"")
+    got = {r.record_id: r for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert got["urn:uuid:1"].payload == b"software: x\r\n" and got["urn:uuid:1"].record_type == "warcinfo"
+    assert got["urn:uuid:2"].payload == body and got["urn:uuid:2"].payload_digest == hashlib.sha256(body).hexdigest() and got["urn:uuid:2"].page_id is None
+    assert got["urn:uuid:3"].error == "digest differs" and got["urn:pathlore:page:x:1"].page_id is None and "urn:uuid:9" in got
+    wrong = [r.error for k, r in got.items() if k.endswith("#rest")]
+    assert len(wrong) == 3 and all(wrong)
+
+
+def test_revisits_refer_to_records_that_are_there(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "x" * 200) for i in (4, 2, 9)], "page_id long, url string, html string")
+    warc.write_archive(df, str(tmp_path / "a"))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("*.gz"))
+    heads = [h for h, _ in warc.parse(raw)]
+    ids = {h["warc-record-id"] for h in heads}
+    assert len(ids) == 3 and [h["warc-refers-to"] in ids for h in heads if h["warc-type"] == "revisit"] == [True, True]
