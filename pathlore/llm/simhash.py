@@ -8,12 +8,13 @@ member has a row in a table of Hamming distances to reference fingerprints (pivo
 triangle inequality a pair is discarded if any coordinate differs by more than the radius; the
 survivors are verified bit by bit. A search along links gives a spanning forest of the block, so
 it puts out fewer edges than it has members, never its pairs. A block with more than
-``TABLE_MEMBERS`` members is linked through its members' one-bit neighbours instead, which finds
-the same links (radius 2) with work in proportion to its size.
+``TABLE_MEMBERS`` members is first split by the cells of ``CELL`` distances to four pivots, and to
+four more while a part is that large: linked fingerprints share a cell of each pivot.
 
 Nulls: a null text is an empty one, with fingerprint zero. A null id takes part in links but is
 never a component's name (null only if the component has no other id). Rows with equal ids are
-rows of their own. Empty tables give empty results.
+rows of their own. Texts of any length are read whole. Empty tables give empty results. Other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import checkpoint, slices, small
 from .graph import components
 
-SHINGLE, SEED, RADIUS, PIVOTS, TABLE_MEMBERS = 3, 42, 2, 16, 2048
+SHINGLE, SEED, RADIUS, PIVOTS, PIVOTS_A_SPLIT, TABLE_MEMBERS = 3, 42, 2, 16, 4, 2048
+#: Distances in a cell of a pivot: one more than the radius, so that linked fingerprints lie in the same cell or adjacent ones.
+CELL = RADIUS + 1
 
 #: Reference fingerprints of the distance tables.
 REFERENCES = np.array([xxhash.xxh64_intdigest(f"pivot {i}", SEED) for i in range(PIVOTS)], np.uint64)
@@ -108,42 +111,37 @@ def forest(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return edges
 
 
-def forest_by_neighbours(fp: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (positions) that join the same components for radius 2: chains of members that share a one-bit neighbour."""
-    edges, flips = [], np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
-    low = fp & np.uint64(15)
-    for c in range(16):  # hubs by their low bits, to bound memory
-        hubs, who = [], []
-        for f in flips:
-            at = np.flatnonzero((low ^ (f & np.uint64(15))) == c)
-            hubs.append(fp[at] ^ f)
-            who.append(at)
-        hub, member = np.concatenate(hubs), np.concatenate(who)
-        order = np.argsort(hub, kind="stable")
-        hub, member = hub[order], member[order]
-        same = np.flatnonzero(hub[1:] == hub[:-1])
-        pairs = np.unique(np.stack([member[same], member[same + 1]]), axis=1)
-        edges += zip(*pairs.tolist(), strict=True)
-    root = list(range(len(fp)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    kept = []
-    for a, b in edges:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def cells(fp, pivot: int):
+    """The cells of ``CELL`` distances to a pivot in which a fingerprint may meet another: its own, and the one below where its border is within the radius."""
+    ref = int(REFERENCES[pivot].view(np.int64))
+    d = F.bit_count(F.col(fp).bitwiseXOR(F.lit(ref)))
+    own = F.floor(d / CELL)
+    return F.when(d % CELL < RADIUS, F.array(own, own - 1)).otherwise(F.array(own))
+
+
+def split_blocks(blocks: DataFrame, members: int = TABLE_MEMBERS) -> DataFrame:
+    """(key, fp) of blocks, those with over ``members`` members split by the cells of more and more pivots.
+
+    Two linked fingerprints differ by the radius at most in each pivot's distance, so they share a
+    cell of each, and no link is lost; a pivot more costs two thirds of a row for each member.
+    """
+    out, pivot = None, 0
+    while True:
+        large = checkpoint(blocks.groupBy("key").count().where(F.col("count") > members).select("key"))
+        if pivot >= PIVOTS or large.isEmpty():
+            return blocks if out is None else out.unionByName(blocks)
+        done = blocks.join(small(large), "key", "left_anti")
+        out = done if out is None else out.unionByName(done)
+        blocks = blocks.join(small(large), "key", "left_semi")
+        for p in range(pivot, pivot + PIVOTS_A_SPLIT):
+            blocks = blocks.withColumn("cell", F.explode(cells("fp", p))).select(F.xxhash64("key", "cell").alias("key"), "fp")
+        pivot += PIVOTS_A_SPLIT
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, members: int = TABLE_MEMBERS) -> DataFrame:
     """(a, b): edges of a forest whose components are those of all links among the distinct ``fp``."""
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(block_masks(radius))]))
+    masked = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in block_masks(radius)]
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(masked)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, held = None, []
@@ -152,41 +150,42 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             fp = np.concatenate(held).view(np.uint64)
             if len(fp) < 2:
                 return None
-            e = forest(fp, radius) if len(fp) <= TABLE_MEMBERS or radius != 2 else forest_by_neighbours(fp)
-            if not e:
+            if not (e := forest(fp, radius)):
                 return None
             at = np.array(e, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(fp[at[:, i]].view(np.int64)) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
-            k, key, fp = (b.column(i).to_numpy() for i in range(3))
+            key, fp = (b.column(i).to_numpy() for i in range(2))
             if not len(fp):
                 continue
-            cut = [0, *(np.flatnonzero((np.diff(k) != 0) | (np.diff(key) != 0)) + 1).tolist(), len(fp)]
+            cut = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(fp)]
             for i, j in zip(cut, cut[1:], strict=False):
-                if (own := (k[i], key[i])) != open_key:
+                if key[i] != open_key:
                     if held and (out := close()):
                         yield out
-                    open_key, held = own, []
+                    open_key, held = key[i], []
                 held.append(fp[i:j])
         if held and (out := close()):
             yield out
 
-    dealt = distinct.select(keys.alias("x"), "fp").select("x.k", "x.key", "fp").repartition("k", "key").sortWithinPartitions("k", "key")
+    dealt = split_blocks(distinct.select(keys.alias("key"), "fp"), members).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp long, component_id): a row for each document; see the module for nulls and ties."""
     fps = checkpoint(with_fingerprints(docs, shingle, seed))
-    folded = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    folded = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     roots = components(links(folded.select("fp"), radius))
-    named = folded.join(roots, folded.fp == roots.u, "left").select("fp", "low", F.coalesce("v", "fp").alias("root"))
+    named = folded.join(roots, folded.fp == roots.u, "left").select("fp", "low", "n", F.coalesce("v", "fp").alias("root"))
     lows = named.where("root != fp").groupBy("root").agg(F.min("low").alias("others"))
     # the root's own id competes too: roots are the smallest fingerprints, not the smallest ids
-    best = lows.join(folded.withColumnRenamed("fp", "root"), "root").select("root", F.least("others", "low").alias("component_id"))
-    of = named.join(best, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    best = lows.join(folded.select(F.col("fp").alias("root"), "low"), "root").select("root", F.least("others", "low").alias("best"))
+    # only fingerprints with a partner need a name; written, so that the join can split those that many rows have
+    of = checkpoint(named.join(best, "root", "left").where("n > 1 or best is not null").select("fp", F.coalesce("best", "low").alias("component_id"), F.lit(True).alias("found")))
+    named_rows = fps.join(small(of), "fp", "left")
+    return named_rows.select("doc_id", "fp", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def fingerprint_hex(fp):

@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pathlore.llm import simhash
 from pathlore.llm.queries import op10_simhash
@@ -69,14 +70,30 @@ def test_links_by_both_ways(spark):
 
     want = parts([(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 2])
     assert parts(simhash.forest(fp)) == want
-    assert parts(simhash.forest_by_neighbours(fp)) == want
     at = {int(v): i for i, v in enumerate(fp.view(np.int64))}
-    got = simhash.links(spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp long")).collect()
-    assert parts([(at[r.a], at[r.b]) for r in got]) == want
+    for members in (2048, 3):  # whole blocks, and blocks split by all pivots' cells
+        got = simhash.links(spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp long"), members=members).collect()
+        assert parts([(at[r.a], at[r.b]) for r in got]) == want
 
 
-def test_large_block_is_fast():
+def test_large_block_is_split(spark):
     start = time.time()
-    fp = np.unique(np.random.default_rng(1).integers(0, 2**17, 30000, dtype=np.uint64))
-    assert len(simhash.forest_by_neighbours(fp)) <= len(fp)
-    assert time.time() - start < 60
+    fp = np.unique(np.random.default_rng(1).integers(0, 2**40, 30000, dtype=np.uint64))
+    blocks = spark.createDataFrame([(1, int(v)) for v in fp], "key long, fp long")
+    rows = simhash.split_blocks(blocks)
+    assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] <= simhash.TABLE_MEMBERS
+    assert time.time() - start < 120
+
+
+def test_linked_fingerprints_share_a_cell_of_each_pivot(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64))
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long")
+    for p in range(simhash.PIVOTS):
+        assert df.where(F.size(F.array_intersect(simhash.cells("a", p), simhash.cells("b", p))) == 0).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", 1, 2, 3, 4), (2, "a b c d", 1, 2, 3, 4)], "doc_id long, text string, fp long, component_id long, n long, low long")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(1, 1), (2, 1)]
