@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -47,3 +48,28 @@ def test_edges(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, id string")).collect())
     assert got == [(-1, 30, 0), (5, 30, 30), (5, 30, 30), (6, 51, brute([(6, "x " * 50 + "y")])[6][1]), (7, 0, 0), (8, 0, 0), (9, 1, 0)]
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_more_levels_and_small_batches(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {i: v for i, v in brute([(r.doc_id, r.text) for r in docs.collect()]).items()}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    for least, rows in ((5, old), (10, "3")):
+        spark.conf.set(name, rows)
+        try:
+            got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs, 20, least).collect()}
+        finally:
+            spark.conf.set(name, old)
+        assert got == want
+
+
+def test_levels():
+    assert substring.levels(20, 5) == [5, 10] and substring.levels(20, 10) == [10] and substring.levels(16, 1) == [1, 2, 4, 8]
+    with pytest.raises(ValueError):
+        substring.levels(20, 3)
+
+
+def test_no_survivors_end_the_search(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(40))) for i in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in substring.remove_repeats(df, 20, 5).collect()} == {0}
