@@ -13,7 +13,9 @@ With the margin (runner-up's bytes less the winner's, over the runner-up's), ``s
 five times the margin, at most 1, and ``rejected`` is true where the margin is narrow (below
 ``MARGIN``); the prediction is given all the same. Nulls: a text that is null or has no letter is
 ``und`` with score 0; rows without lang teach nothing. With no language learned, all texts are
-``und``. Rows are judged alone.
+``und``. Rows are judged alone, repeated rows alike, and texts of any length whole. An empty table
+gives an empty result. Other columns are passed on; input columns with the names of the results
+are replaced.
 """
 
 from __future__ import annotations
@@ -96,9 +98,9 @@ def learn(windows: dict[str, list[str]]) -> dict[str, bytes]:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """``docs`` columns but text, with lang_pred, score and rejected."""
-    kept = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    """``docs`` columns but text, with lang_pred, score and rejected as last columns (in place of any of these names)."""
+    kept = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score", "rejected")]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(dictionaries, margin)
@@ -106,4 +108,4 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
             lang, score, rejected = zip(*map(own.judge, b.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lang), pa.array(score), pa.array(rejected)], [*kept, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return docs.select(*[F.col(f"`{c}`") for c in kept], "text").mapInArrow(run, f"{kinds}lang_pred string, score double, rejected boolean")

@@ -10,7 +10,8 @@ padding is needed anywhere. A pool belongs to one task; nothing is shuffled, and
 again packs the same documents in the same way.
 
 Nulls: a null text is an empty one (its only id is the end id); a null id is kept. Equal rows are
-documents of their own. An empty table gives no sequences.
+documents of their own. Texts of any length are read whole. An empty table gives no sequences. Other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Repeated windows are found within the row: 64-bit hashes of words are combined t
 and 8 words, and only rows with equal window hashes are sorted. Nothing is shuffled but counts.
 
 Nulls: a null text has no words and fails the base. Rows are judged alone, so repeats and null ids
-don't matter. An empty table gives an empty result.
+don't matter. Texts of any length are read whole. An empty table gives an empty result. Other
+columns are passed on, whatever their names; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 from .native import count_of, let, words
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -132,9 +133,9 @@ def posterior(pattern, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-700, min(700, odds))))
 
 
-def fit(known: DataFrame) -> Model:
-    """The model from the votes of all rows (a column ``_facts``)."""
-    counts = known.select(votes(F.col("_facts")).alias("v")).groupBy("v").count().collect()
+def fit(known: DataFrame, name: str = "_facts") -> Model:
+    """The model from the votes of all rows, whose facts are in a column ``name``."""
+    counts = known.select(votes(F.col(name)).alias("v")).groupBy("v").count().collect()
     return estimate(sorted((tuple(r[0]), r[1]) for r in counts), len(RULES))
 
 
@@ -188,10 +189,12 @@ def verdict(f: Column, model: Model) -> Column:
     )
 
 
-def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` less text, with a struct column ``_quality``. Texts are read once; their facts go through a checkpoint."""
-    known = checkpoint(docs.withColumn("_facts", facts(F.col("text"))).drop("text"))
-    return known.withColumn("_quality", verdict(F.col("_facts"), model or fit(known))).drop("_facts")
+def judged(docs: DataFrame, model: Model | None = None, name: str = "_quality") -> DataFrame:
+    """``docs`` less text, with a struct column ``name`` (in place of one of that name). Texts are read once; their facts go through a checkpoint."""
+    own = fresh(docs, "_facts")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", name.lower())]
+    known = checkpoint(docs.select(*kept, facts(F.col("text")).alias(own)))
+    return known.withColumn(name, verdict(F.col(own), model or fit(known, own))).drop(own)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -36,3 +36,28 @@ def test_edges(spark):
     assert langid.sample(empty) == {} and langid.learn({}) == {} and langid.predict(empty, {}).count() == 0
     some = spark.createDataFrame([("a b", None), (None, "en"), ("12", "en"), ("a b", "en")], "text string, lang string")
     assert langid.sample(some) == {"en": ["a b"]}
+
+
+def test_verdicts_against_plain_compression(spark):
+    """Each verdict of the smallest table again: sizes by the library's own one-shot calls, no operator code."""
+    import regex
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    dictionaries = langid.learn(langid.sample(docs.select("lang", "text")))
+    params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_checksum=0, write_content_size=0, write_dict_id=0)
+    for r in langid.predict(docs, dictionaries).join(docs.select("doc_id", "text"), "doc_id").collect():
+        if not regex.search(r"\p{L}", r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        size = {k: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(r.text.encode())) for k, d in dictionaries.items()}
+        first, second = sorted(size.values())[:2]
+        assert size[r.lang_pred] == first and r.rejected == ((second - first) / second < langid.MARGIN)
+        assert abs(r.score - min(1, 0.5 + 5 * (second - first) / second)) < 1e-12
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", 9.0, "x", "y", True)], "doc_id long, text string, score double, lang_pred string, lang string, rejected boolean")
+    out = langid.predict(docs, {"en": b"the cat", "de": b"der Hund"})
+    assert out.columns == ["doc_id", "lang", "lang_pred", "score", "rejected"] and out.first().lang_pred == "en" and out.first().lang == "y"

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -63,3 +64,58 @@ def test_estimates_accuracies():
     assert prior == pytest.approx(0.85, abs=0.03)
     for a, g, b in zip(true, good, bad, strict=True):
         assert g[2] / (g[0] + g[2]) == pytest.approx(a, abs=0.04) and b[0] / (b[0] + b[2]) == pytest.approx(a, abs=0.07)
+
+
+def plain_votes(text):
+    """The eight votes of a text by plain counts over its characters."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return (0,) * 8
+    chars, n = "".join(words), len(words)
+    letters, upper = sum(c.isalpha() for c in chars), sum(unicodedata.category(c) == "Lu" for c in chars)
+    digits = sum(unicodedata.category(c) in ("Nd", "Nl", "No") for c in chars)
+
+    def vote(value, good, bad):
+        worse, better = (value >= bad, value <= good) if bad > good else (value <= bad, value >= good)
+        return -1 if worse else 1 if better else 0
+
+    length = -1 if len(chars) < 2 * n or len(chars) > 15 * n else 1 if 3 * n <= len(chars) <= 11 * n else 0
+    wordless = sum(not any(c.isalpha() for c in w) for w in words)
+    shares = [(sum(c in "#*$%&|<>" for c in chars) / n, 0.02, 0.1), (letters / len(chars), 0.85, 0.7), (upper / max(letters, 1), 0.2, 0.5), (chars.count("!") / n, 0.05, 0.25), (digits / len(chars), 0.1, 0.3), (sum(c in "{}=;" for c in chars) / n, 0.02, 0.2), (wordless / n, 0.05, 0.25)]
+    return (length, *(vote(*s) for s in shares))
+
+
+def test_posteriors_against_a_plain_estimation(spark):
+    """Votes, expectation-maximisation and verdicts of the smallest table again, in plain Python over the rows."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    votes = {d: plain_votes(t) for d, t in docs.items()}
+    start = (0.9, [(0.01, 0.09, 0.9), (0.4, 0.2, 0.4)])
+    prior, table = start[0], [[start[1][y]] * 8 for y in (0, 1)]
+
+    def chance(v):
+        good, bad = prior, 1 - prior
+        for i, x in enumerate(v):
+            good, bad = good * table[0][i][x + 1], bad * table[1][i][x + 1]
+        return good / (good + bad)
+
+    for _ in range(200):
+        p = {d: chance(v) for d, v in votes.items()}
+        sums = [[[10.0 * c for c in start[1][y]] for _ in range(8)] for y in (0, 1)]
+        for d, v in votes.items():
+            for i, x in enumerate(v):
+                sums[0][i][x + 1] += p[d]
+                sums[1][i][x + 1] += 1 - p[d]
+        before, table = table, [[tuple(c / sum(r) for c in r) for r in of] for of in sums]
+        prior = min(0.99, max(0.5, (10 * start[0] + sum(p.values())) / (10 + len(p))))
+        if max(abs(a - b) for y in (0, 1) for r, s in zip(table[y], before[y], strict=True) for a, b in zip(r, s, strict=True)) < 1e-9:
+            break
+    for r in op3_quality(spark, "/root/testdata/sf0.001").collect():
+        p = chance(votes[r.doc_id])
+        assert abs(r.probability - p) < 1e-6 and r.kept == (not r.base_failed and r.probability >= 0.5)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "q")], "doc_id long, text string, _facts int, _quality string")
+    out = quality.judged(df, quality.estimate([], len(quality.RULES)))
+    assert out.columns == ["doc_id", "_facts", "_quality"] and out.first()._facts == 5 and out.first()._quality.n_words == 2
+    assert [tuple(r) for r in quality.keep_good(df).collect()] == []
