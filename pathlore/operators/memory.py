@@ -41,3 +41,31 @@ def newest_messages(rows: DataFrame, session: str, turn: str, keep: int) -> Data
     """The last ``keep`` messages of each session."""
     w = Window.partitionBy(session).orderBy(F.col(turn).desc())
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+
+
+def desktop_thresholds(reflections: Column, types: Column, segments: Column, mean_rate: Column, mean_words: Column) -> list[Column]:
+    """Caps of the segment and skill libraries, graduation limits, and the similarity from which two segments are one."""
+    root = F.sqrt(F.greatest(segments, F.lit(1)))
+    return [
+        F.greatest(F.lit(20), 5 * types).cast("long").alias("reflections_cap"),
+        F.greatest(F.lit(30), segments + F.ceil(3 * root)).cast("long").alias("segments_cap"),
+        F.greatest(F.lit(20), F.floor(3 * root)).cast("long").alias("skills_cap"),
+        F.greatest(F.lit(3), F.ceil(F.sqrt(F.greatest(reflections, F.lit(1))))).cast("long").alias("graduation_occurrences"),
+        F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.5), mean_rate + 0.1)), 6).alias("graduation_success"),
+        F.round(F.greatest(F.lit(0.3), 1 - 1 / F.sqrt(F.greatest(mean_words, F.lit(1.0)))), 6).alias("same_above"),
+    ]
+
+
+def importance(score: Column, days: Column, accesses: Column) -> Column:
+    """A memory's score, decayed by days since its last access and raised by the number of accesses."""
+    return score * F.greatest(F.lit(0.1), 1 / F.log10(days + 10)) * (1 + 0.3 * F.log10(accesses + 1))
+
+
+def near_checkpoint(status: Column, frame: Column, checkpoint: int, within: int = 3) -> Column:
+    """Whether a failed branch begins no more than so many frames from a checkpoint."""
+    return (status == "failure") & (F.abs(frame - checkpoint) <= within)
+
+
+def execution_stats(rows: DataFrame, tool: Column, good: Column, ms: str) -> DataFrame:
+    """Executions by tool: how many, how many good, mean, most and least time."""
+    return rows.groupBy(tool).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.round(F.avg(ms), 6).alias("mean_ms"), F.max(ms).alias("most_ms"), F.min(ms).alias("least_ms"))

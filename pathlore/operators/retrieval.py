@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlore.functions.text import tokens
+from pathlore.operators.evidence import top_per_group
 
 RRF_K = 60
 
@@ -24,25 +25,39 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return counts.join(df, "word").crossJoin(F.broadcast(n)).select(key, "word", (F.col("tf") / F.col("n_tokens") * F.log(F.col("n") / F.col("df"))).alias("weight"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents that hold all terms. Terms are pushed below the explode, so only their rows are shuffled."""
-    own = docs.select(key, tokens(F.col(text)).alias("t"))
-    stats = own.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    found = own.select(key, F.size("t").alias("size"), *[F.size(F.filter("t", _equals(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
-    dfs = found.agg(*[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
-    score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
-        tf = F.col(f"tf_{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    all_terms = F.lit(True)
-    for i in range(len(terms)):
-        all_terms = all_terms & (F.col(f"tf_{i}") > 0)
-    return found.where(all_terms).crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(dfs)).select(key, score.alias("score"))
-
-
-def _equals(term: str):
-    return lambda w: w == term
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(q, key, score) of the documents that hold all terms of a query, from ``queries`` (q, term), each pair once.
+
+    Only words that a query has leave the scan. Query terms are many times fewer than the texts'
+    words; the join with them is left to the planner, which broadcasts them while they are small.
+    """
+    own = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("size"), "t")
+    stats = own.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    wanted = queries.select("term").distinct()
+    tf = own.select(key, "size", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    terms = queries.join(df, "term").crossJoin(F.broadcast(stats)).join(queries.groupBy("q").agg(F.count("*").alias("terms")), "q")
+    found = tf.join(terms, "term").groupBy("q", key, "terms").agg(F.sum(weight).alias("score"), F.count("*").alias("held"))
+    return found.where("held = terms").select("q", key, "score")
+
+
+def against_blocks(rows: DataFrame, queries: DataFrame, on: Column, block: int = 1024) -> DataFrame:
+    """Each of ``rows`` beside each query (a stated set) that ``on`` allows, the queries in blocks of a bounded number, each broadcast.
+
+    The queries are numbered by hash of their whole row, so a block has about ``block`` of them.
+    """
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    if parts == 1:
+        return rows.join(F.broadcast(queries), on)
+    number = F.pmod(F.xxhash64(*queries.columns), F.lit(parts))
+    out = None
+    for i in range(parts):
+        found = rows.join(F.broadcast(queries.where(number == i)), on)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -56,13 +71,51 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top(df: DataFrame, key: str, score: str, k: int) -> DataFrame:
-    """The k best rows by score, ties by key, with their rank. A limit first, so no window sees all rows."""
-    best = df.orderBy(F.col(score).desc(), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), key)).cast("long"))
+    """The k best rows of each query ``q`` by score, ties by key, with their rank; a hot query is cut down in parts first."""
+    order = [F.col(score).desc(), F.col(key)]
+    best = top_per_group(df, ["q"], order, k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order)).cast("long"))
 
 
 def fuse(a: DataFrame, b: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
-    """(key, rrf) of two ranked lists by reciprocal rank fusion."""
-    x, y = a.select(key, F.col("rank").alias("ra")), b.select(key, F.col("rank").alias("rb"))
+    """(q, key, rrf) of two ranked lists for each query by reciprocal rank fusion."""
+    x, y = a.select("q", key, F.col("rank").alias("ra")), b.select("q", key, F.col("rank").alias("rb"))
     part = [F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in ("ra", "rb")]
-    return x.join(y, key, "full_outer").select(key, (part[0] + part[1]).alias("rrf"))
+    return x.join(y, ["q", key], "full_outer").select("q", key, (part[0] + part[1]).alias("rrf"))
+
+
+def shared_terms(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
+    """(q, key, score): sum of tf times ln(N/df) over a query's words, over their number and 5, at most 1.
+
+    ``docs`` has (key, terms), ``queries`` (q, terms), arrays with repeats. Rows without a shared
+    word have score 0 and are left out.
+    """
+    asked = queries.select("q", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("q", "size", "term").agg(F.count("*").alias("uses"))
+    tf = docs.select(key, F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(n)).select("q", "size", "term", (F.col("uses") * F.log(F.col("n") / F.col("df"))).alias("w"))
+    return tf.join(weights, "term").groupBy("q", key, "size").agg(F.sum(F.col("tf") * F.col("w")).alias("s")).select("q", key, F.least(F.lit(1.0), F.col("s") / F.col("size") / 5).alias("score")).where("score > 0")
+
+
+def duplicates(existing: DataFrame, candidates: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, match, similarity): each candidate's most similar existing text, by cosine of TF-IDF vectors.
+
+    The document frequencies are those of all existing texts and the one candidate, so for a word of
+    the candidate they are one above the existing texts', and an existing text's norm depends on
+    which of its words the candidate has: it is the norm without the candidate, corrected for the
+    words they share. Pairs without a shared word have similarity 0 and no row.
+    """
+    e, c = term_counts(existing, key, text), term_counts(candidates, key, text)
+    df = e.groupBy("word").agg(F.count("*").alias("df"))
+    n = existing.agg((F.count("*") + 1).alias("n"))
+    tf = F.col("tf") / F.col("n_tokens")
+    old = e.join(df, "word").crossJoin(F.broadcast(n)).select(F.col(key).alias("match"), "word", (tf * F.log(F.col("n") / F.col("df"))).alias("alone"), (tf * F.log(F.col("n") / (F.col("df") + 1))).alias("beside"))
+    norms = old.groupBy("match").agg(F.sum(F.col("alone") * F.col("alone")).alias("base"))
+    new = c.join(df, "word", "left").crossJoin(F.broadcast(n)).select(key, "word", (tf * F.log(F.col("n") / (F.coalesce("df", F.lit(0)) + 1))).alias("w"))
+    own = new.groupBy(key).agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
+    pairs = new.join(old, "word").groupBy(key, "match").agg(F.sum(F.col("w") * F.col("beside")).alias("dot"), F.sum(F.col("beside") * F.col("beside") - F.col("alone") * F.col("alone")).alias("change"))
+    whole = pairs.join(norms, "match").join(own, key)
+    size = F.sqrt("norm") * F.sqrt(F.col("base") + F.col("change"))
+    sim = whole.where(size > 0).select(key, "match", F.round(F.col("dot") / size, 9).alias("s"))
+    return sim.groupBy(key).agg(F.max(F.struct("s", -F.col("match"))).alias("b")).select(key, (-F.col("b.col2")).alias("match"), F.col("b.s").alias("similarity"))

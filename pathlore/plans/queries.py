@@ -82,10 +82,13 @@ def stats_groupingsets(spark, sf_dir):
     return o.groupingSets([[], [status], [priority]], status, priority).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.round(F.avg(F.when(status == "F", 1.0).otherwise(0.0)), 6).alias("done_rate"))
 
 
-@register("source_pivot", "SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY lang")
+SOURCES = [f"src{i}" for i in range(20)]
+
+
+@register("source_pivot", "SELECT lang, " + ", ".join(f"count(*) FILTER (source = '{s}') AS {s}" for s in SOURCES) + " FROM documents GROUP BY lang")
 def source_pivot(spark, sf_dir):
-    names = ["src0", "src1", "src2"]
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(F.col("source") == s).alias(s) for s in names])
+    """Counts by language and source, of the whole vocabulary of sources."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(F.col("source") == s).alias(s) for s in SOURCES])
 
 
 PRICES = {"A": (3.0, 15.0), "N": (0.8, 4.0)}
@@ -158,8 +161,7 @@ def resume_anti(spark, sf_dir):
 
 @register("failed_semi", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error'")
 def failed_semi(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("user_id").distinct().join(e.where("event_type = 'error'").select("user_id"), "user_id", "left_semi")
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id").distinct()
 
 
 @register(
@@ -194,11 +196,13 @@ def tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t")).select("item_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
-@register("jaccard_pairs", f"WITH t AS (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM t a JOIN t b ON b.item_id = a.item_id + 1")
+@register("jaccard_pairs", f"WITH t AS (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM t a JOIN t b ON a.item_id <> b.item_id WHERE a.item_id % 100 = 0 AND len(list_intersect(a.t, b.t)) > 0")
 def jaccard_pairs(spark, sf_dir):
+    """Items with the queries (ids divisible by 100) that share a word with them."""
     t = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t"))
-    other = t.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("t").alias("u"))
-    return t.join(other, "item_id").select(F.col("item_id").alias("a"), "b", F.round(tx.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
+    q = t.where("item_id % 100 = 0").select(F.col("item_id").alias("a"), F.col("t").alias("u"))
+    pairs = retrieval.against_blocks(t.withColumnRenamed("item_id", "b"), q, F.col("a") != F.col("b"))
+    return pairs.where(F.arrays_overlap("t", "u")).select("a", "b", F.round(tx.jaccard(F.col("u"), F.col("t")), 6).alias("similarity"))
 
 
 @register("lev_sim", "SELECT a.p_partkey, round(1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -221,40 +225,48 @@ def tfidf_top(spark, sf_dir):
     return retrieval.tfidf(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("item_id", "word", F.round("weight", 6).alias("weight"))
 
 
-BM25 = f"""t AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), c AS (SELECT doc_id, len(t) AS size, len(list_filter(t, lambda w: w = 'the')) AS a, len(list_filter(t, lambda w: w = 'and')) AS b FROM t),
-s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
-bm AS (SELECT doc_id, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean)) AS score FROM c, s WHERE a > 0 AND b > 0)"""
+BM25 = f"""qt AS (SELECT DISTINCT q, term FROM (SELECT item_id AS q, unnest({TOKENS.format('text')}[1:2]) AS term FROM benchmark WHERE item_id % 10 = 0)), qn AS (SELECT q, count(*) AS terms FROM qt GROUP BY 1),
+t AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
+tf AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS size, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT q, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM qt JOIN qn USING (q) JOIN tf USING (term) JOIN df USING (term), n GROUP BY q, doc_id, terms HAVING count(*) = terms)"""
+
 
+def _queries(spark, sf_dir):
+    """The first two words of every tenth benchmark item."""
+    items = table(spark, sf_dir, "benchmark").where("item_id % 10 = 0")
+    return items.select(F.col("item_id").alias("q"), F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 2))).alias("term"))
 
-@register("bm25_scores", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
+
+@register("bm25_scores", f"WITH {BM25} SELECT q, doc_id, round(score, 6) AS score FROM bm")
 def bm25_scores(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "and"]).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", _queries(spark, sf_dir)).select("q", "doc_id", F.round("score", 6).alias("score"))
+
+
+COSINE = "cs AS (SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 
 
-COSINE = "q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), cs AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS sim FROM embeddings, q WHERE vec_id <> 0)"
+def _similar(spark, sf_dir, name="vec_id"):
+    """(q, name, s): cosine of every vector with the query vectors, those whose id is divisible by 100, in blocks."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    return retrieval.against_blocks(e, q, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias(name), F.round(retrieval.cosine(F.col("embedding"), F.col("v")), 9).alias("s"))
 
 
-@register("cosine_topk", f"WITH {COSINE} SELECT vec_id, round(sim, 6) AS similarity FROM cs ORDER BY round(sim, 9) DESC, vec_id LIMIT 20")
+@register("cosine_topk", f"WITH {COSINE} SELECT q, vec_id, round(sim, 6) AS similarity FROM cs QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, vec_id) <= 20")
 def cosine_topk(spark, sf_dir):
-    """The 20 vectors nearest to vector 0 (one query vector, so broadcast)."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("v")).limit(1)
-    sim = e.where("vec_id != 0").crossJoin(F.broadcast(q)).select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("v")), 9).alias("s"))
-    return retrieval.top(sim, "vec_id", "s", 20).select("vec_id", F.round("s", 6).alias("similarity"))
+    """The 20 vectors nearest to each query vector."""
+    return retrieval.top(_similar(spark, sf_dir), "vec_id", "s", 20).select("q", "vec_id", F.round("s", 6).alias("similarity"))
 
 
 @register(
     "hybrid_rrf",
-    f"""WITH {BM25}, {COSINE}, x AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm QUALIFY r <= 20), y AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS r FROM cs QUALIFY r <= 20)
-SELECT coalesce(x.id, y.id) AS id, round(coalesce(1.0 / (60 + x.r), 0) + coalesce(1.0 / (60 + y.r), 0), 9) AS rrf FROM x FULL JOIN y ON x.id = y.id""",
+    f"""WITH {BM25}, {COSINE}, x AS (SELECT q, doc_id AS id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm QUALIFY r <= 20), y AS (SELECT q, vec_id AS id, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, vec_id) AS r FROM cs QUALIFY r <= 20)
+SELECT coalesce(x.q, y.q) AS q, coalesce(x.id, y.id) AS id, round(coalesce(1.0 / (60 + x.r), 0) + coalesce(1.0 / (60 + y.r), 0), 9) AS rrf FROM x FULL JOIN y ON x.id = y.id AND x.q = y.q""",
 )
 def hybrid_rrf(spark, sf_dir):
-    """Fusion of the lexical and the vector list; vec_id is taken as doc_id."""
-    lexical = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "and"]).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("s"))
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("v")).limit(1)
-    vector = e.where("vec_id != 0").crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(retrieval.cosine(F.col("embedding"), F.col("v")), 9).alias("s"))
-    return retrieval.fuse(retrieval.top(lexical, "id", "s", 20), retrieval.top(vector, "id", "s", 20), "id").select("id", F.round("rrf", 9).alias("rrf"))
+    """Fusion of the lexical and the vector list of each query; vec_id is taken as doc_id and as the query's number."""
+    lexical = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", _queries(spark, sf_dir)).select("q", F.col("doc_id").alias("id"), F.round("score", 9).alias("s"))
+    return retrieval.fuse(retrieval.top(lexical, "id", "s", 20), retrieval.top(_similar(spark, sf_dir, "id"), "id", "s", 20), "id").select("q", "id", F.round("rrf", 9).alias("rrf"))
 
 
 @register("importance", "SELECT doc_id, round(n_chars / 1000.0 * greatest(0.1, 1 / log10(doc_id % 90 + 10)) * (1 + 0.3 * log10(n_chars % 7 + 1)), 6) AS importance FROM documents")

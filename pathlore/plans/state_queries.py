@@ -74,12 +74,12 @@ def short_hash(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.substring(F.md5("url"), 1, 8).alias("short"), F.substring(F.sha2("url", 256), 1, 16).alias("signature"))
 
 
-@register("match_score", f"WITH q AS (SELECT {TOKENS.format('text')} AS q FROM benchmark WHERE item_id = 0), t AS (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark) SELECT item_id, round(len(list_filter(q, lambda w: list_contains(t, w))) / len(q), 6) AS score FROM t, q")
+@register("match_score", f"WITH t AS (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark) SELECT a.item_id AS q, b.item_id, round(len(list_filter(a.t, lambda w: list_contains(b.t, w))) / len(a.t), 6) AS score FROM t a JOIN t b ON a.item_id % 100 = 0 AND len(a.t) > 0")
 def match_score(spark, sf_dir):
-    """Share of the words of item 0 that each item holds (one query, so broadcast)."""
+    """Share of the words of each query item (ids divisible by 100) that each item holds."""
     t = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t"))
-    q = t.where("item_id = 0").select(F.col("t").alias("q")).limit(1)
-    return t.crossJoin(F.broadcast(q)).select("item_id", F.round(F.size(F.filter("q", lambda w: F.array_contains("t", w))) / F.size("q"), 6).alias("score"))
+    q = t.where("item_id % 100 = 0 AND size(t) > 0").select(F.col("item_id").alias("q"), F.col("t").alias("u"))
+    return retrieval.against_blocks(t, q, F.lit(True)).select("q", "item_id", F.round(F.size(F.filter("u", lambda w: F.array_contains("t", w))) / F.size("u"), 6).alias("score"))
 
 
 @register("inverted_index", f"WITH e AS (SELECT item_id, unnest({TOKENS.format('text')}) AS word FROM benchmark) SELECT word, count(DISTINCT item_id) AS df, count(*) AS uses, min(item_id) AS first_item FROM e GROUP BY 1")
