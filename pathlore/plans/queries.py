@@ -6,38 +6,70 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pathlore.functions import text as tx
-from pathlore.operators import coverage, retrieval, sequences
+from pathlore.functions.patterns import EXPECTATION_STOPS
+from pathlore.operators import coverage, retrieval, selection, sequences
+from pathlore.plans.derived import phrase, sql_list, sql_phrase
 from pathlore.plans.registry import register
 from pathlore.session import table
 
-STEPS = "st AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)"
-FLAGS = f"""{STEPS}, fl AS (SELECT a.*, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY idx), false) AS stagnation,
-  (SELECT max(b.idx) FROM st b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.idx <= a.idx - 2
-    AND b.idx >= a.idx - least(50, greatest(10, floor((a.idx + 1) * 0.6)))) AS loop_at FROM st a)"""
+EXPECT = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(" + sql_list(EXPECTATION_STOPS) + ", w))"
+STEPS = f"""st AS (SELECT user_id, event_id, event_type AS state, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 13 END AS picture, event_id % 10 <> 0 AS acted, CASE WHEN event_id % 3 = 0 THEN {sql_phrase('event_id')} END AS expectation, lower({sql_phrase('event_id * 5 + 3')} || ' ' || event_type) AS observed,
+  event_id % 17 = 0 AS navigated, CASE WHEN event_id % 19 = 0 THEN value / 60 END AS given, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)"""
+FLAGS = f"""{STEPS}, lo AS (SELECT a.user_id, a.idx, max(b.idx) AS loop_at, max(b.idx) FILTER (b.state = a.state) AS exact_at FROM st a JOIN st b ON b.user_id = a.user_id AND (b.state = a.state OR b.picture = a.picture) AND b.idx <= a.idx - 2
+    AND b.idx >= a.idx - least(50, greatest(10, floor((a.idx + 1) * 0.6))) GROUP BY 1, 2),
+f0 AS (SELECT st.*, acted AND coalesce(state = lag(state) OVER w, false) AS stagnation, loop_at, CASE WHEN loop_at IS NULL THEN NULL WHEN loop_at = exact_at THEN 'exact' ELSE 'perceptual' END AS loop_by, lag(expectation) OVER w AS before, lead(idx) OVER w IS NULL AS is_last FROM st LEFT JOIN lo USING (user_id, idx) WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+k AS (SELECT *, {EXPECT.format("coalesce(before, '')")} AS kw, {EXPECT.format("observed || CASE WHEN loop_at IS NOT NULL THEN ' loop detected same screen' ELSE '' END || CASE WHEN stagnation THEN ' stagnation no change' ELSE '' END")} AS obs FROM f0),
+s0 AS (SELECT *, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, given)), CASE WHEN NOT is_last AND NOT navigated AND len(kw) > 0 THEN greatest(0.0::DOUBLE, 1 - list_sum(list_transform(kw, lambda w: CASE WHEN list_contains(obs, w) THEN 1.0::DOUBLE WHEN len(list_filter(obs, lambda o: contains(o, w) OR contains(w, o))) > 0 THEN 0.5 ELSE 0 END)) / len(kw)) END) AS surprise FROM k),
+fl AS (SELECT *, coalesce(surprise > 0.5, false) AS surprised FROM s0)"""
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)"
 
 
 def _steps(spark, sf_dir):
-    return sequences.indexed(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", "event_type", "idx")
+    """Steps of tasks (users): the event's type is the state; the other fields are derived from its id."""
+    i = F.col("event_id")
+    own = table(spark, sf_dir, "events").select(
+        "user_id",
+        "event_id",
+        "ts",
+        F.col("event_type").alias("state"),
+        F.when(i % 9 != 0, i % 13).alias("picture"),
+        (i % 10 != 0).alias("acted"),
+        F.when(i % 3 == 0, phrase(i)).alias("expectation"),
+        F.concat_ws(" ", phrase(i * 5 + 3), "event_type").alias("observed"),
+        (i % 17 == 0).alias("navigated"),
+        F.when(i % 19 == 0, F.col("value") / 60).alias("given"),
+    )
+    return sequences.indexed(own, "user_id", "ts", "event_id")
+
+
+def _flagged(spark, sf_dir):
+    flagged = sequences.flags(_steps(spark, sf_dir), "user_id", "state", "picture", F.col("acted"))
+    return sequences.surprises(flagged, "user_id", "expectation", F.col("observed"), F.col("navigated"), F.col("given"))
+
+
+@register("seq_flags", f"WITH {FLAGS} SELECT user_id, idx, stagnation, CAST(loop_at AS BIGINT) AS loop_at, loop_by FROM fl")
+def seq_flags(spark, sf_dir):
+    return sequences.flags(_steps(spark, sf_dir), "user_id", "state", "picture", F.col("acted")).select("user_id", "idx", "stagnation", "loop_at", "loop_by")
 
 
-@register("seq_flags", f"WITH {FLAGS} SELECT user_id, idx, stagnation, CAST(loop_at AS BIGINT) AS loop_at FROM fl")
-def seq_flags(spark, sf_dir):
-    return sequences.flags(_steps(spark, sf_dir), "user_id", "event_type").select("user_id", "idx", "stagnation", "loop_at")
+@register("seq_surprises", f"WITH {FLAGS} SELECT user_id, idx, round(surprise, 6) AS surprise, surprised FROM fl")
+def seq_surprises(spark, sf_dir):
+    return _flagged(spark, sf_dir).select("user_id", "idx", F.round("surprise", 6).alias("surprise"), "surprised")
 
 
 @register(
     "recovery_level",
-    f"""WITH {FLAGS}, n AS (SELECT *, stagnation OR loop_at IS NOT NULL AS issue, count(*) OVER (PARTITION BY user_id) AS n FROM fl),
-g AS (SELECT user_id, max(n) AS n_steps, count(loop_at) AS loops, count(*) FILTER (stagnation) AS stagnations,
-  count(*) FILTER (issue AND idx >= n - greatest(3, floor(sqrt(n) * 2))) AS recent, max(n) - 1 - coalesce(max(idx) FILTER (NOT issue), -1) AS run FROM n GROUP BY user_id),
-r AS (SELECT *, (loops + stagnations * 0.4) / n_steps AS rate, recent / greatest(3, floor(sqrt(n_steps) * 2)) AS rr, sqrt(n_steps) AS q FROM g)
-SELECT user_id, n_steps, loops, stagnations, round(rate, 6) AS issue_rate, round(rr, 6) AS recent_rate, run AS issue_run,
+    f"""WITH {FLAGS}, n AS (SELECT *, (stagnation OR loop_at IS NOT NULL)::INT + surprised::INT AS issues, count(*) OVER (PARTITION BY user_id) AS n, coalesce(max(idx) FILTER (state = 'purchase') OVER (PARTITION BY user_id), -1) AS cp FROM fl),
+g AS (SELECT user_id, max(n) AS n_steps, count(loop_at) AS loops, count(*) FILTER (stagnation) AS stagnations, count(*) FILTER (surprised) AS surprises,
+  count(*) FILTER (issues > 0 AND idx >= n - greatest(3, floor(sqrt(n) * 2))) AS recent, (sum(CASE WHEN idx > cp THEN issues ELSE 0 END))::BIGINT AS run FROM n GROUP BY user_id),
+r AS (SELECT *, (loops + surprises * 0.5 + stagnations * 0.4) / n_steps AS rate, recent / greatest(3, floor(sqrt(n_steps) * 2)) AS rr, sqrt(n_steps) AS q FROM g)
+SELECT user_id, n_steps, loops, stagnations, surprises, round(rate, 6) AS issue_rate, round(rr, 6) AS recent_rate, run AS issue_run,
   CASE WHEN rr >= 0.75 OR run >= greatest(3, floor(q)) THEN 3 WHEN rate >= 0.35 OR rr >= 0.6 OR run >= greatest(2, floor(q / 2)) THEN 2
   WHEN rate >= 0.1 OR rr >= 0.25 OR run >= greatest(1, floor(q / 3)) THEN 1 ELSE 0 END AS recovery_level FROM r""",
 )
 def recovery_level(spark, sf_dir):
-    return sequences.recovery(sequences.flags(_steps(spark, sf_dir), "user_id", "event_type"), "user_id")
+    """Recovery level of each task; a purchase is a checkpoint, which ends a run of issues."""
+    return sequences.recovery(_flagged(spark, sf_dir), "user_id", F.col("state") == "purchase")
 
 
 @register("coverage_hist", "SELECT coalesce(event_type, 'unknown') AS category, count(*) AS n FROM events GROUP BY 1")
@@ -52,24 +84,28 @@ def coverage_gaps(spark, sf_dir):
 
 @register(
     "coverage_report",
-    """WITH h AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), a AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS categories, count(*) FILTER (n >= 5) AS converged, min(n) AS least, max(n) AS most FROM h),
-e AS (SELECT -sum(n / total * log2(n / total)) AS entropy FROM h, a)
-SELECT total, categories, converged, round(converged / categories, 3) AS convergence_rate, least, most, round(entropy, 3) AS entropy, round(log2(categories), 3) AS max_entropy, round(entropy / log2(categories), 3) AS normalized FROM a, e""",
+    """WITH h AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), a AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS categories, count(*) FILTER (n >= 200) AS converged, min(n) AS least, max(n) AS most, round(sum(n) / count(*), 2) AS mean FROM h),
+e AS (SELECT -sum(n / total * log2(n / total)) AS entropy FROM h, a), t AS (SELECT list(event_type ORDER BY n DESC, event_type)[1:5] AS top FROM h), g AS (SELECT coalesce(list(event_type ORDER BY 200 - n DESC, event_type) FILTER (n < 200), [])[1:10] AS gaps FROM h)
+SELECT total, categories, converged, round(converged / categories, 3) AS convergence_rate, least, most, mean, round(entropy, 3) AS entropy, round(log2(categories), 3) AS max_entropy, round(entropy / log2(categories), 3) AS normalized, array_to_string(top, ',') AS top, array_to_string(gaps, ',') AS gaps FROM a, e, t, g""",
 )
 def coverage_report(spark, sf_dir):
-    return coverage.report(table(spark, sf_dir, "events"), "event_type")
+    r = coverage.report(table(spark, sf_dir, "events"), "event_type", 200)
+    return r.withColumn("top", F.array_join("top", ",")).withColumn("gaps", F.array_join("gaps", ","))
 
 
 @register(
     "priorities",
-    """WITH m AS (SELECT max(ts) AS now FROM events), g AS (SELECT event_type, count(*) AS n, count(*) FILTER (ts > now - INTERVAL 7 DAY) AS fresh FROM events, m GROUP BY 1)
-SELECT event_type, n, fresh, greatest(2100 - n, 0) + CASE WHEN fresh = 0 THEN 2 ELSE 0 END AS priority FROM g""",
+    """WITH m AS (SELECT max(ts) AS now FROM events), v AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'share', 'refund']) AS kind), g AS (SELECT event_type AS kind, count(*) AS n, count(*) FILTER (ts > now - INTERVAL 7 DAY) AS fresh FROM events, m GROUP BY 1),
+p AS (SELECT kind, coalesce(n, 0) AS n, 2100 - coalesce(n, 0) + CASE WHEN coalesce(fresh, 0) = 0 THEN 2 ELSE 0 END + CASE WHEN coalesce(n, 0) = 0 THEN 3 ELSE 0 END AS priority FROM v LEFT JOIN g USING (kind) WHERE coalesce(n, 0) < 2100)
+SELECT kind, n, priority FROM p ORDER BY priority DESC, kind LIMIT 5""",
 )
 def priorities(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_type", "ts")
+    """The five categories of a vocabulary that need more: by deficit, by lack of rows of the last week, and by having none at all."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "ts")
     now = events.agg(F.max("ts").alias("now"))
-    own = events.crossJoin(F.broadcast(now)).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("ts") > F.col("now") - F.expr("INTERVAL 7 DAYS")).alias("fresh"))
-    return own.withColumn("priority", F.greatest(2100 - F.col("n"), F.lit(0)) + F.when(F.col("fresh") == 0, 2).otherwise(0))
+    kinds = spark.createDataFrame([(k,) for k in ("click", "error", "purchase", "signup", "view", "share", "refund")], "kind string")
+    counted = events.crossJoin(F.broadcast(now)).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("ts") > F.col("now") - F.expr("INTERVAL 7 DAYS")).alias("fresh"))
+    return coverage.priorities(kinds.join(counted, "kind", "left").fillna(0, ["n", "fresh"]), "kind", 2100, 5)
 
 
 @register(
@@ -167,15 +203,15 @@ def failed_semi(spark, sf_dir):
 @register(
     "phase_compare",
     """WITH m AS (SELECT median(epoch_ms(ts)) AS mid FROM events), p AS (SELECT user_id, epoch_ms(ts) <= mid AS first, count(*) AS n, bool_or(event_type = 'purchase') AS ok FROM events, m GROUP BY 1, 2)
-SELECT b.user_id, b.n AS n_before, a.n AS n_after, CASE WHEN a.ok IS NULL THEN 'MISSING' WHEN a.ok AND NOT b.ok THEN 'FIXED' WHEN b.ok AND NOT a.ok THEN 'REGRESSED' ELSE 'SAME' END AS change
+SELECT b.user_id, b.n AS n_before, a.n AS n_after, a.n - b.n AS delta, CASE WHEN a.ok IS NULL THEN 'MISSING' WHEN a.ok AND NOT b.ok THEN 'FIXED' WHEN b.ok AND NOT a.ok THEN 'REGRESSED' ELSE 'SAME' END AS change
 FROM (SELECT * FROM p WHERE first) b LEFT JOIN (SELECT * FROM p WHERE NOT first) a ON a.user_id = b.user_id""",
 )
 def phase_compare(spark, sf_dir):
     """Success of each task in the first and second half of the time, and the class of the change."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    p = e.crossJoin(F.broadcast(e.agg(F.median("ms").alias("mid")))).groupBy("user_id", (F.col("ms") <= F.col("mid")).alias("first")).agg(F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("ok"))
+    p = e.crossJoin(F.broadcast(selection.median(e, "ms"))).groupBy("user_id", (F.col("ms") <= F.col("median")).alias("first")).agg(F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("ok"))
     b, a = p.where("first").selectExpr("user_id", "n AS n_before", "ok AS b"), p.where("not first").selectExpr("user_id", "n AS n_after", "ok AS a")
-    return b.join(a, "user_id", "left").selectExpr("user_id", "n_before", "n_after", "CASE WHEN a IS NULL THEN 'MISSING' WHEN a AND NOT b THEN 'FIXED' WHEN b AND NOT a THEN 'REGRESSED' ELSE 'SAME' END AS change")
+    return b.join(a, "user_id", "left").selectExpr("user_id", "n_before", "n_after", "CASE WHEN n_before != 0 THEN n_after - n_before END AS delta", "CASE WHEN a IS NULL THEN 'MISSING' WHEN a AND NOT b THEN 'FIXED' WHEN b AND NOT a THEN 'REGRESSED' ELSE 'SAME' END AS change")
 
 
 @register("dependency_gate", "SELECT o_orderkey, coalesce(arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) = 'N', true) AS ready FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
