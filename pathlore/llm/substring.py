@@ -118,14 +118,18 @@ def _key(doc_id):
     return F.coalesce(doc_id.cast("long"), F.lit(_LOW))
 
 
-_ROWS = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("hs", pa.list_(pa.int64()))])
+_ROWS = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("hs", pa.binary())])
 
 
-def _lists(ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """Each id once, with its distinct hashes."""
-    pairs = np.unique(np.stack([ids, h], axis=1), axis=0)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(pairs[:, 0])) + 1, [len(pairs)]])
-    return pairs[cut[:-1], 0], pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(pairs[:, 1]))
+def _packed(ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each id once, with its distinct hashes as bytes."""
+    order = np.lexsort((h, ids))
+    ids, h = ids[order], h[order]
+    new = np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(h) != 0)])
+    ids, h = ids[new], h[new]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
+    blob = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 8).astype(np.int32).tobytes()), pa.py_buffer(h.astype("<i8").tobytes())])
+    return ids[cut[:-1]], blob
 
 
 def repeated_anchors(survivors: DataFrame, window: int, length: int, before: int | None) -> DataFrame:
@@ -149,11 +153,11 @@ def repeated_anchors(survivors: DataFrame, window: int, length: int, before: int
             distinct, first, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             lone = times == 1
             found = pa.array(ids[first], mask=~lone)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), found, pa.nulls(len(distinct), pa.list_(pa.int64()))], schema=_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), found, pa.nulls(len(distinct), pa.binary())], schema=_ROWS)
             if not lone.all():
                 several = ~lone[which]
-                own_ids, lists = _lists(ids[several], h[several])
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids * 31), pa.array(own_ids), lists], schema=_ROWS)
+                own_ids, blobs = _packed(ids[several], h[several])
+                yield pa.RecordBatch.from_arrays([pa.array(own_ids * 31), pa.array(own_ids), blobs], schema=_ROWS)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, h): from rows in the order of k, the documents with hashes that have two rows or a row without an id."""
@@ -162,7 +166,8 @@ def repeated_anchors(survivors: DataFrame, window: int, length: int, before: int
             told = np.flatnonzero(b.column("hs").is_valid().to_numpy(zero_copy_only=False))
             if len(told):
                 rows = pa.array(told)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("hs").take(rows)], ["id", "h"])
+                blobs = b.column("hs").take(rows).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").take(rows).to_numpy(), [len(x) // 8 for x in blobs])), pa.array(np.frombuffer(b"".join(blobs), "<i8"))], ["id", "h"])
             rest = pa.array(np.flatnonzero(b.column("hs").is_null().to_numpy(zero_copy_only=False)))
             if not len(rest):
                 continue
@@ -183,11 +188,10 @@ def repeated_anchors(survivors: DataFrame, window: int, length: int, before: int
             held, known = k[-1], bool(twice[-1])
             held_id = None if known else int(ids[last][0])
             if len(out_id):
-                own_ids, lists = _lists(out_id, out_h)
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids), lists], ["id", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_id), pa.array(out_h)], ["id", "h"])
 
-    rows = survivors.mapInArrow(fold, "k long, id long, hs array<long>").repartition("k").sortWithinPartitions("k")
-    return rows.mapInArrow(settle, "id long, h array<long>").groupBy("id").agg(F.flatten(F.collect_list("h")).alias("h"))
+    rows = survivors.mapInArrow(fold, "k long, id long, hs binary").repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(settle, "id long, h long").groupBy("id").agg(F.collect_list("h").alias("h"))
 
 
 def repeated(texts: DataFrame, window: int = WINDOW, least: int | None = None) -> DataFrame:
