@@ -225,21 +225,34 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         *(F.max(c).alias(c) for c in ("kind", "page_id", "digest", "refers_to", "http", "error")),
     )
 
+    def joined(r: dict) -> tuple[bytes | None, str | None, str | None]:
+        """Payload, digest and error of a record's segments."""
+        header = r["digest"] or ""
+        digest = header.partition(":")[2].lower() if header.lower().startswith("sha256:") else None
+        if r["error"] is not None or r["kind"] == "revisit":
+            return None, digest, r["error"]
+        if r["kind"] is None:
+            return None, digest, "first segment is missing"
+        try:
+            payload = payload_of([(s["n"], s["block"], s["total"]) for s in r["segments"]], r["digest"], r["http"])
+        except ValueError as e:
+            return None, digest, str(e)
+        return payload, digest or hashlib.sha256(payload).hexdigest(), None
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(b.num_rows):
-                r = b.slice(at, 1).to_pylist()[0]
-                payload, error = None, r["error"]
-                digest = (r["digest"] or "").partition(":")[2].lower() if (r["digest"] or "").lower().startswith("sha256:") else None
-                if error is None and r["kind"] is None:
-                    error = "first segment is missing"
-                elif error is None and r["kind"] != "revisit":
-                    try:
-                        payload = payload_of([(s["n"], s["block"], s["total"]) for s in r["segments"]], r["digest"], r["http"])
-                        digest = digest or hashlib.sha256(payload).hexdigest()
-                    except ValueError as e:
-                        error = str(e)
-                yield _batch([(r["origin"], r["page_id"], r["kind"], payload, digest, r["refers_to"], error)] * max(1, r["copies"]), _RECORDS)
+            rows, size = [], 0
+            for at in range(0, b.num_rows, 16):
+                for r in b.slice(at, 16).to_pylist():
+                    payload, digest, error = joined(r)
+                    for _ in range(max(1, r["copies"])):
+                        rows.append((r["origin"], r["page_id"], r["kind"], payload, digest, r["refers_to"], error))
+                        size += 64 + len(payload or b"")
+                        if size > 4 << 20:
+                            yield _batch(rows, _RECORDS)
+                            rows, size = [], 0
+            if rows:
+                yield _batch(rows, _RECORDS)
 
     return whole.mapInArrow(join, "record_id string, page_id long, record_type string, payload binary, payload_digest string, refers_to long, error string")
 
