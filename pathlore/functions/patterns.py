@@ -192,3 +192,31 @@ VARIABLES = [
     ("home_path", r"~/[^\s]+"),
     ("absolute_path", r"/(?:Users|home|var|tmp|opt|etc)[^\s]+"),
 ]
+
+# Shell commands that are refused.
+BLOCKED_COMMANDS = [
+    r"rm\s+-rf\s+/(?!\w)",
+    r"mkfs\.",
+    r"dd\s+if=.*of=/dev",
+    r":()\{ :\|:& \};:",
+    r">\s*/dev/sda",
+]
+
+# States of a tutorial, and those that each may be followed by.
+TRANSITIONS = {
+    "idle": ["listening", "cancelled"],
+    "listening": ["planning", "idle", "cancelled"],
+    "planning": ["guiding", "idle", "cancelled"],
+    "guiding": ["validating", "correcting", "cancelled"],
+    "validating": ["guiding", "correcting", "completed", "cancelled"],
+    "correcting": ["guiding", "cancelled"],
+    "completed": ["idle", "cancelled"],
+    "cancelled": ["idle"],
+}
+
+# What a click in a text aims at, the first that fits.
+CLICK_TARGETS = [
+    r"(?:I'll|I will|Let me|I need to|I should|Going to|I'm going to)\s+click\s+(?:on\s+)?(?:the\s+)?(.+?)(?:\s+to\s+|\s+in\s+order|\s+so\s+|\s+at\s+|\s+which|\.|,|$)",
+    r"""click(?:ing)?\s+(?:on\s+)?(?:the\s+)?["']([^"']+)["']""",
+    r"click(?:ing)?\s+(?:on\s+)?(?:the\s+)?(.+?)(?:\s+button|\s+icon|\s+link|\s+tab|\s+menu|\s+field|\s+bar|\s+area|\s+at\s+|\.|,|\s*$)",
+]

@@ -69,3 +69,12 @@ def near_checkpoint(status: Column, frame: Column, checkpoint: int, within: int
 def execution_stats(rows: DataFrame, tool: Column, good: Column, ms: str) -> DataFrame:
     """Executions by tool: how many, how many good, mean, most and least time."""
     return rows.groupBy(tool).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.round(F.avg(ms), 6).alias("mean_ms"), F.max(ms).alias("most_ms"), F.min(ms).alias("least_ms"))
+
+
+def admitted(tasks: DataFrame, creator: str, seconds: str, signature: str, key: str, most: int) -> DataFrame:
+    """``tasks`` with outcome: 'rate_limit' where the creator had ``most`` in the hour before, 'deduplicated' where the signature is known, else 'created'."""
+    hour = Window.partitionBy(creator).orderBy(seconds).rangeBetween(-3600, 0)
+    first = tasks.groupBy(signature).agg(F.min(F.struct(seconds, key)).alias("_first"))
+    own = tasks.withColumn("_recent", F.count("*").over(hour) - 1).join(first, signature)
+    outcome = F.when(F.col("_recent") >= most, "rate_limit").when(F.col(f"_first.{key}") != F.col(key), "deduplicated").otherwise("created")
+    return own.withColumn("outcome", outcome).drop("_recent", "_first")
