@@ -57,7 +57,7 @@ _NUM, _UNIT, _NAME = "<num>", "<unit>", "<name>"
 _SLOTS = dict(zip((_NUM, _UNIT, _NAME), string_hashes(pa.array([_NUM, _UNIT, _NAME])).tolist(), strict=True))
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def _word(raw: bytes) -> tuple[str, bool, bool, bool, bool]:
     """Plain form, whether number, unit, capitalised, and whether a sentence may begin after it."""
     word = raw.decode()

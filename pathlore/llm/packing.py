@@ -19,8 +19,10 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ CAPACITY, END_ID = 4096, 2
 #: Ids that wait for a window at once.
 POOL_IDS = 1 << 21
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7eß-öø-ÿÀ-ÖØ-Þ]+")
@@ -70,14 +72,15 @@ class WordTokenizer:
         ranks = {bytes(symbols[c] for c in w.removesuffix(_SUFFIX)) + b"\xff" * w.endswith(_SUFFIX): i for w, i in vocab.items() if w not in special}
         ranks.setdefault(b"\xff", max(vocab.values()) + 1)  # never left alone: each byte has a word-end form
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> bytes:
+        """The word's ids, four bytes each."""
         if "<|" not in w and _PLAIN.fullmatch(w):
             ids = [i for p in _PIECE.findall(w.lower()) for i in self.merge(p.encode() + b"\xff")]
         else:
             ids = self.full.encode(w, add_special_tokens=False).ids
-        return np.array(ids, np.uint32)
+        return array("I", ids).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and each text's offsets in them."""
@@ -90,8 +93,8 @@ class WordTokenizer:
             if ids is None:
                 known[w] = ids = self.word(w)
             found.append(ids)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([*found, np.zeros(0, np.uint32)])
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), np.uint32)
         begin = np.cumsum(size) - size
         per = size[words.codes]
         ends = np.concatenate([[0], np.cumsum(per)])
@@ -99,6 +102,12 @@ class WordTokenizer:
         return flat[at], ends[words.offsets]
 
 
+@lru_cache(1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of a vocabulary file, one for all tasks of a worker."""
+    return WordTokenizer(path)
+
+
 def fill(lengths: dict[int, int], target: int) -> dict[int, int]:
     """Counts of the multiset of ``lengths`` (length -> how many) with the largest sum up to ``target``.
 
@@ -190,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, packer = WordTokenizer(tokenizer_path), Packer(capacity, pool_ids)
+        tokenizer, packer = tokenizer_of(tokenizer_path), Packer(capacity, pool_ids)
         base, count, rows = TaskContext.get().partitionId() << 33, 0, []
 
         def put(sequences):
