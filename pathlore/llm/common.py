@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators between words: space and the five ASCII controls 0x09-0x0D.
@@ -59,9 +59,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has no more than this many (short) rows; they are counted, so give it a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, units: Column | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it has no more than this many short rows; they are counted, so give it a written table.
+
+    Where rows aren't short, ``units`` tells how many short rows each counts as.
+    """
+    first = df.limit(rows + 1)
+    n = first.count() if units is None else first.agg(F.count("*") + F.coalesce(F.sum(units), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

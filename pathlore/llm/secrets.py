@@ -93,7 +93,7 @@ def findings(versions: DataFrame, scanned: DataFrame, rules_version: int = RULES
     kept = [c for c in versions.columns if c.lower() != name.lower()]
     key, blob, spans = (fresh(versions, c) for c in ("_key", "_blob", "_found"))
     found = scanned.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
-    found = small(checkpoint(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))))
+    found = small(checkpoint(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))), units=F.size(spans))
     joined = versions.withColumn(key, content_key(F.col("text"))).join(found, F.col(key) == F.col(blob), "left")
     return joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(spans, F.array().cast(SPANS)).alias(name))
 
