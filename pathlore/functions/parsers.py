@@ -161,6 +161,14 @@ def macro_name(apps: Column, actions: Column) -> Column:
     return F.when(F.coalesce(F.size(actions), F.lit(0)) <= 0, "Untitled Macro").otherwise(F.concat(head, F.when(F.size(told) > 0, F.concat(F.lit(": "), F.array_join(F.slice(told, 1, 3), " > "))).otherwise(F.lit(""))))
 
 
+def short_name(apps: Column, actions: Column) -> Column:
+    """``App+App: action > action``, of two applications and the first two actions of five steps; ``App Macro`` without actions."""
+    own = F.array_distinct(F.array_compact(apps))
+    head = F.when(F.size(own) > 0, F.array_join(F.slice(own, 1, 2), "+")).otherwise("Desktop")
+    told = F.slice(F.array_compact(F.slice(actions, 1, 5)), 1, 2)
+    return F.when(F.size(told) > 0, F.concat(head, F.lit(": "), F.array_join(told, " > "))).otherwise(F.concat(head, F.lit(" Macro")))
+
+
 def action_name(kind: Column, title: Column, text: Column, keys: Column) -> Column:
     """What a recorded step is called in a macro's name; null if it isn't."""
     short = F.concat(F.substring(text, 1, 20), F.when(F.length(text) > 20, "...").otherwise(F.lit("")))

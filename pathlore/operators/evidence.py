@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,17 +71,39 @@ def merged(runs: DataFrame, kind: str, sig: str, order: str) -> DataFrame:
 def graduates(patterns: DataFrame, runs: int) -> DataFrame:
     """Patterns that are seen and succeed often enough for the evidence there is, best first, up to the cap that it allows.
 
-    ``runs`` is the number of runs. The means and counts come from the patterns in one row.
+    ``runs`` is the number of runs. Of the patterns only their number and mean rate come to the driver.
     """
-    own = patterns.agg(F.count("*").alias("_n"), F.avg("success_rate").alias("_mean"))
-    least = F.greatest(F.lit(3), F.ceil(F.sqrt(F.lit(runs).cast("double"))))
-    rate = F.least(F.lit(0.9), F.greatest(F.lit(0.6), F.col("_mean") + 0.1))
-    cap = F.greatest(F.lit(15), F.floor(F.sqrt("_n") * 2))
-    good = patterns.crossJoin(F.broadcast(own)).where((F.col("occurrences") >= least) & (F.col("success_rate") >= rate)).withColumn("_cap", cap)
-    best = Window.orderBy((F.col("success_rate") * 10 + F.col("occurrences")).desc(), *patterns.columns[:2])
-    return good.withColumn("_rank", F.row_number().over(best)).where("_rank <= _cap").drop("_n", "_mean", "_cap", "_rank")
+    n, mean = patterns.agg(F.count("*"), F.avg("success_rate")).first()
+    least = max(3, math.ceil(math.sqrt(runs)))
+    rate = min(0.9, max(0.6, (0.5 if mean is None else mean) + 0.1))
+    cap = max(15, math.floor(math.sqrt(n) * 2))
+    good = patterns.where((F.col("occurrences") >= least) & (F.col("success_rate") >= rate))
+    return good.orderBy((F.col("success_rate") * 10 + F.col("occurrences")).desc(), *patterns.columns[:2]).limit(cap)
 
 
 def usage_terms(log: DataFrame, query: str, terms: Column, hashed) -> DataFrame:
     """``log`` with a row for its query and one for each of its first five terms, as a column ``hash``."""
     return log.withColumn("hash", F.explode(F.array_union(F.array(hashed(F.col(query))), F.transform(F.slice(terms, 1, 5), hashed))))
+
+
+def library(segments: DataFrame, label: str, order: str, good: Column, above: float) -> DataFrame:
+    """(entry, occurrences, success_rate, last): segments merged by the words that their labels share.
+
+    In order of first use a label joins the first entry with a token Jaccard above ``above``, else it
+    makes one; distinct labels decide (see ``pattern_of``), and only they meet in one task.
+    """
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        entries, chosen = [], []
+        for s in part.sort_values("first")[label]:
+            own = {w for w in re.sub(r"[^a-z0-9\s]", " ", s.lower()).split() if len(w) > 2}
+            hit = next((e for e, w in entries if w and own and len(w & own) / len(w | own) > above), None)
+            if hit is None:
+                entries.append((s, own))
+            chosen.append((s, hit or s))
+        return pd.DataFrame(chosen, columns=[label, "entry"])
+
+    counted = segments.groupBy(label).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.min(order).alias("first"), F.max(order).alias("last"))
+    of = counted.select(label, "first", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(choose, f"{label} string, entry string")
+    total = counted.join(of, label).groupBy("entry").agg(F.sum("n").alias("occurrences"), F.sum("good").alias("good"), F.max("last").alias("last"))
+    return total.select("entry", "occurrences", (F.col("good") / F.col("occurrences")).alias("success_rate"), "last")

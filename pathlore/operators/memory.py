@@ -78,3 +78,21 @@ def admitted(tasks: DataFrame, creator: str, seconds: str, signature: str, key:
     own = tasks.withColumn("_recent", F.count("*").over(hour) - 1).join(first, signature)
     outcome = F.when(F.col("_recent") >= most, "rate_limit").when(F.col(f"_first.{key}") != F.col(key), "deduplicated").otherwise("created")
     return own.withColumn("outcome", outcome).drop("_recent", "_first")
+
+
+def context_thresholds(reflections: Column, mean_lessons: Column, skills: Column, segments: Column, mean_rate: Column) -> list[Column]:
+    """How much past experience a task is told (of 500 tokens), from what score on, and the fixed caps of the environment."""
+    root = lambda n, by: F.sqrt(F.greatest(F.lit(1.0), n / by))
+    occurrences = F.greatest(F.lit(3), F.ceil(F.sqrt(F.greatest(reflections, F.lit(1)))))
+    fits = lambda share, tokens: F.greatest(F.lit(1), F.floor(share / tokens)).cast("long")
+    return [
+        fits(F.lit(500 * 0.5), (3 + mean_lessons) * 15).alias("max_reflections"),
+        fits(F.lit(500 * 0.35), F.lit(45)).alias("max_skills"),
+        fits(F.lit(500 * 0.15), F.lit(30)).alias("max_segments"),
+        F.round(F.greatest(F.lit(0.05), 0.15 / root(reflections, 10)), 6).alias("reflection_above"),
+        F.round(F.greatest(F.lit(0.03), 0.1 / root(skills, 5)), 6).alias("skill_above"),
+        F.round(F.greatest(F.lit(0.05), 0.2 / root(segments, 10)), 6).alias("segment_above"),
+        F.greatest(F.lit(2), F.floor(F.sqrt(occurrences))).cast("long").alias("least_occurrences"),
+        F.round(F.greatest(F.lit(0.4), mean_rate), 6).alias("least_success"),
+        *[F.lit(n).alias(name) for name, n in (("entity_cap", 60), ("shortcut_cap", 30), ("convention_cap", 10), ("environment_tokens", 50))],
+    ]

@@ -17,12 +17,16 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return own.groupBy(key, "n_tokens", "word").agg(F.count("*").alias("tf"))
 
 
+#: Parts that a word's rows are dealt to, so that a word that most texts have isn't one task's.
+SALTS = 8
+
+
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word, weight): tf over length times ln(documents over documents with the word)."""
-    counts = term_counts(docs, key, text)
-    df = counts.groupBy("word").agg(F.count("*").alias("df"))
+    counts = term_counts(docs, key, text).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    df = counts.groupBy("word").agg(F.count("*").alias("df")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     n = docs.agg(F.count("*").alias("n"))
-    return counts.join(df, "word").crossJoin(F.broadcast(n)).select(key, "word", (F.col("tf") / F.col("n_tokens") * F.log(F.col("n") / F.col("df"))).alias("weight"))
+    return counts.join(df, ["word", "_salt"]).crossJoin(F.broadcast(n)).select(key, "word", (F.col("tf") / F.col("n_tokens") * F.log(F.col("n") / F.col("df"))).alias("weight"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:

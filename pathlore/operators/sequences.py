@@ -115,3 +115,26 @@ def prefixes(steps: DataFrame, task: str, checkpoint: Column, name: Column, keep
     numbered = own.withColumn("_rank", F.when(F.col("_new").isNotNull(), F.count("_new").over(so_far)))
     some = F.collect_list(F.when(F.col("_rank") <= keep, F.col("_new"))).over(so_far)
     return numbered.withColumn("names", some).withColumn("steps", F.col("idx") + 1).withColumn("distinct_names", F.count("_new").over(so_far)).where(checkpoint).select(task, "idx", "steps", "names", "distinct_names")
+
+
+def bisect_probes(good: int, bad: int, judge) -> tuple[int | None, list[int], str]:
+    """The first bad step between a good and a bad one, the steps looked at on the way, and the confidence.
+
+    ``judge`` tells whether a step is bad; from the first bad step on all must be. If the first step
+    is bad already it is the answer with confidence 'low'; if the last one is good there is none.
+    About log2 of the distance steps are looked at, on the driver: for a judge that costs more than a
+    pass over the steps.
+    """
+    if good >= bad:
+        raise ValueError(f"no steps between {good} and {bad}")
+    probes = [good]
+    if judge(good):
+        return good, probes, "low"
+    probes.append(bad)
+    if not judge(bad):
+        return None, probes, "none"
+    while bad - good > 1:
+        middle = (good + bad) // 2
+        probes.append(middle)
+        good, bad = (good, middle) if judge(middle) else (middle, bad)
+    return bad, probes, "high"

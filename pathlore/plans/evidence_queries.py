@@ -39,7 +39,7 @@ def pattern_sources(spark, sf_dir):
     """The last ten runs of each pattern."""
     runs = _runs(spark, sf_dir).where("sig != ''").select("type", "sig", "id")
     of = evidence.pattern_of(runs, "type", "sig", "id")
-    return evidence.top_per_group(runs.join(F.broadcast(of), ["type", "sig"]).select("type", "pattern", "id"), ["type", "pattern"], [F.col("id").desc()], 10)
+    return evidence.top_per_group(runs.join(of, ["type", "sig"]).select("type", "pattern", "id"), ["type", "pattern"], [F.col("id").desc()], 10)
 
 
 @register("graduated_strategies", f"""WITH RECURSIVE {MERGED}, a AS (SELECT count(*) AS n, avg(success_rate) AS mean FROM pt), t AS (SELECT count(*) AS runs FROM events)

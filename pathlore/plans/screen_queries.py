@@ -72,7 +72,7 @@ def resolved_actions(spark, sf_dir):
     gone = a.where("label is not null").join(role.select("role"), "role", "left_anti").select(F.col("label").alias("q")).distinct()
     labels = low.groupBy("label").agg(F.min("key").alias("key"))
     near = retrieval.against_blocks(labels, gone, tx.edit_similarity(F.col("q"), F.col("label")) > 0.7).groupBy(F.col("q").alias("label")).agg(F.min("key").alias("near"))
-    own = a.join(exact, ["role", "label"], "left").join(F.broadcast(role), "role", "left").join(near, "label", "left").join(path, "path", "left")
+    own = a.join(exact, ["role", "label"], "left").join(role, "role", "left").join(near, "label", "left").join(path, "path", "left")
     found = F.coalesce("of_role", "near")
     named = F.col("label").isNotNull()
     method = F.when(named & F.col("exact").isNotNull(), "exact").when(named & found.isNotNull(), "fuzzy").when(F.col("of_path").isNotNull(), "path")

@@ -151,9 +151,12 @@ def week_frequency(spark, sf_dir):
 
 @register("first_bad_step", "WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events) SELECT user_id, min(idx) FILTER (event_type = 'error') AS first_bad, count(*) AS n FROM s GROUP BY 1")
 def first_bad_step(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = table(spark, sf_dir, "events").select("user_id", "event_type", (F.row_number().over(w) - 1).alias("idx"))
-    return s.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "error", F.col("idx"))).alias("first_bad"), F.count("*").alias("n"))
+    """The number of steps before each task's first error, found by its place in time, without numbering a task's steps."""
+    order = F.struct("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    first = e.where("event_type = 'error'").groupBy("user_id").agg(F.min(order).alias("first"))
+    before = F.count_if(order < F.col("first"))
+    return e.join(first, "user_id", "left").groupBy("user_id").agg(F.when(F.count("first") > 0, before).alias("first_bad"), F.count("*").alias("n"))
 
 
 @register("segments", "WITH s AS (SELECT *, row_number() OVER w - 1 AS idx, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seg FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, seg, min(idx) AS first_step, max(idx) AS last_step, bool_or(event_type = 'error') AS touches_failure FROM s GROUP BY 1, 2 HAVING bool_or(event_type = 'purchase')")

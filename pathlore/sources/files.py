@@ -43,7 +43,9 @@ def good(documents: DataFrame) -> DataFrame:
 
 def broken(documents: DataFrame) -> DataFrame:
     """(file, text) of the documents that could not be read."""
-    return documents.where(F.col(BROKEN).isNotNull()).select(F.col("_metadata.file_path").alias("file"), F.col(BROKEN).alias("text"))
+    # a query must ask for a field besides the broken text, or the fields aren't parsed
+    parsed = F.length(F.coalesce(F.col(documents.columns[0]).cast("string"), F.lit(""))) >= 0
+    return documents.where(F.col(BROKEN).isNotNull() & parsed).select(F.col("_metadata.file_path").alias("file"), F.col(BROKEN).alias("text"))
 
 
 def write_documents(df: DataFrame, path: str) -> None:
