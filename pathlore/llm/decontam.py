@@ -228,8 +228,8 @@ def doc_windows(docs: DataFrame, sizes: list[int], wanted: Filter, ordinary: fro
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t long, h long, place long, doc_words array<string>, doc_plain array<string>")
 
 
-def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_words): documents with a line of just the plain words of an item of fewer than ``LEAST`` words."""
+def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, n_words): documents with a line of just the plain words of an item of fewer than ``LEAST`` words; none without such items."""
 
     def plain(df: DataFrame, key: str) -> DataFrame:
         kind = df.schema[key].dataType.simpleString()
