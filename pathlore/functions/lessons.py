@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,9 +15,15 @@ _WORD = "[A-Za-z0-9_]"
 BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
+def ascii_words(pattern: str) -> str:
+    """The pattern with ASCII word boundaries: before a word or a group of words nothing of a word may stand, after one nothing may follow."""
+    before = re.sub(r"\\b(?=\w|\((?!\?)|\\d)", lambda m: f"(?<!{_WORD})", pattern)
+    return before.replace(r"\b", f"(?!{_WORD})")
+
+
 def matches(text: Column, pattern: str, fold: bool = True) -> Column:
     """Whether a pattern with ASCII word boundaries is in the text, in any case of letters by default."""
-    return text.rlike(("(?i)" if fold else "") + pattern.replace(r"\b", BOUNDARY))
+    return text.rlike(("(?i)" if fold else "") + ascii_words(pattern))
 
 
 def clamp(value: Column) -> Column:
