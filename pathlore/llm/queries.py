@@ -1,11 +1,11 @@
-"""The ten opN_ queries over their whole tables, and their SQL where SQL can express them."""
+"""The opN_ queries over their whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, secrets, simhash, substring, toxicity, urlfilter, warc
+from . import decontam, langid, packing, quality, secrets, simhash, substring, toxicity, urlfilter, warc, whitening
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -166,3 +166,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
     model = toxicity.fit(docs.where(~F.col("held_out")).select("doc_id", "text"), labels)
     return toxicity.score(docs.select("doc_id", "held_out", "text"), model)
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings, whitened on up to 16 components; a deviation that no long holds is null. No SQL: it has no eigenvectors."""
+    rows = table(spark, sf_dir, "embeddings").where(whitening.usable(F.col("embedding")))
+    rows = rows.select("vec_id", whitening.quantised(F.col("embedding")).alias("x"))
+    model = whitening.fit(rows)
+    out = whitening.by_component(whitening.whiten(rows, model), model)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
