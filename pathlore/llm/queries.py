@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, secrets, simhash, substring, toxicity, urlfilter, warc, whitening
+from . import decontam, langid, licenses, packing, quality, secrets, simhash, substring, toxicity, urlfilter, warc, whitening
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -176,3 +176,10 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = whitening.fit(rows)
     out = whitening.by_component(whitening.whiten(rows, model), model)
     return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of all documents. No SQL: expressions are parsed with a stack."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *licenses.digest(F.col("_licenses")))
