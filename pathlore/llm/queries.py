@@ -147,13 +147,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_urls"] = r"""
-WITH c AS (SELECT page_id, page_id % 365 AS fetched_at, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS any_host, CASE WHEN length(any_host) <= 253 THEN any_host END AS host FROM pages),
+WITH c AS (SELECT page_id, page_id % 365 AS fetched_at, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)', 1), '^\[|\]$|\.+$', '', 'g'), '') AS host FROM pages),
 d AS (SELECT DISTINCT domain FROM (SELECT host AS domain FROM c UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c) WHERE domain <> ''),
 x AS (SELECT domain, ('0x' || md5(domain)[1])::BIGINT AS a, ('0x' || md5(domain)[2])::BIGINT AS b, ('0x' || md5(domain)[3])::BIGINT AS e FROM d),
 iv AS (SELECT domain, 'allow' AS action, 0 AS f, NULL AS t FROM x WHERE a = 4
   UNION ALL SELECT domain, 'block', b * 12, CASE WHEN e < 8 THEN b * 12 + 100 END FROM x WHERE a < 4),
 m AS (SELECT c.page_id, iv.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(iv.domain) DESC) AS rn FROM c JOIN iv
-  ON (c.host = iv.domain OR ends_with(c.host, '.' || iv.domain)) AND f <= fetched_at AND (t IS NULL OR fetched_at < t))
+  ON (c.host = iv.domain OR NOT contains(c.host, ':') AND ends_with(c.host, '.' || iv.domain)) AND f <= fetched_at AND (t IS NULL OR fetched_at < t))
 SELECT c.page_id, c.fetched_at, m.domain AS matched_domain, m.action AS list_action, CAST(m.f AS BIGINT) AS listed_at, coalesce(m.action = 'block', false) AS blocked
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.rn = 1
 """

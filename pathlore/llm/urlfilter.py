@@ -11,11 +11,15 @@ buckets of ``BUCKET`` units of time, each with the event that held before it, so
 third of all captures have is neither one row for each capture nor one group. Of events of one
 domain at one time 'block' goes before 'allow' before 'remove', and equal events count once.
 
+A host may have any length and any number of parents: of its parents only those are made that
+have as many labels as some listed domain, so a host costs its length times the few numbers of labels on
+the list. An IPv6 address in brackets is a host without them, and has no parents.
+
 Times are numbers, dates or timestamps. Nulls: a capture without a url, host or fetch time is not
-blocked. List rows with a null field or another action are left out. A host of over ``HOST_CHARS``
-characters is no domain name, and counts as none; urls may have any length. Repeated captures give
-repeated results. Empty tables give empty results; an empty list blocks nothing. Other columns of
-the captures are passed on; those named like the results are replaced.
+blocked. A url without a scheme and '//' has no host ('//host/x', 'http:\\\\host', 'host/x'). List rows
+with a null field or another action are left out. Repeated captures give repeated results. Empty
+tables give empty results; an empty list blocks nothing. Other columns of the captures are passed on;
+those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -28,15 +32,26 @@ from .common import checkpoint, fresh, small
 
 ACTIONS = ["block", "allow", "remove"]
 RESULTS = ["matched_domain", "list_action", "listed_at", "blocked"]
-#: Units of time (days, seconds) in a bucket; the longest name that DNS allows.
-BUCKET, HOST_CHARS = 86_400, 253
+#: Units of time (days, seconds) in a bucket.
+BUCKET = 86_400
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without port, user and final dot; null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
-    host = F.regexp_replace(host, r"\.+$", "")
-    return F.when((host != "") & (F.length(host) <= HOST_CHARS), host)
+    """Lower-case host without port, user, final dot and the brackets of an IPv6 address; null if there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)", 1)
+    host = F.regexp_replace(host, r"^\[|\]$|\.+$", "")
+    return F.when(host != "", host)
+
+
+def labels_in(name: Column) -> Column:
+    """How many labels a domain has; an IPv6 address counts as one."""
+    return F.when(name.contains(":"), 1).otherwise(F.size(F.split(name, r"\.")))
+
+
+def parents(host: Column, depths: list[int]) -> Column:
+    """The host's last labels, as many as each of ``depths`` says, where it has so many."""
+    own = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda k: k <= labels_in(host))
+    return F.transform(own, lambda k: F.when(host.contains(":"), host).otherwise(F.call_function("substring_index", host, F.lit("."), -k)))
 
 
 def number_of(df: DataFrame, name: str) -> Column:
@@ -75,9 +90,10 @@ def verdicts(captures: DataFrame, events: DataFrame) -> DataFrame:
     host, time = fresh(captures, "_host"), fresh(captures, "_time")
     own = captures.withColumn(host, host_of(F.col("url"))).withColumn(time, number_of(captures, "fetched_at"))
     keys = own.select(F.col(host).alias("host"), F.col(time).alias("x")).dropna().distinct()
-    labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     listed = checkpoint(folded(events))
+    # numbers of labels on the list: k of them take a list of k * k / 2 labels at least
+    depths = sorted(r[0] for r in listed.select(labels_in(F.col("domain"))).distinct().collect())
+    domains = parents(F.col("host"), depths)
     # top-level domains and other names that no list has go before anything is dealt out by domain
     each = keys.select("host", "x", F.explode(domains).alias("domain")).join(small(listed.select("domain")), "domain", "left_semi")
     state = as_of(each.select("domain", "x").distinct(), listed).where("event.rank < 2")

@@ -55,4 +55,27 @@ def test_clashing_columns_and_dates(spark):
     kept = urlfilter.keep_allowed(c, e)
     assert kept.columns == c.columns and [r.page_id for r in kept.collect()] == [2] and kept.first().blocked
     long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "evil.com/x", datetime.date(2024, 1, 5))], "page_id long, url string, fetched_at date")
-    assert [r.blocked for r in urlfilter.verdicts(long, e).collect()] == [False]
+    assert [r.blocked for r in urlfilter.verdicts(long, e).collect()] == [True]
+
+
+def test_any_host(spark):
+    e = spark.createDataFrame([(d, 0, "block") for d in ("evil.com", "2001:db8::1", "a.b.c.d.e", "1.2.3.4", "3.4")] + [("x." * 3000 + "org", 0, "block")], "domain string, listed_at int, action string")
+    urls = {
+        "http://" + "a" * 400 + ".evil.com/": "evil.com",
+        "http://" + "y." * 40_000 + "x." * 3000 + "org": "x." * 3000 + "org",
+        "http://" + "x." * 2999 + "org": None,
+        "http://[2001:DB8::1]/": "2001:db8::1",
+        "https://u@[2001:db8::1]:8080/x": "2001:db8::1",
+        "http://[::ffff:9.9.3.4]/": None,
+        "http://[2001:db8::1": None,
+        "http://[]/": None,
+        "//evil.com/x": None,
+        "http:\\\\evil.com": None,
+        "http://z.a.b.c.d.e:1?q": "a.b.c.d.e",
+        "http://b.c.d.e": None,
+        "http://1.2.3.4/": "1.2.3.4",
+        "http://evil.com..:80/": "evil.com",
+    }
+    c = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, fetched_at int")
+    got = {r.page_id: r.matched_domain for r in urlfilter.verdicts(c, e).collect()}
+    assert got == dict(enumerate(urls.values()))
