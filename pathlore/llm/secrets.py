@@ -6,7 +6,8 @@ equal contents are scanned once, and findings are joined back to all paths by co
 
 Spans are (kind, start, end) in code points, end exclusive, leftmost and without overlap in a
 kind. The places of matches follow from the texts between them: ``split`` gives the gaps,
-``regexp_extract_all`` the matches, and a fold adds up their lengths.
+``regexp_extract_all`` the matches, and running sums add up their lengths; time grows with the number
+of hits in a text times its logarithm.
 
 The ledger is a Parquet folder of (blob, rules_version, spans); rows that two writers add twice
 count once. Nulls: a null content is an empty one, without spans. Repeated rows give repeated
@@ -17,12 +18,14 @@ columns are passed on under any name; a column named like the findings' is repla
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, exists, fresh, held_out, shared_folder, small
+from .native import let
 
 
 class Rule(NamedTuple):
@@ -46,9 +49,22 @@ MORE = [
 ]
 RULES = BASE + MORE
 RULES_VERSION = 1
+#: Characters of a piece of text.
+PIECE = 1024
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with all before it (a sum, a maximum), by doubling: as many passes over the array as its length has binary digits."""
+    digits = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    steps = F.when(digits > 0, F.transform(F.sequence(F.lit(1), F.greatest(digits, F.lit(1))), lambda k: F.pow(F.lit(2), k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def double(done: Column, step: Column) -> Column:
+        return F.transform(done, lambda x, i: F.when(i >= step, join(x, F.get(done, i - step))).otherwise(x))
+
+    return F.aggregate(steps, values, double)
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """A kind's spans in a text, by start."""
     pattern = F.lit(rule.pattern)
@@ -57,16 +73,15 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
     )
+    own = F.transform(F.filter(parts, lambda x: x.hit.isNotNull()), lambda x: F.struct((F.length(x.gap) + F.length(x.hit)).alias("both"), F.length(x.hit).alias("hit"), F.length(x.part).alias("part")))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a.at + F.length(x.gap)
-        end = start + F.coalesce(F.length(x.hit), F.lit(0))
-        found = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x.part) >= rule.least, F.concat(a.spans, found)).otherwise(a.spans).alias("spans"))
+    def placed(sizes: Column) -> Column:
+        """Spans from the sizes of each gap with its hit, of the hit, and of the part that counts."""
+        ends = running(F.transform(sizes, lambda x: x.both), lambda a, b: a + b)
+        each = F.zip_with(sizes, ends, lambda x, end: F.struct((end - x.hit).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), x.part.alias("part")))
+        return F.transform(F.filter(each, lambda x: x.part >= rule.least), lambda x: F.struct(x.start.alias("start"), x.rank.alias("rank"), x.kind.alias("kind"), x.end.alias("end")))
 
-    none = F.array().cast(SPANS)
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda a: a.spans)
-    return F.when(text.rlike(rule.pattern), folded).otherwise(none)
+    return F.when(text.rlike(rule.pattern), let(own, placed)).otherwise(F.array().cast(SPANS))
 
 
 def content_key(text: Column) -> Column:
@@ -119,15 +134,36 @@ def rendered(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by the mark."""
+    """The text with each run of overlapping spans replaced by the mark.
+
+    The text is cut into pieces of ``PIECE`` characters first, so that a gap between two runs is put
+    together from its own pieces and not looked for from the text's beginning.
+    """
+
+    def gap(pieces: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+
+        def part(k: Column) -> Column:
+            begin = F.greatest(start - k * PIECE, F.lit(0))
+            return F.substring(F.get(pieces, k), begin + 1, F.least(end - k * PIECE, F.lit(PIECE)) - begin)
+
+        return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+
+    def rebuilt(x: Column) -> Column:
+        """From pieces, length, spans and their reach, which is how far the spans up to each go."""
+        begins = F.transform(x.spans, lambda s, i: F.struct(s.start.alias("start"), (s.start >= F.coalesce(F.get(x.reach, i - 1), F.lit(0))).alias("new")))
+        starts = F.transform(F.filter(begins, lambda s: s.new), lambda s: s.start)
+        ends = F.filter(x.reach, lambda e, i: F.coalesce(F.get(x.spans, i + 1).start >= e, F.lit(True)))
+
+        def joined(r: Column) -> Column:
+            gaps = F.transform(F.sequence(F.lit(0), F.size(r.starts)), lambda k: gap(x.pieces, F.coalesce(F.get(r.ends, k - 1), F.lit(0)), F.coalesce(F.get(r.starts, k), x.length)))
+            return F.array_join(gaps, mark)
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a.at + 1, s.start - a.at)
-        new = s.start >= a.at
-        return F.struct(F.greatest(a.at, s.end).alias("at"), F.when(new, F.concat(a.out, gap, F.lit(mark))).otherwise(a.out).alias("out"))
+        return let(F.struct(starts.alias("starts"), ends.alias("ends")), joined)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, zero, step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    reach = running(F.transform(spans, lambda s: s.end), F.greatest)
+    done = let(F.struct(pieces.alias("pieces"), F.length(text).alias("length"), spans.alias("spans"), reach.alias("reach")), rebuilt)
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
