@@ -2,14 +2,17 @@
 
 Words lose outer punctuation and case; a number, a unit after a number, and a name become typed
 placeholders (slots). A name is a capitalised word, at the beginning of a sentence only if the
-benchmark has it nowhere in lower case. Windows of ``WINDOW`` template words of every document are
+benchmark has it nowhere in lower case, and, in any case, a word that the benchmark has capitalised inside
+a sentence and nowhere in lower case, or one of ``NAMES``. Windows of ``WINDOW`` template words of every document are
 joined by hash with those of the benchmark items (an item with fewer words is one window of its own
-length, if it has ``LEAST`` or more), by their template words and by their plain words; windows of
-mostly placeholders in the item are compared by their plain words only. Windows that match at one
-difference of positions and touch or overlap are a run. A run's slots must be consistent: each slot
+length, if it has ``LEAST`` or more), by their template words and by their plain words; windows without
+``LITERALS`` words beside placeholders in the item are compared by their plain words only. Windows that
+match at one difference of positions and touch or overlap are a run. A run's slots must be consistent: each slot
 value of the item stands for one value of the document throughout, and each name of the document for
 one of the item, so a question with other numbers or names is caught, and a text whose slots don't
-line up is not. A pair of document and item is contaminated if a run has ``LONG`` words, or if runs in
+line up is not. Where windows of mostly placeholders take part, the slots say more than the words, and must
+be one-to-one (each value of the document stands for one of the item, too) and hold ``HEAVY_COVERAGE`` of
+the item's words. A pair of document and item is contaminated if a run has ``LONG`` words, or if runs in
 the same order in both, with consistent slots and positions shifted by no more than the item's
 length, hold ``COVERAGE`` of the item's words (rounded down), so words put in, left out or replaced
 between runs don't matter. A change within each ``WINDOW`` words leaves no run, and isn't found.
@@ -17,7 +20,9 @@ An item with fewer than ``LEAST`` words is found where a line of a document has
 no others.
 
 Before the join a Bloom filter of ``BITS`` bits, gathered from the item windows of any number, keeps
-the documents' windows in place that no item has.
+the documents' windows in place that no item has. The benchmark's lower-case words and its names are
+filters of the same size; a word that one of them has by chance is read alike in items and documents. Matched
+windows are folded to runs before they are shuffled, so a pair's rows grow with its runs.
 
 Nulls: a null text has no words; rows with a null item_id are left out, a null doc_id is kept. Ids
 may be of any type. Repeated rows give one result. Texts of any length are read whole, a few at a
@@ -26,9 +31,11 @@ time. Empty tables give an empty result. Other columns don't matter, whatever th
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +47,25 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Words, checkpoint, fresh, slices, small, starts, string_hashes
 
-WINDOW, LEAST, COVERAGE = 8, 5, 0.5
+WINDOW, LEAST, COVERAGE, LITERALS = 8, 5, 0.5, 1
+#: Share of an item's words that places with windows of mostly placeholders must hold.
+HEAVY_COVERAGE = 0.75
 LONG = 13
 #: Of the Bloom filter, a power of two.
 BITS = 1 << 25
 
 UNITS = frozenset("mm cm m km in ft mi mg g kg t oz lb lbs ml l s sec min h hr hours minutes seconds days weeks months years % kb mb gb tb usd eur dollars euros cents percent miles meters metres feet inches degrees".split())
+#: Common given names that are no other words, known in lower case too.
+NAMES = frozenset("""
+    aaron adam alan albert alexander alice amanda amy andrea andrew angela anna anne anthony arthur barbara benjamin betty brandon brian carlos
+    carol caroline catherine charlotte christopher cynthia daniel david deborah diana donald donna dorothy dylan edward elena elizabeth emily emma
+    eric ethan eugene eva evelyn fatima fernando gabriel george gloria gregory hannah harold heather helen henry isabel isabella jacob jacqueline
+    james jane janet jason jeffrey jennifer jeremy jessica joan john jonathan jose joseph joshua juan judith julia julie karen katherine kathleen
+    keith kelly kenneth kevin kyle larry laura lauren leonard linda lisa louis lucas lucy luis madison margaret maria marie martha mary matthew
+    megan melissa michael michelle mohammed nancy natalia natalie nathan nicholas nicole noah oliver olivia pamela patricia paul peter philip rachel
+    ralph raymond rebecca richard robert roger ronald russell ryan samantha samuel sandra sara sarah scott sean sharon shirley simon sophia sophie
+    stephanie stephen steven susan teresa theresa thomas timothy tyler victoria vincent virginia walter wayne william zachary
+""".split())
 _NUMBER = regex.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d*%?|[+-]?[$€£]?\d+%?")
 _OUTER = regex.compile(r"^[^\p{L}\p{N}$€£+%-]+|[^\p{L}\p{N}%]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -66,40 +86,94 @@ def _word(raw: bytes) -> tuple[str, bool, bool, bool, bool]:
     return low, _NUMBER.fullmatch(core) is not None, low in UNITS, core[:1].isupper() and not core.isupper(), word[-1] in ".!?:;|\"'»)" or not core
 
 
-def _template(text: str | None, ordinary: frozenset[str] = frozenset()) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    out, plain, begins, after_number = [], [], True, False
+_RUN = pa.struct([("heavy", pa.bool_()), ("shift", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("windows", pa.binary()), ("slots", pa.list_(pa.struct([("kind", pa.string()), ("item", pa.string()), ("doc", pa.string())])))])
+
+
+class Filter:
+    """A Bloom filter of ``BITS`` bits with two places for each hash ``h`` of a table."""
+
+    def __init__(self, items: DataFrame):
+        places = F.explode(F.array(*[F.shiftrightunsigned("h", n).bitwiseAND(F.lit(BITS - 1)) for n in (0, 32)]))
+        rows = items.select(places.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int)) AS bit"))
+        words = np.zeros(BITS >> 6, np.uint64)  # no more rows than this come to the driver
+        for word, bits in rows.groupBy("word").agg(F.bit_or("bit")).collect():
+            words[word] = bits & 0xFFFFFFFFFFFFFFFF
+        self.words = words
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that an item may have."""
+        at = np.arange(len(h))
+        for n in (0, 32):
+            p = (h[at].view(np.uint64) >> np.uint64(n)) & np.uint64(BITS - 1)
+            at = at[(self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
+
+def _among(own: frozenset[str] | Filter, hashes: np.ndarray) -> np.ndarray:
+    """Which of the words' hashes a vocabulary has."""
+    if not isinstance(own, Filter):
+        return np.isin(hashes, string_hashes(pa.array(sorted(own), pa.string())))
+    out = np.zeros(len(hashes), bool)
+    out[own.maybe(hashes.view(np.int64))] = True
+    return out
+
+
+def _template(text: str | None, ordinary: frozenset[str] | Filter = frozenset(), names: frozenset[str] | Filter = frozenset()) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    words, begins = [], True
     for raw in (text or "").encode().split():
-        low, number, unit, capital, ends = _word(raw)
-        if low:
-            kind = _NUM if number else _UNIT if unit and after_number else _NAME if capital and not (begins and low in ordinary) else low
-            out.append(kind)
-            plain.append(low)
-            after_number = number
-        begins = ends
-    return out, plain, string_hashes(pa.array(out, pa.string())), string_hashes(pa.array(plain, pa.string()))
+        word = _word(raw)
+        if word[0]:
+            words.append((*word[:4], begins))
+        begins = word[4]
+    plain = [w[0] for w in words]
+    plain_hashes = string_hashes(pa.array(plain, pa.string()))
+    out, after_number = [], False
+    for (low, number, unit, capital, begins), common, named in zip(words, _among(ordinary, plain_hashes).tolist(), _among(names, plain_hashes).tolist(), strict=True):
+        out.append(_NUM if number else _UNIT if unit and after_number else _NAME if named or capital and not (begins and common) else low)
+        after_number = number
+    return out, plain, string_hashes(pa.array(out, pa.string())), plain_hashes
+
 
+def template(text: str | None, ordinary: frozenset[str] | Filter = frozenset(), names: frozenset[str] | Filter = frozenset()) -> tuple[list[str], list[str]]:
+    """Template words and the plain forms of the same words; ``ordinary`` words aren't names where a sentence begins, ``names`` are in any case."""
+    return _template(text, ordinary, names)[:2]
 
-def template(text: str | None, ordinary: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
-    """Template words and the plain forms of the same words; ``ordinary`` words aren't names where a sentence begins."""
-    return _template(text, ordinary)[:2]
 
+class Vocabulary(NamedTuple):
+    """What the benchmark has in lower case, and names that count in any case."""
 
-def ordinary_words(benchmark: DataFrame) -> frozenset[str]:
-    """The words that the benchmark has in lower case: its vocabulary at most, without numbers."""
+    ordinary: frozenset[str] | Filter = frozenset()
+    names: frozenset[str] | Filter = frozenset()
+
+
+def vocabulary(benchmark: DataFrame, names: frozenset[str] = NAMES) -> Vocabulary:
+    """The benchmark's lower-case words, and the words that it has capitalised inside sentences but nowhere in lower case, with ``names`` of the same kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            own = {_word(w.encode()) for w in Words(b.column("text")).vocab.to_pylist() if w}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({low for low, number, _, capital, _ in own if low and not number and not capital}), pa.string())], ["word"])
-
-    return frozenset(r[0] for r in benchmark.select("text").mapInArrow(run, "word string").distinct().collect())
+            own: dict[str, list[bool]] = {}
+            for text in b.column("text").to_pylist():
+                begins = True
+                for raw in (text or "").encode().split():
+                    low, number, unit, capital, ends = _word(raw)
+                    if low and not number:
+                        seen = own.setdefault(low, [False, False])
+                        seen[0] |= not capital
+                        seen[1] |= capital and not begins and not unit
+                    begins = ends
+            hashes = string_hashes(pa.array(list(own), pa.string())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), *(pa.array([v[i] for v in own.values()], pa.bool_()) for i in (0, 1))], ["h", "lower", "name"])
+
+    known = benchmark.sparkSession.createDataFrame([(int(h), False, True) for h in string_hashes(pa.array(sorted(names), pa.string())).view(np.int64)], "h long, lower boolean, name boolean")
+    words = checkpoint(benchmark.select("text").mapInArrow(run, "h long, lower boolean, name boolean").unionByName(known).groupBy("h").agg(F.max("lower").alias("lower"), F.max("name").alias("name")))
+    return Vocabulary(Filter(words.where("lower").select("h")), Filter(words.where("name and not lower").select("h")))
 
 
 _SLOT_HASHES = np.array(sorted(_SLOTS.values()), np.uint64)
 
 
 def _windows(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each size: the size, window hashes, and which windows have literal words in at least half of their places."""
+    """For each size: the size, window hashes, and which windows have ``LITERALS`` words or more beside placeholders."""
     h = hashes
     total = np.concatenate([[0], np.cumsum(np.isin(h, _SLOT_HASHES))])
     for k in sizes:
@@ -110,10 +184,10 @@ def _windows(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.nda
         for i in range(k):
             out = out * _MIX + h[i : i + n]
         out ^= out >> np.uint64(29)
-        yield k, out.view(np.int64), 2 * (total[k:] - total[:-k]) <= k
+        yield k, out.view(np.int64), total[k:] - total[:-k] <= k - LITERALS
 
 
-def _templates(texts: pa.Array, ordinary: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+def _templates(texts: pa.Array, ordinary: frozenset[str] | Filter = frozenset(), names: frozenset[str] | Filter = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
     """``_template`` of many texts at once: flat template hashes, plain hashes and vocabulary codes, offsets of the texts, the vocabulary of raw words."""
     words = Words(texts)
     raw = words.vocab
@@ -121,42 +195,45 @@ def _templates(texts: pa.Array, ordinary: frozenset[str] = frozenset()) -> tuple
     hard = [_word(w.encode() or b"-") for w in raw.filter(pc.invert(easy)).to_pylist()]  # an unused empty word may be there
     easy = easy.to_numpy(zero_copy_only=False)
     columns = list(zip(*hard, strict=True)) or [()] * 5
-    flags = np.zeros((6, len(raw)), bool)  # whether not empty, number, unit, capitalised, end, ordinary
-    flags[5, ~easy] = [w in ordinary for w in columns[0]]
+    flags = np.zeros((7, len(raw)), bool)  # whether not empty, number, unit, capitalised, end, ordinary, name
     flags[0, easy], flags[2] = True, pc.is_in(raw, pa.array(sorted(UNITS), raw.type)).to_numpy(zero_copy_only=False)
     for flag, column in zip(flags[:5], [list(map(bool, columns[0])), *columns[1:]], strict=True):
         flag[~easy] = column
     by_word = np.zeros(len(raw), np.uint64)
     by_word[easy] = string_hashes(raw.filter(pa.array(easy)))
     by_word[~easy] = string_hashes(pa.array(columns[0], pa.string()))
-    full, number, unit, capital, ends, common = (f[words.codes] for f in flags)
+    flags[5, ~easy] = _among(ordinary, by_word[~easy])  # the others have no capital
+    flags[6] = _among(names, by_word) & flags[0]
+    full, number, unit, capital, ends, common, named = (f[words.codes] for f in flags)
     n = len(full)
     begins = np.concatenate([[True], ends[:-1]])[:n]
     begins[words.offsets[:-1][words.offsets[:-1] < n]] = True
     offsets = np.concatenate([[0], np.cumsum(full)])[words.offsets]
-    codes, number, unit, capital, begins = words.codes[full], number[full], unit[full], capital[full], (begins & common)[full]
+    codes, number, unit, capital, begins, named = words.codes[full], number[full], unit[full], capital[full], (begins & common)[full], named[full]
     n = len(codes)
     after_number = np.concatenate([[False], number[:-1]])[:n]
     after_number[offsets[:-1][offsets[:-1] < n]] = False
     plain = by_word[codes]
-    kinds = [number, unit & after_number, capital & ~begins]
+    kinds = [number, unit & after_number, named | capital & ~begins]
     hashes = np.select(kinds, [np.uint64(_SLOTS[s]) for s in (_NUM, _UNIT, _NAME)], plain)
     kind = np.select(kinds, [1, 2, 3], 0)
     return hashes, plain, np.stack([codes, kind]), offsets, raw
 
 
-def item_windows(benchmark: DataFrame, ordinary: frozenset[str] = frozenset()) -> DataFrame:
+def item_windows(benchmark: DataFrame, known: Vocabulary) -> DataFrame:
     """(h, item_id, at, size, windows, length, words, plain): the windows of every item by template and plain hash.
 
     ``windows`` is how many places of windows the item has, ``length`` how many words.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
+    shared = benchmark.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for b in slices(batches, "text", 1 << 18):
             rows, own = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                words, plain, hashes, plain_hashes = _template(text, ordinary)
+                words, plain, hashes, plain_hashes = _template(text, *known)
                 size = min(WINDOW, len(words))
                 if size < LEAST:
                     continue
@@ -176,36 +253,16 @@ _NAMES = ["item_id", "h", "at", "size", "windows", "length", "words", "plain"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
 
-class Filter:
-    """A Bloom filter of ``BITS`` bits with two places for each hash."""
-
-    def __init__(self, items: DataFrame):
-        places = F.explode(F.array(*[F.shiftrightunsigned("h", n).bitwiseAND(F.lit(BITS - 1)) for n in (0, 32)]))
-        rows = items.select(places.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int)) AS bit"))
-        words = np.zeros(BITS >> 6, np.uint64)  # no more rows than this come to the driver
-        for word, bits in rows.groupBy("word").agg(F.bit_or("bit")).collect():
-            words[word] = bits & 0xFFFFFFFFFFFFFFFF
-        self.words = words
-
-    def maybe(self, h: np.ndarray) -> np.ndarray:
-        """Positions of the hashes that an item may have."""
-        at = np.arange(len(h))
-        for n in (0, 32):
-            p = (h[at].view(np.uint64) >> np.uint64(n)) & np.uint64(BITS - 1)
-            at = at[(self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
-        return at
-
-
-def doc_windows(docs: DataFrame, sizes: list[int], wanted: Filter, ordinary: frozenset[str] = frozenset()) -> DataFrame:
+def doc_windows(docs: DataFrame, sizes: list[int], wanted: Filter, known: Vocabulary) -> DataFrame:
     """(doc_id, t, h, place, doc_words, doc_plain): the documents' windows of these sizes that an item may have; ``t`` is the text's hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, ordinary))
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, ordinary = shared.value
+        wanted, known = shared.value
         for part in slices(batches, "text", 1 << 20):
             ids, hs, places, ws, ps = [], [], [], [], []
-            hashes, plain_hashes, (codes, kinds), offsets, vocab = _templates(part.column("text"), ordinary)
+            hashes, plain_hashes, (codes, kinds), offsets, vocab = _templates(part.column("text"), *known)
             for (k, h, ok), (_, p, _) in zip(_windows(hashes, sizes), _windows(plain_hashes, sizes), strict=True):
                 whole = np.zeros(len(h), bool)
                 whole[starts(offsets, k)] = True
@@ -253,33 +310,44 @@ def short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
 Slot = tuple[str, str, str]
 
 
-def _joined(slots: dict[tuple, str], more: list[Slot] | dict[tuple, str]) -> dict[tuple, str] | None:
-    """The slots, by item's value and for names by the document's too, with these also; none if one would have two values."""
+class Run(NamedTuple):
+    """Item places [begin, end) that windows match ``shift`` further on in the document: the windows' places as bits, their slots."""
+
+    heavy: bool
+    shift: int
+    begin: int
+    end: int
+    windows: int
+    slots: frozenset[Slot]
+
+
+def folded(parts: Iterable[Run]) -> list[Run]:
+    """Runs that touch or overlap at one shift, joined; windows of mostly placeholders apart from the others."""
+    out: list[list] = []
+    for r in sorted(parts, key=lambda r: r[:4]):
+        if out and out[-1][:2] == [r.heavy, r.shift] and r.begin <= out[-1][3]:
+            last = out[-1]
+            last[3], last[4] = max(last[3], r.end), last[4] | r.windows
+            last[5] |= r.slots
+        else:
+            out.append([*r[:5], set(r.slots)])
+    return [Run(*r[:5], frozenset(r[5])) for r in out]
+
+
+def _joined(slots: dict[tuple, str], more: Iterable[Slot] | dict[tuple, str], one_to_one: bool = False) -> dict[tuple, str] | None:
+    """The slots, by item's value and for names (``one_to_one``: for all) by the document's too, with these also; none if one would have two values."""
     out = dict(slots)
-    pairs = more.items() if isinstance(more, dict) else [x for kind, item, doc in more for x in ((("item", item), doc), *([(("doc", doc), item)] if kind == _NAME else []))]
+    pairs = more.items() if isinstance(more, dict) else [x for kind, item, doc in more for x in ((("item", item), doc), *([(("doc", doc), item)] if one_to_one or kind == _NAME else []))]
     for key, value in pairs:
         if out.setdefault(key, value) != value:
             return None
     return out
 
 
-def runs(hits: list[tuple[int, int, int, list[Slot]]]) -> list[tuple[int, int, int, int, dict]]:
-    """(shift, begin, end, windows, slots) of each run with consistent slots, longest first, from (at, place, size, slots)."""
-    out, open_run = [], None
-    for at, place, size, slots in sorted(hits, key=lambda x: (x[1] - x[0], x[0])):
-        if open_run and open_run[0] == place - at and at <= open_run[2]:
-            open_run[2], open_run[3] = max(open_run[2], at + size), open_run[3] + 1
-            open_run[4] += slots
-        else:
-            open_run = [place - at, at, at + size, 1, list(slots)]
-            out.append(open_run)
-    kept = [(shift, a, b, n, own) for shift, a, b, n, slots in out if (own := _joined({}, slots)) is not None]
-    return sorted(kept, key=lambda r: (r[1] - r[2], r[0], r[1]))
-
-
-def judge(hits: list[tuple[int, int, int, list[Slot]]], length: int) -> tuple[int, int, bool] | None:
-    """Most windows and item words in one place and whether one place is verbatim; none if the pair isn't contaminated."""
-    found, used, ordered = [], set(), runs(hits)
+def _judged(parts: list[Run], length: int, one_to_one: bool) -> tuple[int, int, bool] | None:
+    kept = [(r.shift, r.begin, r.end, r.windows.bit_count(), own) for r in folded(parts) if (own := _joined({}, r.slots, one_to_one)) is not None]
+    least = math.ceil(HEAVY_COVERAGE * length) if one_to_one else int(COVERAGE * length)
+    found, used, ordered = [], set(), sorted(kept, key=lambda r: (r[1] - r[2], r[0], r[1]))
     by_shift = sorted(range(len(ordered)), key=lambda i: ordered[i][0])
     shifts = [ordered[i][0] for i in by_shift]
     for i, first in enumerate(ordered):
@@ -296,32 +364,65 @@ def judge(hits: list[tuple[int, int, int, list[Slot]]], length: int) -> tuple[in
                 slots = more
         of = [ordered[c] for c in chain]
         covered = min(len({x for _, a, b, _, _ in of for x in range(a, b)}), len({x + s for s, a, b, _, _ in of for x in range(a, b)}))
-        if covered >= int(COVERAGE * length) or first[2] - first[1] >= LONG:
+        if covered >= least or not one_to_one and first[2] - first[1] >= LONG:
             used.update(chain)
             found.append((sum(r[3] for r in of), covered, all(key[1] == value for key, value in slots.items())))
     return (max(x[0] for x in found), max(x[1] for x in found), any(x[2] for x in found)) if found else None
 
 
+def judge(parts: list[Run], length: int) -> tuple[int, int, bool] | None:
+    """Most windows and item words in one place and whether one place is verbatim; none if the pair isn't contaminated.
+
+    Windows of mostly placeholders count together with the others, if all slots are one-to-one then.
+    """
+    found = [_judged([r for r in parts if not r.heavy], length, False)]
+    if any(r.heavy for r in parts):
+        found.append(_judged([r._replace(heavy=False) for r in parts], length, True))
+    found = [x for x in found if x]
+    return (max(x[0] for x in found), max(x[1] for x in found), any(x[2] for x in found)) if found else None
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, verbatim): a row for each contaminated pair.
 
     ``coverage`` is the share of the item's words; ``verbatim`` is false where slots have other
     values than the item's. An item shorter than a window counts as one window.
     """
-    ordinary = ordinary_words(benchmark)
-    items = checkpoint(item_windows(benchmark, ordinary))
+    known = vocabulary(benchmark)
+    items = checkpoint(item_windows(benchmark, known))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    found = doc_windows(docs if sizes else docs.limit(0), sizes, Filter(items), ordinary)
+    found = doc_windows(docs if sizes else docs.limit(0), sizes, Filter(items), known)
     slots = F.filter(F.transform(F.arrays_zip("words", "plain", "doc_plain"), lambda x: F.when(x.words.rlike("^<(num|unit|name)>$"), F.struct(x.words.alias("kind"), x.plain.alias("item"), x.doc_plain.alias("doc")))), lambda x: x.isNotNull())
-    pairs = found.join(small(items), "h").where("words = doc_words OR plain = doc_plain").select("doc_id", "t", "item_id", "windows", "length", F.struct("at", "place", "size", slots.alias("slots")).alias("hit"))
-    placed = pairs.groupBy("doc_id", "t", "item_id", "windows", "length").agg(F.collect_set("hit").alias("hits"))
+    pairs = found.join(small(items, units=F.lit(1 + WINDOW // 2)), "h").where("words = doc_words OR plain = doc_plain")
+    heavy = (2 * F.size("slots") > F.col("size")) & (F.col("plain") != F.col("doc_plain"))
+    hits = pairs.withColumn("slots", slots).select("doc_id", "t", "item_id", "windows", "length", "at", "place", "size", heavy.alias("heavy"), "slots")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
+    keys = ["doc_id", "t", "item_id", "windows", "length"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of: dict[tuple, list[Run]] = {}
+            at = {}
+            own = zip(*(b.column(c).to_pylist() for c in (*keys, "heavy", "at", "place", "size", "slots")), strict=True)
+            for i, (*key, heavy, start, place, size, slots) in enumerate(own):
+                at.setdefault(tuple(key), i)
+                of.setdefault(tuple(key), []).append(Run(heavy, place - start, start, start + size, 1 << start, frozenset((s["kind"], s["item"], s["doc"]) for s in slots)))
+            rows = [(at[key], r) for key, parts in of.items() for r in folded(parts)]
+            if rows:
+                old = [b.column(c).take(pa.array([i for i, _ in rows])) for c in keys]
+                runs = [{"heavy": r.heavy, "shift": r.shift, "begin": r.begin, "end": r.end, "windows": r.windows.to_bytes((r.windows.bit_length() + 7) // 8, "little"), "slots": [dict(zip(("kind", "item", "doc"), x, strict=True)) for x in sorted(r.slots)]} for _, r in rows]
+                yield pa.RecordBatch.from_arrays([*old, pa.array(runs, _RUN)], [*keys, "run"])
+
+    slot = "struct<kind:string,item:string,doc:string>"
+    folded_runs = hits.mapInArrow(fold, f"{kinds}, windows long, length long, run struct<heavy:boolean,shift:long,begin:long,end:long,windows:binary,slots:array<{slot}>>")
+    placed = folded_runs.groupBy(*keys).agg(F.collect_list("run").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, at = [], []
-            for i, (length, hits) in enumerate(zip(b.column("length").to_pylist(), b.column("hits").to_pylist(), strict=True)):
-                if own := judge([(h["at"], h["place"], h["size"], [(s["kind"], s["item"], s["doc"]) for s in h["slots"]]) for h in hits], length):
+            for i, (length, runs) in enumerate(zip(b.column("length").to_pylist(), b.column("runs").to_pylist(), strict=True)):
+                parts = [Run(r["heavy"], r["shift"], r["begin"], r["end"], int.from_bytes(r["windows"], "little"), frozenset((s["kind"], s["item"], s["doc"]) for s in r["slots"])) for r in runs]
+                if own := judge(parts, length):
                     rows.append((own[0], own[1] / length, own[2]))
                     at.append(i)
             if rows:

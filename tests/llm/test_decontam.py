@@ -167,3 +167,30 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, Q, "a", "b"), (2, "clean", "a", "b")], "doc_id long, text string, _key string, _gone string")
     got = decontam.drop_contaminated(df, spark.createDataFrame([(7, Q, 1)], "item_id long, text string, doc_id long"))
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, "clean", "a", "b")]
+
+
+def test_questions_of_mostly_numbers(spark):
+    items = ["Compute 12 + 30 - 4 * 9 = 24 now", "What comes next: 2, 4, 8, 16, 32, 64, ?", "1 2 3 4 5 6 7 8"]
+    docs = ["Compute 15 + 31 - 7 * 2 = 99 now", "Tell me. What comes next: 3, 9, 27, 81, 243, 729, ?", "Compute 15 + 15 - 15 * 15 = 15 now", "what comes first: 3, 9, 27, 81, 243", "11 12 13 14 15 16 17 18", "0 1 2 3 4 5 6 7 8 9"]
+    assert found(spark, docs, items) == {(0, 0, False), (1, 1, False), (5, 2, True)}
+
+
+def test_names_in_lower_case(spark):
+    items = ["If John has 5 apples and gives 2 to Mary then how many apples does John have left in all", "The merchant Okonkwo sold a red lamp to Ngozi and then Okonkwo left the old market place"]
+    docs = [
+        "if peter has 9 apples and gives 4 to anna then how many apples does peter have left in all",
+        "if john has 9 apples and gives 4 to mary then how many apples does john have left in all",
+        "the merchant ngozi sold a red lamp to okonkwo and then ngozi left the old market place",
+        "if peter has 9 apples and gives 4 to anna then how many apples does anna have left in all",
+        "IF PETER HAS 9 APPLES AND GIVES 4 TO ANNA THEN HOW MANY APPLES DOES PETER HAVE LEFT IN ALL",
+    ]
+    assert found(spark, docs, items) == {(0, 0, False), (1, 0, False), (2, 1, False), (4, 0, False)}
+
+
+def test_folding_in_any_parts():
+    rng = random.Random(7)
+    for _ in range(200):
+        parts = [decontam.Run(rng.random() < 0.3, rng.randrange(3), a, a + 8, 1 << a, frozenset([("<num>", str(a), str(rng.randrange(3)))] if rng.random() < 0.5 else [])) for a in (rng.randrange(40) for _ in range(rng.randrange(1, 12)))]
+        cut = rng.randrange(len(parts) + 1)
+        halves = decontam.folded(parts[:cut]) + decontam.folded(parts[cut:])
+        assert decontam.folded(halves) == decontam.folded(parts) and decontam.judge(halves, 20) == decontam.judge(parts, 20)
