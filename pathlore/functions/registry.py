@@ -1,15 +1,21 @@
-"""Tools made at run time: named column functions with versions, switches and a log of their use. No text is ever run as code."""
+"""Tools made at run time: named column functions with versions, switches and a log of their runs. No text is ever run as code."""
 
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from pathlore.session import shared_folder
+from pathlore.sources import files
+
 MOST_TOOLS = 50
+LOG = "tool string, version int, at long, ms long, n long, good long"
 
 
 @dataclass(frozen=True)
@@ -29,10 +35,14 @@ def tool_name(name: str) -> str:
 
 @dataclass
 class ToolRegistry:
-    """Functions from columns to a column (built-ins or pandas UDFs), by name."""
+    """Functions from columns to a column (built-ins or pandas UDFs), by name.
+
+    A run is written to ``folder`` (by default a new one below the shared folder), and what it has counted on the way
+    is a line of the log there, under the tool's name: reading results or log runs no tool again.
+    """
 
     tools: dict[str, Tool] = field(default_factory=dict)
-    log: list[DataFrame] = field(default_factory=list)
+    folder: str | None = None
 
     def forge(self, name: str, description: str, function: Callable[..., Column], inputs: dict[str, str]) -> Tool:
         own = tool_name(name)
@@ -55,7 +65,9 @@ class ToolRegistry:
         """Removes a tool and its log."""
         self._known(name)
         del self.tools[name]
-        self.log = [x.where(F.col("tool") != name) for x in self.log]
+        if self.folder:
+            system, own = files._folder(SparkSession.active(), f"{self.folder}/log/{name}")
+            system.delete(own, True)
 
     def _known(self, name: str) -> Tool:
         if name not in self.tools:
@@ -63,20 +75,27 @@ class ToolRegistry:
         return self.tools[name]
 
     def run(self, df: DataFrame, name: str, *columns: str, result: str = "result") -> DataFrame:
-        """``df`` with the tool's result; a row's run is good if the result isn't null. Logs counts by version when the log is read."""
+        """``df`` with the tool's result, as written by a run that takes place now; a row's run is good if the result isn't null."""
         tool = self._known(name)
         if not tool.enabled:
             raise ValueError(f"tool {name} is off")
+        spark = df.sparkSession
+        self.folder = self.folder or f"{shared_folder(spark)}/tools-{uuid.uuid4().hex}"
+        seen = Observation()
         out = df.withColumn(result, tool.function(*map(F.col, columns)))
-        self.log.append(out.select(F.lit(name).alias("tool"), F.lit(tool.version).alias("version"), F.col(result).isNotNull().alias("good")))
-        return out
+        path, began = f"{self.folder}/runs/{uuid.uuid4().hex}", time.time()
+        out.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(result).isNotNull()).alias("good")).write.parquet(path)
+        row = (name, tool.version, int(began * 1000), int((time.time() - began) * 1000), seen.get["n"], seen.get["good"])
+        files.append_log(spark.createDataFrame([row], LOG), f"{self.folder}/log/{name}")
+        return spark.read.schema(out.schema).parquet(path)
+
+    def runs(self, spark: SparkSession) -> DataFrame:
+        """(tool, version, at, ms, n, good): a row for each run of a tool that is still there."""
+        return files.good(files.read_documents(spark, f"{self.folder}/log", LOG, many_lines=False)) if self.folder else spark.createDataFrame([], LOG)
 
     def statistics(self, spark: SparkSession) -> DataFrame:
         """(tool, version, n, good): the log's counts."""
-        whole = spark.createDataFrame([], "tool string, version int, good boolean")
-        for part in self.log:
-            whole = whole.unionByName(part)
-        return whole.groupBy("tool", "version").agg(F.count("*").alias("n"), F.count_if("good").alias("good"))
+        return self.runs(spark).groupBy("tool", "version").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
     def catalogue(self, spark: SparkSession) -> DataFrame:
         """(name, description, version, enabled, inputs) of all tools, by name."""

@@ -71,13 +71,53 @@ def execution_stats(rows: DataFrame, tool: Column, good: Column, ms: str) -> Dat
     return rows.groupBy(tool).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.round(F.avg(ms), 6).alias("mean_ms"), F.max(ms).alias("most_ms"), F.min(ms).alias("least_ms"))
 
 
-def admitted(tasks: DataFrame, creator: str, seconds: str, signature: str, key: str, most: int) -> DataFrame:
-    """``tasks`` with outcome: 'rate_limit' where the creator had ``most`` in the hour before, 'deduplicated' where the signature is known, else 'created'."""
-    hour = Window.partitionBy(creator).orderBy(seconds).rangeBetween(-3600, 0)
-    first = tasks.groupBy(signature).agg(F.min(F.struct(seconds, key)).alias("_first"))
-    own = tasks.withColumn("_recent", F.count("*").over(hour) - 1).join(first, signature)
-    outcome = F.when(F.col("_recent") >= most, "rate_limit").when(F.col(f"_first.{key}") != F.col(key), "deduplicated").otherwise("created")
-    return own.withColumn("outcome", outcome).drop("_recent", "_first")
+def task_signature(schedule: Column, action: Column) -> Column:
+    """16 hex digits of the SHA-256 of a task's schedule and action as JSON, fields in their order."""
+    return F.substring(F.sha2(F.to_json(F.struct(schedule.alias("schedule"), action.alias("action"))), 256), 1, 16)
+
+
+def admitted(tasks: DataFrame, creator: str, seconds: str, signature: str, key: str, most: int = 50, active: int = 200, step: int = 1000) -> DataFrame:
+    """``tasks`` with outcome, in order of time and key, each seeing the tasks that were created before it only.
+
+    'rate_limit' where ``most`` tasks of the creator were created in the hour before (less than 3600 seconds),
+    else 'full' where ``active`` tasks were, else 'deduplicated' where one with the signature was, else 'created'.
+
+    No more than ``active`` tasks can be created, and only they bear on others. So they are found in rounds: a
+    task that the created ones so far refuse stays refused, the first ``step`` others in order come to the
+    driver and are gone through, and the next round goes on behind them. Times are whole numbers.
+    """
+    spark = tasks.sparkSession
+    kinds = {c: tasks.schema[c].dataType.simpleString() for c in (creator, seconds, signature, key)}
+    place = F.struct(F.col(seconds).alias("s"), F.col(key).alias("k"))
+    slot = f"struct<s:{kinds[seconds]},k:{kinds[key]}>"
+
+    def against(created: list[tuple]) -> DataFrame:
+        """The tasks with how many were created before them, of their creator in the hour, and with their signature."""
+        rows = spark.createDataFrame([(c, sig, (s, k)) for c, s, sig, k in created], f"_c {kinds[creator]}, _sig {kinds[signature]}, _p {slot}")
+        by_creator = F.broadcast(rows.groupBy("_c").agg(F.collect_list("_p").alias("_of")))
+        by_signature = F.broadcast(rows.groupBy(F.col("_sig").alias("_s")).agg(F.min("_p").alias("_same")))
+        whole = F.broadcast(rows.agg(F.collect_list("_p").alias("_all")))
+        own = tasks.join(by_creator, F.col(creator).eqNullSafe(F.col("_c")), "left").join(by_signature, F.col(signature).eqNullSafe(F.col("_s")), "left").crossJoin(whole)
+        before = lambda p: p < place
+        recent = F.size(F.filter(F.coalesce("_of", F.array().cast(f"array<{slot}>")), lambda p: before(p) & (p.s > F.col(seconds) - 3600)))
+        found = own.withColumn("_recent", recent).withColumn("_before", F.size(F.filter("_all", before))).withColumn("_known", F.coalesce(before(F.col("_same")), F.lit(False)))
+        return found.drop("_c", "_of", "_s", "_same", "_all")
+
+    created: list[tuple] = []
+    last = None
+    while len(created) < active:
+        ahead = against(created).where((F.col("_recent") < most) & ~F.col("_known"))
+        if last is not None:
+            ahead = ahead.where(place > F.struct(F.lit(last[0]).cast(kinds[seconds]).alias("s"), F.lit(last[1]).cast(kinds[key]).alias("k")))
+        some = ahead.orderBy(seconds, key).select(creator, seconds, signature, key).limit(step).collect()
+        if not some:
+            break
+        for c, s, sig, k in some:
+            if len(created) < active and sum(x[0] == c and x[1] > s - 3600 for x in created) < most and all(x[2] != sig for x in created):
+                created.append((c, s, sig, k))
+        last = (some[-1][1], some[-1][3])
+    outcome = F.when(F.col("_recent") >= most, "rate_limit").when(F.col("_before") >= active, "full").when(F.col("_known"), "deduplicated").otherwise("created")
+    return against(created).withColumn("outcome", outcome).drop("_recent", "_before", "_known")
 
 
 def context_thresholds(reflections: Column, mean_lessons: Column, skills: Column, segments: Column, mean_rate: Column) -> list[Column]:

@@ -66,7 +66,7 @@ def surprises(flagged: DataFrame, task: str, expectation: str, observed: Column,
     own = flagged.withColumn("_expected", expectation_terms(F.lag(expectation).over(by_task))).withColumn("_last", F.lead("idx").over(by_task).isNull())
     score = F.when(~F.col("_last") & (F.lit(True) if navigated is None else ~F.coalesce(navigated, F.lit(False))), surprise(F.col("_expected"), expectation_terms(F.concat_ws(" ", observed, more))))
     if given is not None:
-        score = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)), score)
+        score = F.when(given.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), given))).otherwise(score)
     return own.withColumn("surprise", score).withColumn("surprised", F.coalesce(F.col("surprise") > 0.5, F.lit(False))).drop("_expected", "_last")
 
 

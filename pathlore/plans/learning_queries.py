@@ -179,11 +179,22 @@ def predicted_memories(spark, sf_dir):
     return retrieval.top(scored, "memory", "score", 15).select("q", "memory", "score")
 
 
-@register("task_admission", "WITH o AS (SELECT o_orderkey AS id, o_custkey AS creator, epoch(o_orderdate) AS s, substr(sha256(o_custkey || '|' || o_orderpriority), 1, 16) AS sig FROM orders), x AS (SELECT *, count(*) OVER (PARTITION BY creator ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) - 1 AS recent, row_number() OVER (PARTITION BY sig ORDER BY s, id) > 1 AS again FROM o) SELECT id, sig AS signature, CASE WHEN recent >= 50 THEN 'rate_limit' WHEN again THEN 'deduplicated' ELSE 'created' END AS outcome FROM x")
+_ADMITTED = """o AS (SELECT o_orderkey AS id, 'user ' || o_custkey % 3 AS creator, o_orderkey * 7 AS s, substr(sha256('{"schedule":{"hour":' || o_custkey % 24 || '},"action":{"kind":"' || o_orderpriority || '","customer":' || o_custkey % 40 || '}}'), 1, 16) AS sig FROM orders),
+x AS (SELECT *, row_number() OVER (ORDER BY s, id) AS k FROM o),
+r AS (SELECT 0::BIGINT AS k, []::STRUCT(c VARCHAR, s BIGINT, sig VARCHAR, k BIGINT)[] AS made
+  UNION ALL SELECT x.k, CASE WHEN len(list_filter(made, lambda m: m.c = x.creator AND m.s > x.s - 3600)) >= 50 OR len(list_filter(made, lambda m: m.sig = x.sig)) > 0 THEN made ELSE list_append(made, {'c': x.creator, 's': x.s, 'sig': x.sig, 'k': x.k}) END
+  FROM r JOIN x ON x.k = r.k + 1 WHERE len(made) < 200),
+l AS (SELECT made FROM r ORDER BY k DESC LIMIT 1)
+SELECT id, sig AS signature, CASE WHEN len(list_filter(made, lambda m: m.k < x.k AND m.c = x.creator AND m.s > x.s - 3600)) >= 50 THEN 'rate_limit' WHEN len(list_filter(made, lambda m: m.k < x.k)) >= 200 THEN 'full'
+  WHEN len(list_filter(made, lambda m: m.k < x.k AND m.sig = x.sig)) > 0 THEN 'deduplicated' ELSE 'created' END AS outcome FROM x, l"""
+
+
+@register("task_admission", "WITH RECURSIVE " + _ADMITTED)
 def task_admission(spark, sf_dir):
-    """What becomes of each new task: too many of its creator's in the hour, known by its signature, or created."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("creator"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s"), F.substring(F.sha2(F.concat_ws("|", "o_custkey", "o_orderpriority"), 256), 1, 16).alias("sig"))
-    return memory.admitted(o, "creator", "s", "sig", "id", 50).select("id", F.col("sig").alias("signature"), "outcome")
+    """What becomes of each new task: too many of its creator's in the hour, too many in all, known by its signature, or created."""
+    schedule, action = F.struct((F.col("o_custkey") % 24).alias("hour")), F.struct(F.col("o_orderpriority").alias("kind"), (F.col("o_custkey") % 40).alias("customer"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("user "), F.col("o_custkey") % 3).alias("creator"), (F.col("o_orderkey") * 7).alias("s"), memory.task_signature(schedule, action).alias("signature"))
+    return memory.admitted(o, "creator", "s", "signature", "id").select("id", "signature", "outcome")
 
 
 @register("hashed_vectors", r"""WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS w FROM benchmark), h AS (SELECT item_id, md5(w) AS d, unnest([0, 1, 2, 3]) AS i FROM t),

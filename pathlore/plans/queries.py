@@ -19,15 +19,15 @@ FLAGS = f"""{STEPS}, lo AS (SELECT a.user_id, a.idx, max(b.idx) AS loop_at, max(
     AND b.idx >= a.idx - least(50, greatest(10, floor((a.idx + 1) * 0.6))) GROUP BY 1, 2),
 f0 AS (SELECT st.*, acted AND coalesce(state = lag(state) OVER w, false) AS stagnation, loop_at, CASE WHEN loop_at IS NULL THEN NULL WHEN loop_at = exact_at THEN 'exact' ELSE 'perceptual' END AS loop_by, lag(expectation) OVER w AS before, lead(idx) OVER w IS NULL AS is_last FROM st LEFT JOIN lo USING (user_id, idx) WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
 k AS (SELECT *, {EXPECT.format("coalesce(before, '')")} AS kw, {EXPECT.format("observed || CASE WHEN loop_at IS NOT NULL THEN ' loop detected same screen' ELSE '' END || CASE WHEN stagnation THEN ' stagnation no change' ELSE '' END")} AS obs FROM f0),
-s0 AS (SELECT *, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, given)), CASE WHEN NOT is_last AND NOT navigated AND len(kw) > 0 THEN greatest(0.0::DOUBLE, 1 - list_sum(list_transform(kw, lambda w: CASE WHEN list_contains(obs, w) THEN 1.0::DOUBLE WHEN len(list_filter(obs, lambda o: contains(o, w) OR contains(w, o))) > 0 THEN 0.5 ELSE 0 END)) / len(kw)) END) AS surprise FROM k),
+s0 AS (SELECT *, coalesce(CASE WHEN given IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, given)) END, CASE WHEN NOT is_last AND NOT navigated AND len(kw) > 0 THEN greatest(0.0::DOUBLE, 1 - list_sum(list_transform(kw, lambda w: CASE WHEN list_contains(obs, w) THEN 1.0::DOUBLE WHEN len(list_filter(obs, lambda o: contains(o, w) OR contains(w, o))) > 0 THEN 0.5 ELSE 0 END)) / len(kw)) END) AS surprise FROM k),
 fl AS (SELECT *, coalesce(surprise > 0.5, false) AS surprised FROM s0)"""
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)"
 
 
-def _steps(spark, sf_dir):
+def step_columns(events):
     """Steps of tasks (users): the event's type is the state; the other fields are derived from its id."""
     i = F.col("event_id")
-    own = table(spark, sf_dir, "events").select(
+    return events.select(
         "user_id",
         "event_id",
         "ts",
@@ -39,7 +39,10 @@ def _steps(spark, sf_dir):
         (i % 17 == 0).alias("navigated"),
         F.when(i % 19 == 0, F.col("value") / 60).alias("given"),
     )
-    return sequences.indexed(own, "user_id", "ts", "event_id")
+
+
+def _steps(spark, sf_dir):
+    return sequences.indexed(step_columns(table(spark, sf_dir, "events")), "user_id", "ts", "event_id")
 
 
 def _flagged(spark, sf_dir):

@@ -8,30 +8,32 @@ from pyspark.sql import functions as F
 
 from pathlore.functions import variables
 from pathlore.functions.parsers import resolved
-from pathlore.functions.patterns import INDEX_STOPS
+from pathlore.functions.patterns import INDEX_STOPS, TOPIC_STOPS
 from pathlore.functions.registry import ToolRegistry
 from pathlore.plans.derived import sql_list
-from pathlore.plans.queries import FLAGS
-from pathlore.plans.registry import register
+from pathlore.plans.queries import FLAGS, step_columns
+from pathlore.plans.registry import ORACLES, register
 from pathlore.session import shared_folder, table
-from pathlore.streaming import sessions, steps
+from pathlore.streaming import recovery, sessions, steps, topics
 from pathlore.streaming.index import IndexWriter
 
 
-def _stream(spark, sf_dir, name):
+def _stream(spark, sf_dir, name, **options):
     """A table as a stream of its files; the path's last letter is a pattern, so that a single file will do."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.options(**options).schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _drained(stream, mode, spark, name):
-    """What a stream has put out once all that there is has been read."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _drained(stream, mode, spark, name, key=None, path=None):
+    """What a stream has put out once all that there is has been read; in update mode, of each ``key`` what the last trigger with it has put out."""
+    path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         run.format("parquet").option("path", f"{path}/out").start().awaitTermination()
-    else:
-        run.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/{n}")).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", mode != "append").parquet(f"{path}/out")
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    run.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/trigger={n}")).start().awaitTermination()
+    out = spark.read.schema(f"{stream._jdf.schema().toDDL()}, trigger long").parquet(f"{path}/out")
+    newest = out.groupBy(key).agg(F.max("trigger").alias("trigger"))
+    return out.join(newest, [key, "trigger"], "left_semi").drop("trigger")
 
 
 @register("stream_flags", f"WITH {FLAGS} SELECT user_id AS task, idx, stagnation, CAST(loop_at AS BIGINT) AS loop_at, loop_by FROM fl")
@@ -42,11 +44,65 @@ def stream_flags(spark, sf_dir):
     return _drained(steps.flag_stream(own), "append", spark, "flags")
 
 
+def recovery_steps(events):
+    """Steps of tasks (users) with all that a monitor looks at, as in ``recovery_level``."""
+    return step_columns(events).select("*", F.col("user_id").alias("task"), F.col("event_id").alias("id"), (F.col("state") == "purchase").alias("checkpoint"))
+
+
+@register("stream_recovery", ORACLES["recovery_level"])
+def stream_recovery(spark, sf_dir):
+    """Recovery level of each task after its last step, kept up step by step."""
+    rows = recovery.monitored(recovery_steps(_stream(spark, sf_dir, "events")))
+    with recovery.with_store(spark):
+        out = _drained(rows, "append", spark, "recovery")
+    return recovery.latest(out).withColumnRenamed("task", "user_id")
+
+
 @register("stream_messages", "SELECT conv_id AS session, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations QUALIFY rank <= 10")
 def stream_messages(spark, sf_dir):
     """The last ten messages of each session, kept as they arrive."""
     own = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", "role")
-    return _drained(sessions.message_stream(own, expire_ms=None), "update", spark, "messages")
+    return _drained(sessions.message_stream(own, expire_ms=None), "update", spark, "messages", "session")
+
+
+def topic_messages(conversations):
+    """Messages with a time: a conversation's turns are seven minutes apart."""
+    at = F.col("conv_id") * 60 + F.col("turn") * 420
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + at)
+    return conversations.select(F.col("conv_id").alias("session"), ts.alias("ts"), F.col("turn").alias("id"), "text")
+
+
+TOPICS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda w: length(w) > 3 AND NOT list_contains(" + sql_list(TOPIC_STOPS) + ", w))"
+
+
+def _topics_after(known: str, terms: str, ms: str) -> str:
+    """SQL: a list of topics after one message more."""
+    count = "len(list_filter(" + terms + ", lambda t: t = {0}))::BIGINT"
+    old = f"list_transform({known}, lambda x: {{'topic': x.topic, 'n': x.n + {count.format('x.topic')}, 'seen': CASE WHEN list_contains({terms}, x.topic) THEN {ms} ELSE x.seen END}})"
+    new = f"list_transform(list_filter({terms}, lambda t, i: list_position({terms}, t) = i AND NOT list_contains(list_transform({known}, lambda x: x.topic), t)), lambda w: {{'topic': w, 'n': {count.format('w')}, 'seen': {ms}}})"
+    return f"list_concat({old}, {new})"
+
+
+_TRIMMED = "CASE WHEN len(topics) > 20 THEN list_transform(list_sort(list_transform(topics, lambda x, i: {'a': -x.seen, 'i': i, 'x': x})), lambda y: y.x)[1:20] ELSE topics END AS topics"
+_NO_TOPICS = "[]::STRUCT(topic VARCHAR, n BIGINT, seen BIGINT)[]"
+
+
+@register(
+    "stream_topics",
+    f"""WITH RECURSIVE m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, (1704067200 + conv_id * 60 + turn * 420) * 1000 AS ms, {TOPICS} AS terms FROM conversations),
+s AS (SELECT conv_id, k, started, n, {_TRIMMED} FROM (SELECT conv_id, k, ms AS started, 1::BIGINT AS n, {_topics_after(_NO_TOPICS, 'terms', 'ms')} AS topics FROM m WHERE k = 1)
+  UNION ALL SELECT conv_id, k, started, n, {_TRIMMED} FROM (SELECT conv_id, k, CASE WHEN ends THEN ms ELSE started END AS started, CASE WHEN ends THEN 1 ELSE n + 1 END AS n, {_topics_after('known', 'terms', 'ms')} AS topics
+    FROM (SELECT m.*, s.started, s.n, m.ms - s.started > 1800000 AS ends, CASE WHEN m.ms - s.started > 1800000 THEN {_NO_TOPICS} ELSE s.topics END AS known FROM s JOIN m ON m.conv_id = s.conv_id AND m.k = s.k + 1))),
+e AS (SELECT *, lead(started) OVER (PARTITION BY conv_id ORDER BY k) AS next FROM s),
+c AS (SELECT * FROM e WHERE next <> started OR next IS NULL AND started + 1800000 < (SELECT max(ms) FROM m) - 600000)
+SELECT conv_id AS session, started, n AS messages, unnest(topics).topic AS topic, unnest(topics).n AS n, unnest(topics).seen AS seen, unnest(range(1, len(topics) + 1)) AS rank FROM c""",
+)
+def stream_topics(spark, sf_dir):
+    """Topics of the sessions that have ended, half an hour after their start, kept up message by message."""
+    rows = topics.ended_sessions(topic_messages(_stream(spark, sf_dir, "conversations")))
+    with recovery.with_store(spark):
+        out = _drained(rows, "append", spark, "topics")
+    return out.where("topic is not null")
 
 
 @register("stream_sessions", """WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER p >= INTERVAL 30 MINUTE OR lag(ts) OVER p IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)

@@ -1,4 +1,4 @@
-"""Sessions and recent messages of a stream, and retention."""
+"""Sessions and recent messages of a stream."""
 
 from __future__ import annotations
 
@@ -18,11 +18,6 @@ def session_stream(events: DataFrame, key: str, ts: str = "ts", late: str = "10
     return own.agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n")
 
 
-def recent_log(events: DataFrame, ts: str = "ts", keep: str = "30 days") -> DataFrame:
-    """Events that aren't older than ``keep`` behind the newest that has been seen."""
-    return events.withWatermark(ts, keep).dropDuplicatesWithinWatermark(events.columns)
-
-
 def message_stream(messages: DataFrame, expire_ms: int | None = 30 * 60 * 1000) -> DataFrame:
     """(session, turn, role, rank): after each trigger the last ``KEEP`` messages of the sessions that had some.
 
