@@ -8,8 +8,10 @@ member has a row in a table of Hamming distances to reference fingerprints (pivo
 triangle inequality a pair is discarded if any coordinate differs by more than the radius; the
 survivors are verified bit by bit. A search along links gives a spanning forest of the block, so
 it puts out fewer edges than it has members, never its pairs. A block with more than
-``TABLE_MEMBERS`` members is first split by the cells of ``CELL`` distances to four pivots, and to
-four more while a part is that large: linked fingerprints share a cell of each pivot.
+``TABLE_MEMBERS`` members is first split by the cells of ``CELL`` distances to ``SPLIT_PIVOTS`` pivots: linked
+fingerprints share a cell of each. What is still that large is split by bits: those that the block leaves
+open are cut into ``radius + 1`` parts, of which linked fingerprints share one, and again. Each time a third of the open
+bits goes, and k open bits have 2^k members at most, so no block of any group stays larger.
 
 Nulls: a null text is an empty one, with fingerprint zero. A null id takes part in links but is
 never a component's name (null only if the component has no other id). Rows with equal ids are
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, slices, small
 from .graph import components
 
-SHINGLE, SEED, RADIUS, PIVOTS, PIVOTS_A_SPLIT, TABLE_MEMBERS = 3, 42, 2, 16, 4, 2048
+SHINGLE, SEED, RADIUS, PIVOTS, SPLIT_PIVOTS, TABLE_MEMBERS = 3, 42, 2, 16, 4, 2048
 #: Distances in a cell of a pivot: one more than the radius, so that linked fingerprints lie in the same cell or adjacent ones.
 CELL = RADIUS + 1
 
@@ -119,29 +121,53 @@ def cells(fp, pivot: int):
     return F.when(d % CELL < RADIUS, F.array(own, own - 1)).otherwise(F.array(own))
 
 
-def split_blocks(blocks: DataFrame, members: int = TABLE_MEMBERS) -> DataFrame:
-    """(key, fp) of blocks, those with over ``members`` members split by the cells of more and more pivots.
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    Two linked fingerprints differ by the radius at most in each pivot's distance, so they share a
-    cell of each, and no link is lost; a pivot more costs two thirds of a row for each member.
+
+def cuts(free: int, radius: int = RADIUS) -> list[int]:
+    """Open bits cut into ``radius + 1`` parts, as masks."""
+    bits = [i for i in range(64) if free >> i & 1]
+    ends = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+    return [sum(1 << i for i in bits[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def split_blocks(blocks: DataFrame, members: int = TABLE_MEMBERS, radius: int = RADIUS) -> DataFrame:
+    """(key, fp) of blocks, those with over ``members`` members split by the cells of pivots, then by bits.
+
+    ``blocks`` has (key, fp) and ``free``, the mask of the bits that a block leaves open (without it: all). Two linked
+    fingerprints differ by the radius at most in each pivot's distance, so they share a cell of each,
+    and in the open bits, so they share one of ``radius + 1`` parts: no link is lost. A pivot more costs two
+    thirds of a row for each member, a cut by bits ``radius`` rows.
     """
-    out, pivot = None, 0
+    spark, every = blocks.sparkSession, (1 << 64) - 1
+    blocks = blocks.select("key", "fp", F.col("free") if "free" in blocks.columns else F.lit(signed(every)).cast("long").alias("free"))
+    out, pivots = None, False
     while True:
-        large = checkpoint(blocks.groupBy("key").count().where(F.col("count") > members).select("key"))
-        if pivot >= PIVOTS or large.isEmpty():
-            return blocks if out is None else out.unionByName(blocks)
-        done = blocks.join(small(large), "key", "left_anti")
+        sizes = blocks.groupBy("key", "free").count().where((F.col("count") > members) & (F.bit_count("free") > radius))
+        large = checkpoint(sizes.select("key", "free"))
+        if large.isEmpty():
+            return (blocks if out is None else out.unionByName(blocks)).select("key", "fp")
+        keys = small(large.select("key"))
+        done = blocks.join(keys, "key", "left_anti")
         out = done if out is None else out.unionByName(done)
-        blocks = blocks.join(small(large), "key", "left_semi")
-        for p in range(pivot, pivot + PIVOTS_A_SPLIT):
-            blocks = blocks.withColumn("cell", F.explode(cells("fp", p))).select(F.xxhash64("key", "cell").alias("key"), "fp")
-        pivot += PIVOTS_A_SPLIT
+        blocks = blocks.join(keys, "key", "left_semi")
+        if not pivots:
+            for p in range(SPLIT_PIVOTS):
+                blocks = blocks.withColumn("cell", F.explode(cells("fp", p))).select(F.xxhash64("key", "cell").alias("key"), "fp", "free")
+            pivots = True
+            continue
+        # masks, not blocks: radius + 1 for each before, and no more rounds than a third less bits each time allow
+        frees = [r[0] & every for r in large.select("free").distinct().collect()]
+        parts = [(signed(f), signed(part), signed(f & ~part & every)) for f in frees for part in cuts(f, radius)]
+        table = F.broadcast(spark.createDataFrame(parts, "free long, part long, open long"))
+        blocks = blocks.join(table, "free").select(F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("part"))).alias("key"), "fp", F.col("open").alias("free"))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, members: int = TABLE_MEMBERS) -> DataFrame:
     """(a, b): edges of a forest whose components are those of all links among the distinct ``fp``."""
-    masked = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in block_masks(radius)]
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(masked)]))
+    masks = block_masks(radius)
+    keys = [F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key"), F.lit(signed(~m & (1 << 64) - 1)).cast("long").alias("free")) for k, m in enumerate(masks)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, held = None, []
@@ -169,7 +195,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, members: int = TABLE_MEMBER
         if held and (out := close()):
             yield out
 
-    dealt = split_blocks(distinct.select(keys.alias("key"), "fp"), members).repartition("key").sortWithinPartitions("key")
+    blocks = distinct.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.key", "fp", "k.free")
+    dealt = split_blocks(blocks, members, radius).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
 
 

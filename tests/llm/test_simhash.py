@@ -97,3 +97,30 @@ def test_linked_fingerprints_share_a_cell_of_each_pivot(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d", 1, 2, 3, 4), (2, "a b c d", 1, 2, 3, 4)], "doc_id long, text string, fp long, component_id long, n long, low long")
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(1, 1), (2, 1)]
+
+
+def test_blocks_that_pivots_do_not_split(spark):
+    """Fingerprints that fill all values of some bits: the pivots' distances hardly tell them apart, the bits do."""
+    fp = np.arange(1 << 13, dtype=np.uint64) << np.uint64(20)
+    blocks = spark.createDataFrame([(1, int(v), int(0xFFFFFFFF << 20)) for v in fp], "key long, fp long, free long")
+    rows = simhash.split_blocks(blocks, members=64)
+    assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] <= 64
+    got = simhash.links(spark.createDataFrame([(int(v),) for v in fp[:600]], "fp long"), members=16).collect()
+    root = {int(v): int(v) for v in fp[:600]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in got:
+        assert (r.a ^ r.b).bit_count() <= 2
+        root[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
+    assert {find(int(v)) for v in fp[:600]} == {0}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977}" for i in range(400_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 2_000_000)]
+    got = {r.doc_id: (r.fp & 0xFFFFFFFFFFFFFFFF, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: brute_fp(t) for i, t in rows} and {i: c for i, (_, c) in got.items()} == brute_components({i: brute_fp(t) for i, t in rows})
