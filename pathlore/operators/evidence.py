@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathlore.functions.text import tokens
+from pathlore.operators.merging import merge_texts
+
 MERGE_ABOVE = 0.5
 
 
@@ -39,23 +40,11 @@ def pattern_of(runs: DataFrame, kind: str, sig: str, order: str) -> DataFrame:
 
     Runs are taken by ``order``: a signature joins the first pattern of its kind with a word Jaccard
     above ``MERGE_ABOVE``, else it makes a pattern. As patterns are only added behind, a signature's
-    choice at its first run is its choice for ever, so distinct signatures decide, and it is those
-    alone, not the runs, that meet by kind. (One without words would make a pattern each time; here
-    it makes one.)
+    choice at its first run is its choice for ever, so distinct signatures decide. (One without words
+    would make a pattern each time; here it makes one.)
     """
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        patterns, chosen = [], []
-        for s in part.sort_values("first")[sig]:
-            own = {w for w in s.lower().split() if len(w) > 2}
-            hit = next((p for p, w in patterns if w and own and len(w & own) / len(w | own) > MERGE_ABOVE), None)
-            if hit is None:
-                patterns.append((s, own))
-            chosen.append((part[kind].iloc[0], s, hit or s))
-        return pd.DataFrame(chosen, columns=[kind, sig, "pattern"])
-
     distinct = runs.groupBy(kind, sig).agg(F.min(order).alias("first"))
-    return distinct.groupBy(kind).applyInPandas(choose, f"{kind} string, {sig} string, pattern string")
+    return merge_texts(distinct, [sig], "first", MERGE_ABOVE, words, kind).withColumnRenamed(f"entry_{sig}", "pattern")
 
 
 def merged(runs: DataFrame, kind: str, sig: str, order: str) -> DataFrame:
@@ -90,20 +79,25 @@ def library(segments: DataFrame, label: str, order: str, good: Column, above: fl
     """(entry, occurrences, success_rate, last): segments merged by the words that their labels share.
 
     In order of first use a label joins the first entry with a token Jaccard above ``above``, else it
-    makes one; distinct labels decide (see ``pattern_of``), and only they meet in one task.
+    makes one; distinct labels decide (see ``pattern_of``).
     """
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        entries, chosen = [], []
-        for s in part.sort_values("first")[label]:
-            own = {w for w in re.sub(r"[^a-z0-9\s]", " ", s.lower()).split() if len(w) > 2}
-            hit = next((e for e, w in entries if w and own and len(w & own) / len(w | own) > above), None)
-            if hit is None:
-                entries.append((s, own))
-            chosen.append((s, hit or s))
-        return pd.DataFrame(chosen, columns=[label, "entry"])
-
     counted = segments.groupBy(label).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.min(order).alias("first"), F.max(order).alias("last"))
-    of = counted.select(label, "first", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(choose, f"{label} string, entry string")
+    of = merge_texts(counted.select(label, "first"), [label], "first", above, distinct_tokens).withColumnRenamed(f"entry_{label}", "entry")
     total = counted.join(of, label).groupBy("entry").agg(F.sum("n").alias("occurrences"), F.sum("good").alias("good"), F.max("last").alias("last"))
     return total.select("entry", "occurrences", (F.col("good") / F.col("occurrences")).alias("success_rate"), "last")
+
+
+def distinct_tokens(text: Column) -> Column:
+    return F.array_distinct(tokens(F.coalesce(text, F.lit(""))))
+
+
+def segment_entries(segments: DataFrame, label: str, post: str, order: str, good: Column, above: float, cap: int) -> DataFrame:
+    """(label, post, occurrences, success_rate, last): the library after all segments, those that occur most first up to ``cap`` (of equals the last used).
+
+    In order of first use a segment joins the first entry whose label or postcondition is like its own, else it makes one.
+    """
+    counted = segments.groupBy(label, post).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.min(order).alias("first"), F.max(order).alias("last"))
+    of = merge_texts(counted.select(label, post, "first"), [label, post], "first", above, distinct_tokens)
+    total = counted.join(of, [label, post]).groupBy(F.col(f"entry_{label}").alias("label"), F.col(f"entry_{post}").alias("post")).agg(F.sum("n").alias("occurrences"), F.sum("good").alias("good"), F.max("last").alias("last"))
+    rated = total.select("label", "post", "occurrences", (F.col("good") / F.col("occurrences")).alias("success_rate"), "last")
+    return rated.orderBy(F.col("occurrences").desc(), F.col("last").desc(), "label", "post").limit(cap)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathlore.operators.merging import components, near_vectors, written
+
 DIMENSIONS = 384
 
 
@@ -42,21 +44,25 @@ def difference_bits(pixels: Column, width: int = 9, height: int = 8) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit((width - 1) * height - 1)), bit), "")
 
 
-def consolidated(memories: DataFrame, group: str, least: float = 0.85, members: int = 2) -> DataFrame:
-    """(group, first, size, ids, content, importance, embedding): clusters of memories whose vectors are alike.
+def consolidated(memories: DataFrame, group: str | None = None, least: float = 0.85, members: int = 2) -> DataFrame:
+    """(first, size, ids, content, importance, embedding): clusters of memories whose vectors are alike, within ``group`` if there is one.
 
-    ``memories`` has (id, group, content, importance, accessed_at, embedding). Within a group the
-    memories are taken newest first (ties by id); each one left makes a cluster and takes those left
-    whose mean cosine with its members is ``least`` or more. That order is the result's definition,
-    so a group is worked through by one task; the group's column must bound it. With unit vectors
-    the mean cosine is the cosine with the members' sum over their number.
+    ``memories`` has (id, group, content, importance, accessed_at, embedding). The memories are taken
+    newest first (ties by id); each one left makes a cluster and takes those left whose mean cosine with
+    its members is ``least`` or more. Such a mean needs one member as near as that, so a cluster lies in
+    one component of the links of near vectors, and only components are worked through in that order, each by
+    one task. With unit vectors the mean cosine is the cosine with the members' sum over their number.
+    A zero vector is like none.
     """
+    double = F.transform("embedding", lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(double, F.lit(0.0), lambda s, v: s + v * v))
+    unit = written(memories.select("id", *([group] if group else []), F.transform(double, lambda v: v / norm).alias("unit")).where(norm > 0), "units")
+    of = components(near_vectors(unit, least, group))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["accessed_at", "id"], ascending=[False, True])
         x = np.array(part["embedding"].tolist(), float)
-        norm = np.linalg.norm(x, axis=1)
-        unit = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
         left, out = np.ones(len(x), bool), []
         for i in range(len(x)):
             if not left[i]:
@@ -70,9 +76,10 @@ def consolidated(memories: DataFrame, group: str, least: float = 0.85, members:
                     left[j] = False
             if len(own) >= members:
                 rows = part.iloc[own]
-                out.append((rows[group].iloc[0], rows["id"].iloc[0], len(own), rows["id"].tolist(), " | ".join(rows["content"]), rows["importance"].mean(), x[own].mean(0).tolist()))
-        return pd.DataFrame(out, columns=[group, "first", "size", "ids", "content", "importance", "embedding"])
+                out.append((*([rows[group].iloc[0]] if group else []), rows["id"].iloc[0], len(own), rows["id"].tolist(), " | ".join(rows["content"]), rows["importance"].mean(), x[own].mean(0).tolist()))
+        return pd.DataFrame(out, columns=[*([group] if group else []), "first", "size", "ids", "content", "importance", "embedding"])
 
-    kind = memories.schema[group].dataType.simpleString()
+    kind = f"{group} {memories.schema[group].dataType.simpleString()}, " if group else ""
     ids = memories.schema["id"].dataType.simpleString()
-    return memories.groupBy(group).applyInPandas(merge, f"{group} {kind}, first {ids}, size long, ids array<{ids}>, content string, importance double, embedding array<double>")
+    schema = f"{kind}first {ids}, size long, ids array<{ids}>, content string, importance double, embedding array<double>"
+    return memories.join(of, "id").groupBy("root").applyInPandas(merge, schema)

@@ -67,6 +67,27 @@ def segment_library(spark, sf_dir):
     return lib.select("entry", "occurrences", F.round("success_rate", 6).alias("success_rate"), "last")
 
 
+_ALIKE = "len({a}) > 0 AND len({b}) > 0 AND len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) > t.above"
+_EITHER = "(" + _ALIKE.format(a="p.lw", b="o.lw") + ") OR (" + _ALIKE.format(a="p.pw", b="o.pw") + ")"
+
+
+@register(
+    "segment_merges",
+    f"""WITH RECURSIVE {SEG}, t AS (SELECT greatest(0.3, 1 - 1 / sqrt(greatest(avg(len({TOKENS.format('label')})), 1))) AS above FROM sg),
+k AS (SELECT label, post, min(user_id * 100000 + seg) AS f FROM sg GROUP BY 1, 2), o AS (SELECT label, post, {_TOK.format('label')} AS lw, {_TOK.format('post')} AS pw, row_number() OVER (ORDER BY f, label, post) AS rn FROM k),
+m(rn, lib, label, post, e) AS (SELECT 0::BIGINT, []::STRUCT(l VARCHAR, p VARCHAR, lw VARCHAR[], pw VARCHAR[])[], '', '', NULL::STRUCT(l VARCHAR, p VARCHAR, lw VARCHAR[], pw VARCHAR[]) UNION ALL
+  SELECT o.rn, CASE WHEN x.hit IS NULL THEN list_append(m.lib, {{'l': o.label, 'p': o.post, 'lw': o.lw, 'pw': o.pw}}) ELSE m.lib END, o.label, o.post, coalesce(x.hit, {{'l': o.label, 'p': o.post, 'lw': o.lw, 'pw': o.pw}}) FROM t, m JOIN o ON o.rn = m.rn + 1,
+  LATERAL (SELECT list_filter(m.lib, lambda p: {_EITHER})[1] AS hit) x)
+SELECT m.e.l AS label, m.e.p AS post, count(*) AS occurrences, round(count(*) FILTER (clean) / count(*), 6) AS success_rate, max(user_id * 100000 + seg) AS last FROM sg JOIN m ON m.label = sg.label AND m.post = sg.post WHERE m.rn > 0 GROUP BY 1, 2 ORDER BY 3 DESC, 5 DESC, 1, 2 LIMIT 30""",
+)
+def segment_merges(spark, sf_dir):
+    """The library of segments, merged where labels or postconditions are alike by a bound that grows with the labels' length, at its first cap."""
+    s = _segments(spark, sf_dir).withColumn("order", F.col("user_id") * 100_000 + F.col("seg"))
+    above = s.agg(F.greatest(F.lit(0.3), 1 - 1 / F.sqrt(F.greatest(F.avg(F.size(tx.tokens(F.col("label")))), F.lit(1.0))))).first()[0]
+    lib = evidence.segment_entries(s, "label", "post", "order", F.col("clean"), above or 0.3, 30)
+    return lib.withColumn("success_rate", F.round("success_rate", 6))
+
+
 @register("all_thresholds", f"""WITH {REFLECTIONS}, a AS (SELECT count(*) AS n, count(DISTINCT kind) AS types, avg(len(lessons)) AS lessons FROM r), {SEG}, b AS (SELECT count(*) AS s, avg(clean::INT) AS rate, avg(len({TOKENS.format('label')})) AS words FROM sg), k AS (SELECT count(DISTINCT label) AS skills FROM sg),
 t AS (SELECT *, greatest(3, ceil(sqrt(greatest(n, 1)))) AS go FROM a, b, k)
 SELECT greatest(20, types * 5) AS reflections_cap, greatest(30, s + ceil(sqrt(greatest(s, 1)) * 3))::BIGINT AS segments_cap, greatest(20, floor(sqrt(greatest(s, 1)) * 3))::BIGINT AS skills_cap, go::BIGINT AS graduation_occurrences, round(least(0.9, greatest(0.5, rate + 0.1)), 6) AS graduation_success, round(greatest(0.3, 1 - 1 / sqrt(greatest(words, 1))), 6) AS same_above,
@@ -242,8 +263,20 @@ def short_macro_names(spark, sf_dir):
     return s.select("id", ps.short_name(F.col("s.app"), F.col("s.act")).alias("name"))
 
 
-@register("consolidated")
+_CLUSTER = "STRUCT(ids BIGINT[], s DOUBLE[], n BIGINT)"
+
+
+@register(
+    "consolidated",
+    f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + 0.25) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE list_dot_product(v, v) > 0),
+l AS (SELECT list({{'ids': [vec_id], 's': v, 'n': 1}}::{_CLUSTER} ORDER BY vec_id DESC) AS all FROM u),
+r(k, used, c) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::{_CLUSTER} UNION ALL
+  SELECT k + 1, CASE WHEN x.c IS NULL THEN used ELSE list_concat(used, x.c.ids) END, x.c FROM r, l, LATERAL (SELECT CASE WHEN NOT list_contains(used, l.all[k + 1].ids[1]) THEN
+    list_reduce(list_filter(l.all[k + 1:], lambda y: NOT list_contains(used, y.ids[1])), lambda a, b: CASE WHEN list_dot_product(a.s, b.s) / a.n >= 0.85
+      THEN {{'ids': list_concat(a.ids, b.ids), 's': list_transform(list_zip(a.s, b.s), lambda z: z[1] + z[2]), 'n': a.n + 1}} ELSE a END) END AS c) x WHERE k < len(l.all))
+SELECT c.ids[1] AS vec_id, c.n AS size, array_to_string(c.ids, ',') AS ids FROM r WHERE c.n >= 2""",
+)
 def consolidated(spark, sf_dir):
-    """Clusters of vectors of one label (newest first by id). The greedy order has no SQL; tests hold it against a plain search."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("vec_id").cast("string").alias("content"), F.lit(0.5).alias("importance"), F.col("vec_id").alias("accessed_at"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return vectors.consolidated(e, "label").select("label", F.col("first").alias("vec_id"), "size", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Clusters of vectors (newest first by id), over the whole table; moved by a quarter in each place, without which no two are near enough."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("content"), F.lit(0.5).alias("importance"), F.col("vec_id").alias("accessed_at"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.25).alias("embedding"))
+    return vectors.consolidated(e).select(F.col("first").alias("vec_id"), "size", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
