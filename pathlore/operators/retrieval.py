@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlore.functions.text import tokens
+from pathlore.operators import search
 from pathlore.operators.evidence import top_per_group
 
 RRF_K = 60
@@ -32,19 +33,12 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(q, key, score) of the documents that hold all terms of a query, from ``queries`` (q, term), each pair once.
 
-    Only words that a query has leave the scan. Query terms are many times fewer than the texts'
-    words; the join with them is left to the planner, which broadcasts them while they are small.
+    One pass over the texts, out of which only words that a query has are written (``search.token_hits``). Query
+    terms are many times fewer than the texts' words; the join with them is left to the planner, which
+    broadcasts them while they are small.
     """
-    own = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("size"), "t")
-    stats = own.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    wanted = queries.select("term").distinct()
-    tf = own.select(key, "size", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    terms = queries.join(df, "term").crossJoin(F.broadcast(stats)).join(queries.groupBy("q").agg(F.count("*").alias("terms")), "q")
-    found = tf.join(terms, "term").groupBy("q", key, "terms").agg(F.sum(weight).alias("score"), F.count("*").alias("held"))
-    return found.where("held = terms").select("q", key, "score")
+    wanted = queries.select("term", F.col("term").alias("word")).distinct()
+    return search.ranked(search.token_hits(docs, key, tokens(F.col(text)), wanted), key, queries, k1=k1, b=b)
 
 
 def against_blocks(rows: DataFrame, queries: DataFrame, on: Column, block: int = 1024) -> DataFrame:
@@ -92,13 +86,13 @@ def shared_terms(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """(q, key, score): sum of tf times ln(N/df) over a query's words, over their number and 5, at most 1.
 
     ``docs`` has (key, terms), ``queries`` (q, terms), arrays with repeats. Rows without a shared
-    word have score 0 and are left out.
+    word have score 0 and are left out. One pass over ``docs``.
     """
     asked = queries.select("q", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("q", "size", "term").agg(F.count("*").alias("uses"))
-    tf = docs.select(key, F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    hits = search.token_hits(docs, key, F.col("terms"), asked.select("term", F.col("term").alias("word")).distinct())
+    tf = search.frequencies(hits, key).select(key, "term", "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(n)).select("q", "size", "term", (F.col("uses") * F.log(F.col("n") / F.col("df"))).alias("w"))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(search.collection(hits))).select("q", "size", "term", (F.col("uses") * F.log(F.col("n") / F.col("df"))).alias("w"))
     return tf.join(weights, "term").groupBy("q", key, "size").agg(F.sum(F.col("tf") * F.col("w")).alias("s")).select("q", key, F.least(F.lit(1.0), F.col("s") / F.col("size") / 5).alias("score")).where("score > 0")
 
 

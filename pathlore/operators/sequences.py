@@ -77,7 +77,7 @@ def recovery(flagged: DataFrame, task: str, checkpoint: Column | None = None) ->
     """
     surprised = F.col("surprised") if "surprised" in flagged.columns else F.lit(False)
     looped = F.col("loop_at").isNotNull()
-    number = F.when(F.col("stagnation") | looped, 1).otherwise(0) + F.when(surprised, 1).otherwise(0)
+    number = sum((F.when(c, 1).otherwise(0) for c in (F.col("stagnation"), looped, surprised)), F.lit(0))  # a step may have several issues
     whole = Window.partitionBy(task)
     own = flagged.withColumn("_issues", number).withColumn("_n", F.count("*").over(whole))
     own = own.withColumn("_from", F.max(F.when(F.lit(False) if checkpoint is None else checkpoint, F.col("idx"))).over(whole))

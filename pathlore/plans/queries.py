@@ -62,7 +62,7 @@ def seq_surprises(spark, sf_dir):
 
 @register(
     "recovery_level",
-    f"""WITH {FLAGS}, n AS (SELECT *, (stagnation OR loop_at IS NOT NULL)::INT + surprised::INT AS issues, count(*) OVER (PARTITION BY user_id) AS n, coalesce(max(idx) FILTER (state = 'purchase') OVER (PARTITION BY user_id), -1) AS cp FROM fl),
+    f"""WITH {FLAGS}, n AS (SELECT *, stagnation::INT + (loop_at IS NOT NULL)::INT + surprised::INT AS issues, count(*) OVER (PARTITION BY user_id) AS n, coalesce(max(idx) FILTER (state = 'purchase') OVER (PARTITION BY user_id), -1) AS cp FROM fl),
 g AS (SELECT user_id, max(n) AS n_steps, count(loop_at) AS loops, count(*) FILTER (stagnation) AS stagnations, count(*) FILTER (surprised) AS surprises,
   count(*) FILTER (issues > 0 AND idx >= n - greatest(3, floor(sqrt(n) * 2))) AS recent, (sum(CASE WHEN idx > cp THEN issues ELSE 0 END))::BIGINT AS run FROM n GROUP BY user_id),
 r AS (SELECT *, (loops + surprises * 0.5 + stagnations * 0.4) / n_steps AS rate, recent / greatest(3, floor(sqrt(n_steps) * 2)) AS rr, sqrt(n_steps) AS q FROM g)

@@ -20,4 +20,4 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Registers the queries of this library."""
-    from pathlore.plans import curation_queries, evidence_queries, history_queries, learning_queries, parser_queries, queries, retrieval_queries, screen_queries, source_queries, state_queries, stream_queries  # noqa: F401
+    from pathlore.plans import curation_queries, evidence_queries, history_queries, learning_queries, parser_queries, queries, retrieval_queries, screen_queries, search_queries, source_queries, state_queries, stream_queries  # noqa: F401

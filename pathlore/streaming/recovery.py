@@ -96,7 +96,7 @@ class TaskMonitor(StatefulProcessor):
             given = None if pd.isna(row.given) else max(0.0, min(1.0, float(row.given)))
             seen = [*row.observed, *(LOOP_TERMS if loop_at is not None else ()), *(STILL_TERMS if stagnation else ())]
             held = None if given is not None or row.navigated else surprise(expected, seen)
-            issues = int(stagnation or loop_at is not None) + int(given is not None and given > 0.5)
+            issues = int(stagnation) + int(loop_at is not None) + int(given is not None and given > 0.5)
             loops, stagnations, surprises = loops + (loop_at is not None), stagnations + stagnation, surprises + (given is not None and given > 0.5)
             if row.checkpoint:
                 checkpoint, run = idx, 0
