@@ -220,3 +220,15 @@ CLICK_TARGETS = [
     r"""click(?:ing)?\s+(?:on\s+)?(?:the\s+)?["']([^"']+)["']""",
     r"click(?:ing)?\s+(?:on\s+)?(?:the\s+)?(.+?)(?:\s+button|\s+icon|\s+link|\s+tab|\s+menu|\s+field|\s+bar|\s+area|\s+at\s+|\.|,|\s*$)",
 ]
+
+#: Applications that are known by name, in the order in which they are looked for.
+KNOWN_APPS = [
+    "safari", "notes", "textedit", "finder", "terminal", "calculator", "system settings", "system preferences", "calendar", "reminders", "mail", "messages", "maps", "music", "photos", "preview",
+    "activity monitor", "disk utility", "keychain access", "console", "xcode", "automator", "font book", "digital color meter", "screen sharing", "bluetooth file exchange", "audio midi setup",
+]
+
+#: What shortcuts do.
+SHORTCUTS = {
+    "cmd+space": "Open Spotlight (universal app/file launcher)", "cmd+w": "Close current window/tab", "cmd+n": "New window/document", "cmd+z": "Undo last action", "cmd+c": "Copy selection",
+    "cmd+v": "Paste from clipboard", "cmd+a": "Select all", "cmd+s": "Save", "cmd+q": "Quit application", "cmd+t": "New tab", "cmd+l": "Focus address/location bar", "cmd+f": "Find in page", "cmd+h": "Hide application",
+}

@@ -9,7 +9,7 @@ from pathlore.functions import device as dv
 from pathlore.functions import lessons as ls
 from pathlore.functions import patterns as p
 from pathlore.functions import text as tx
-from pathlore.operators import evidence, memory, relabel, retrieval, sequences, vectors
+from pathlore.operators import environment, evidence, memory, relabel, retrieval, sequences, vectors
 from pathlore.plans.curation_queries import QUALITY, _quoted, _types
 from pathlore.plans.derived import PHRASES, REFLECTIONS, phrase, reflections, sql_list, sql_phrase
 from pathlore.plans.evidence_queries import _TERMS, USAGE, _usage
@@ -161,6 +161,58 @@ def environment_facts(spark, sf_dir):
     return e.groupBy("entity", "method").agg(F.count("*").alias("observations")).withColumn("confidence", F.round(F.least(F.lit(0.95), F.col("observations") / (F.col("observations") + 3.0)), 6))
 
 
+_ACTED = """n AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id % 6 AS way,
+  CASE event_id % 6 WHEN 0 THEN 'open -a "App ' || event_id % 7 || '"' WHEN 1 THEN 'open -a Notes; open "x-apple.x:com.apple.' || ['SoundSettings', 'DockPreferences', 'Wifi'][event_id // 6 % 3 + 1] || '"' WHEN 2 THEN 'key: "Command+ ' || ['Space', 'W', 'K'][event_id // 6 % 3 + 1] || '"' WHEN 3 THEN 'cmd+space' WHEN 4 THEN ['Music', 'My App!', '/tmp/x', 'Notes'][event_id // 6 % 4 + 1] ELSE 'click' END AS raw FROM events),
+p AS (SELECT *, lag(raw) OVER (PARTITION BY run ORDER BY k) AS before FROM n),
+f AS (SELECT run, 0 AS part, k, name AS display, regexp_replace(lower(name), '\\s+', '-', 'g') AS key, 'bash' AS method, 'open -a "' || name || '"' AS command FROM (SELECT *, CASE WHEN way = 0 THEN 'App ' || event_id % 7 ELSE 'Notes' END AS name FROM p WHERE way < 2)
+  UNION ALL SELECT run, 0, k, raw, regexp_replace(regexp_replace(lower(raw), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), 'spotlight', NULL FROM p WHERE way = 4 AND before = 'cmd+space' AND NOT contains(raw, '/')
+  UNION ALL SELECT run, 0, k, 'System Settings', 'system-settings', NULL, NULL FROM p WHERE way = 1
+  UNION ALL SELECT DISTINCT run, 1, 0, 'Calculator', 'calculator', NULL, NULL FROM n WHERE run % 4 = 0),
+r AS (SELECT key, count(DISTINCT run) AS interactions, arg_min(display, (run, part, k)) AS display FROM f GROUP BY 1), m AS (SELECT key, method, command, count(*) AS observations FROM f WHERE method IS NOT NULL GROUP BY ALL)"""
+
+
+def _acted(spark, sf_dir):
+    """Tasks (users) as runs: what was done follows from the event's id."""
+    i = F.col("event_id")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.floor(i / 6) % len(names) + 1).cast("int"))
+    way = i % 6
+    shell = F.when(way == 0, F.concat(F.lit('open -a "App '), i % 7, F.lit('"'))).otherwise(F.concat(F.lit('open -a Notes; open "x-apple.x:com.apple.'), pick(["SoundSettings", "DockPreferences", "Wifi"]), F.lit('"')))
+    raw = F.when(way < 2, shell).when(way == 2, F.concat(F.lit('key: "Command+ '), pick(["Space", "W", "K"]), F.lit('"'))).when(way == 3, F.lit("cmd+space")).when(way == 4, pick(["Music", "My App!", "/tmp/x", "Notes"])).otherwise("click")
+    kind = F.when(way < 2, "bash").when(way < 4, "key").when(way == 4, "type").otherwise("left_click")
+    action = F.struct(kind.alias("type"), F.lit(None).cast("string").alias("text"), raw.alias("raw"))
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", action.alias("action")).alias("n"))
+    nodes = F.transform(F.array_sort(F.collect_list("n")), lambda n: F.struct(n.action.alias("action")))
+    own = e.groupBy(F.col("user_id").alias("run")).agg(nodes.alias("nodes"))
+    scene = F.when(F.col("run") % 4 == 0, F.array(F.lit("The Calculator is open"))).otherwise(F.array().cast("array<string>"))
+    return own.select("run", F.col("run").alias("at"), F.lit("do it").alias("description"), "nodes", scene.alias("states"))
+
+
+def _environment(spark, sf_dir, made, merge):
+    """State after two increments: runs up to the middle one, and the others."""
+    runs = _acted(spark, sf_dir)
+    return merge(made(runs.where("run % 2 = 0")), made(runs.where("run % 2 = 1")))
+
+
+@register("environment_model", f"WITH {_ACTED} SELECT key, display, interactions, method, command, observations, round(least(0.95, observations / (observations + 3.0)), 6) AS confidence FROM r LEFT JOIN m USING (key)")
+def environment_model(spark, sf_dir):
+    """Applications, and how surely each way opens them, merged from two increments of runs."""
+    return environment.ways(_environment(spark, sf_dir, environment.entities, environment.merged_entities))
+
+
+@register("environment_settings", f"WITH {_ACTED}, c AS (SELECT DISTINCT run, ['sound', 'dock', 'wifi'][event_id // 6 % 3 + 1] AS child FROM n WHERE way = 1) SELECT 'system-settings' AS key, child, count(*) AS observations FROM c GROUP BY 2")
+def environment_settings(spark, sf_dir):
+    """Settings that were opened by their address, and in how many runs."""
+    state = _environment(spark, sf_dir, environment.entities, environment.merged_entities)
+    return state.select("key", F.explode("children").alias("child", "c")).select("key", "child", "c.observations")
+
+
+@register("environment_shortcuts", f"WITH {_ACTED}, u AS (SELECT DISTINCT run, CASE WHEN way = 3 THEN 'cmd+space' ELSE 'cmd+' || ['space', 'w', 'k'][event_id // 6 % 3 + 1] END AS key FROM n WHERE way IN (2, 3)) SELECT key, CASE key WHEN 'cmd+space' THEN 'Open Spotlight (universal app/file launcher)' WHEN 'cmd+w' THEN 'Close current window/tab' ELSE 'Keyboard shortcut: ' || key END AS action, count(*) AS observations, round(least(0.95, count(*) / (count(*) + 3.0)), 6) AS confidence FROM u GROUP BY 1")
+def environment_shortcuts(spark, sf_dir):
+    """Shortcuts with what they do, and how surely."""
+    state = _environment(spark, sf_dir, environment.shortcuts, environment.merged_shortcuts)
+    return state.select("key", "action", "observations", F.round(environment.confidence(F.col("observations")), 6).alias("confidence"))
+
+
 @register("predicted_memories", f"""WITH {USAGE}, ap AS (SELECT hash, memory FROM co WHERE frequency >= 3), q AS (SELECT id AS q, session, task, {_TERMS} AS terms FROM r WHERE id % 100 = 0),
 h AS (SELECT q, substr(md5(regexp_replace(trim(lower(task)), '\\s+', ' ', 'g')), 1, 12) AS hash, 3.0 AS w FROM q UNION ALL SELECT q, substr(md5(t), 1, 12), 1.0 FROM (SELECT q, unnest(terms[1:5]) AS t FROM q)),
 f AS (SELECT session AS memory FROM r WHERE ts >= (SELECT max(ts) FROM r) - INTERVAL 7 DAY GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
