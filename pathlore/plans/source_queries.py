@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pathlore.plans.derived import REFLECTIONS, phrase, reflections, sql_phrase
 from pathlore.plans.registry import register
 from pathlore.session import shared_folder, table
-from pathlore.sources import files, memories, runs
+from pathlore.sources import files, memories, runs, store
 
 
 def _folder(spark, name: str) -> str:
@@ -260,3 +260,13 @@ def files_found(spark, sf_dir):
     whole = files.list_files(spark, path, "part-*").agg(F.count("*").alias("files"))
     hits = files.grep_files(spark, path, "the", "*.txt").agg((F.count("*") > 0).alias("found"))
     return logs.crossJoin(whole).crossJoin(hits)
+
+
+@register("stored_messages", "SELECT turn, role, text FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations)")
+def stored_messages(spark, sf_dir):
+    """The messages of the newest session, out of a stored table in buckets of sessions."""
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session")
+    name = f"store_{uuid.uuid4().hex}"
+    own = store.Store(spark, name, f"{shared_folder(spark)}/{name}")
+    own.append("messages", c)
+    return own.of("messages", c.agg(F.max("session")).first()[0]).select("turn", "role", "text")

@@ -14,7 +14,7 @@ from pathlore.plans.derived import sql_list
 from pathlore.plans.queries import FLAGS, step_columns
 from pathlore.plans.registry import ORACLES, register
 from pathlore.session import shared_folder, table
-from pathlore.streaming import recovery, sessions, steps, topics
+from pathlore.streaming import logs, recovery, sessions, steps, topics
 from pathlore.streaming.index import IndexWriter
 
 
@@ -105,6 +105,17 @@ def stream_topics(spark, sf_dir):
     return out.where("topic is not null")
 
 
+@register(
+    "stream_urls",
+    r"""WITH u AS (SELECT page_id % 10 AS log, page_id, regexp_extract_all(coalesce(html, '') || ' ' || coalesce(url, ''), 'https?://[a-z0-9.-]+')[-1] AS url FROM pages), c AS (SELECT *, lag(url) OVER (PARTITION BY log ORDER BY page_id) AS before FROM u WHERE url IS NOT NULL) SELECT log, page_id, url FROM c WHERE url IS DISTINCT FROM before""",
+)
+def stream_urls(spark, sf_dir):
+    """The last host that each text of a log names, where it changes, as the texts come."""
+    text = F.concat_ws(" ", F.coalesce("html", F.lit("")), F.coalesce("url", F.lit("")))
+    parts = _stream(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("log"), F.col("page_id").alias("place"), text.alias("text"))
+    return _drained(logs.changes(parts, "https?://[a-z0-9.-]+"), "append", spark, "urls").select("log", F.col("place").alias("page_id"), F.col("found").alias("url"))
+
+
 @register("stream_sessions", """WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER p >= INTERVAL 30 MINUTE OR lag(ts) OVER p IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
 SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT mark FROM w)""")
 def stream_sessions(spark, sf_dir):
@@ -141,6 +152,26 @@ def tool_statistics(spark, sf_dir):
     return r.statistics(spark)
 
 
+@register(
+    "tool_catalogue",
+    "WITH r AS (SELECT 'length_of' AS tool, 2 AS version, count(*) AS n FROM benchmark UNION ALL SELECT 'first_word', 1, count(*) FROM benchmark) SELECT t.name, t.version, t.enabled, t.inputs, coalesce(n, 0) AS runs FROM (VALUES ('first_word', 1, true, 'text:string'), ('length_of', 2, true, 'text:string'), ('never_run', 1, false, 'a:int,b:string')) t(name, version, enabled, inputs) LEFT JOIN r ON tool = name",
+)
+def tool_catalogue(spark, sf_dir):
+    """All made tools with their inputs, and on how many rows their present version was run."""
+    r = ToolRegistry()
+    r.forge("length of", "length", F.lower, {"text": "string"})
+    r.forge("first word", "first word", lambda c: F.split_part(c, F.lit(" "), F.lit(1)), {"text": "string"})
+    r.forge("never run", "nothing", F.concat, {"a": "int", "b": "string"})
+    r.toggle("never_run", False)
+    r.update("length_of", F.length)
+    items = table(spark, sf_dir, "benchmark")
+    r.run(items, "length_of", "text")
+    r.run(items, "first_word", "text")
+    inputs = F.array_join(F.transform(F.array_sort(F.map_entries("inputs")), lambda e: F.concat_ws(":", e.key, e.value)), ",")
+    ran = r.statistics(spark).select(F.col("tool").alias("name"), "version", F.col("n").alias("runs"))
+    return r.catalogue(spark).join(ran, ["name", "version"], "left").select("name", "version", "enabled", inputs.alias("inputs"), F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
 TYPED = ["mail a.b@x.org and a.b@x.org", "see https://x.org/p?q=1 on 2024-05-06", "pay $1,200.50 by 5/6/2024 or call 555-123-4567", "open ~/docs/my file or /tmp/a-b.txt", "nothing"]
 
 
