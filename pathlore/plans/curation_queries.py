@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathlore.functions import lessons as ls
 from pathlore.functions import patterns as p
 from pathlore.functions import scalar as sc
+from pathlore.operators import curation
 from pathlore.plans.derived import REFLECTIONS, phrase, reflections, sql_phrase
 from pathlore.plans.registry import register
 
@@ -46,7 +47,7 @@ q AS (SELECT *, {_SPECIFIC} AS specificity, {_ACTIONABLE} AS actionability, {_CO
 @register("lesson_quality", f"WITH {QUALITY} SELECT id, round(specificity, 6) AS specificity, round(actionability, 6) AS actionability, round(coherence, 6) AS coherence, round(novelty, 6) AS novelty, round((specificity + actionability + coherence + novelty) / 4, 6) AS quality, round((specificity + actionability + coherence + novelty) / 4, 9) >= 0.6 AS is_valid FROM q")
 def lesson_quality(spark, sf_dir):
     """The four scores of each reflection, their mean and the verdict (to nine places)."""
-    q = reflections(spark, sf_dir).select("id", ls.quality(F.col("lessons"), F.col("outcome"), F.col("failures"), F.col("strategies")).alias("q"))
+    q = curation.with_quality(reflections(spark, sf_dir), "q").select("id", "q")
     names = ["specificity", "actionability", "coherence", "novelty", "quality"]
     return q.select("id", *[F.round(F.col(f"q.{n}"), 6).alias(n) for n in names], (F.round("q.quality", 9) >= 0.6).alias("is_valid"))
 
@@ -54,7 +55,7 @@ def lesson_quality(spark, sf_dir):
 @register("lesson_gate", f"WITH {QUALITY} SELECT kind, count(*) AS n, count(*) FILTER (round((specificity + actionability + coherence + novelty) / 4, 9) >= 0.6) AS passed, round(avg((specificity + actionability + coherence + novelty) / 4), 6) AS mean_quality FROM q GROUP BY 1")
 def lesson_gate(spark, sf_dir):
     """How many reflections of each kind pass the quality gate, and their mean quality."""
-    q = reflections(spark, sf_dir).select("kind", ls.quality(F.col("lessons"), F.col("outcome"), F.col("failures"), F.col("strategies")).quality.alias("q"))
+    q = curation.with_quality(reflections(spark, sf_dir), "q").select("kind", F.col("q.quality").alias("q"))
     return q.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.round("q", 9) >= 0.6).alias("passed"), F.round(F.avg("q"), 6).alias("mean_quality"))
 
 
@@ -153,8 +154,8 @@ d AS (SELECT CASE WHEN kind NOT IN ('click', 'error', 'purchase', 'view') THEN '
 SELECT disposition, count(*) AS n FROM d GROUP BY 1""")
 def ingest_gate(spark, sf_dir):
     """What becomes of each generated reflection: source not allowed, quality too low, lessons known already, or taken in."""
-    r = reflections(spark, sf_dir)
-    good = F.round(ls.quality(F.col("lessons"), F.col("outcome"), F.col("failures"), F.col("strategies")).quality, 9) >= 0.6
+    r = curation.with_quality(reflections(spark, sf_dir), "q")
+    good = F.round(F.col("q.quality"), 9) >= 0.6
     own = r.select("id", "kind", good.alias("good"), F.array_join("lessons", " ").alias("text"))
     first = own.groupBy("text").agg(F.min("id").alias("first"))
     d = F.when(~F.col("kind").isin("click", "error", "purchase", "view"), "rejected_source").when(~F.col("good"), "rejected_quality").when(F.col("id") != F.col("first"), "rejected_duplicate").otherwise("ingested")

@@ -145,13 +145,13 @@ def _names(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_brand").alias("app"), F.count("*").alias("uses"), F.min("p_partkey").alias("key"), (F.max("p_size") % 40).alias("days"))
 
 
-@register("ranked_by_context", f"""WITH {NAMES}, q AS (SELECT name AS query FROM nm WHERE key % 10 = 0), s AS (SELECT query, key, CASE WHEN app = 'Brand#1' THEN 2.0 ELSE 0 END + CASE WHEN days <= 30 THEN exp(-days / 10.0) ELSE 0 END + least(2.0, 0.5 * log2(uses + 1))
+@register("ranked_by_context", f"""WITH {NAMES}, q AS (SELECT name AS query FROM nm WHERE key % 100 = 0), s AS (SELECT query, key, CASE WHEN app = 'Brand#1' THEN 2.0 ELSE 0 END + CASE WHEN days <= 30 THEN exp(-days / 10.0) ELSE 0 END + least(2.0, 0.5 * log2(uses + 1))
   + CASE WHEN name = query THEN 3.0 WHEN contains(name, query) OR contains(query, name) THEN 1.5 ELSE 0 END AS score FROM nm, q)
 SELECT query, key, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, key) <= 5""")
 def ranked_by_context(spark, sf_dir):
     """Named procedures for each query by application, age, use and name."""
     n = _names(spark, sf_dir)
-    q = n.where("key % 10 = 0").select(F.col("name").alias("q"))
+    q = n.where("key % 100 = 0").select(F.col("name").alias("q"))
     score = tx.context_score(F.lower("app"), F.lit("brand#1"), F.col("days"), F.col("uses"), F.lower("name"), F.lower("q"), exact_app=True)
     scored = retrieval.against_blocks(n, q, F.lit(True)).select("q", "key", F.round(score, 9).alias("score"))
     return retrieval.top(scored, "key", "score", 5).select(F.col("q").alias("query"), "key", F.round("score", 6).alias("score"))
@@ -162,11 +162,11 @@ FUZZY = r"""CASE WHEN contains(t, q) THEN 1.0 WHEN len(list_filter(string_split(
   ELSE CASE WHEN list_reduce(string_split(q, ''), lambda j, c: CASE WHEN j >= length(t) THEN j WHEN instr(substr(t, j::BIGINT + 1), c) = 0 THEN length(t) ELSE j + instr(substr(t, j::BIGINT + 1), c) END, 0) < length(t) THEN 0.3 ELSE 0.1 END * length(q) / greatest(length(q), length(t)) END"""
 
 
-@register("fuzzy_names", "WITH x AS (SELECT DISTINCT lower(p_name) AS t FROM part), y AS (SELECT DISTINCT lower(c_mktsegment) AS q FROM customer UNION SELECT t FROM x UNION SELECT 'rd wdgt') SELECT q, t, round(fz, 6) AS score FROM (SELECT q, t, " + FUZZY.replace("j::BIGINT", "CAST(j AS BIGINT)").replace("lambda j, c: CASE", "lambda j, c: CASE") + " AS fz FROM x, y)")
+@register("fuzzy_names", "WITH x AS (SELECT DISTINCT lower(p_name) AS t FROM part), y AS (SELECT DISTINCT lower(c_mktsegment) AS q FROM customer UNION SELECT lower(p_name) FROM part WHERE p_partkey % 100 = 0 UNION SELECT 'rd wdgt') SELECT q, t, round(fz, 6) AS score FROM (SELECT q, t, " + FUZZY.replace("j::BIGINT", "CAST(j AS BIGINT)").replace("lambda j, c: CASE", "lambda j, c: CASE") + " AS fz FROM x, y)")
 def fuzzy_names(spark, sf_dir):
     """How well each of a few names fits each distinct name: contained, by words, or letter by letter."""
     t = table(spark, sf_dir, "part").select(F.lower("p_name").alias("t")).distinct()
-    q = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("q")).union(t.select("t")).union(spark.createDataFrame([("rd wdgt",)], "q string")).distinct()
+    q = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("q")).union(table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.lower("p_name"))).union(spark.createDataFrame([("rd wdgt",)], "q string")).distinct()
     return retrieval.against_blocks(t, q, F.lit(True)).select("q", "t", F.round(tx.fuzzy(F.col("q"), F.col("t")), 6).alias("score"))
 
 
