@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathlore.functions.text import tokens
 from pathlore.operators import search
 from pathlore.operators.evidence import top_per_group
+from pathlore.operators.merging import written
 
 RRF_K = 60
 
@@ -96,24 +97,52 @@ def shared_terms(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     return tf.join(weights, "term").groupBy("q", key, "size").agg(F.sum(F.col("tf") * F.col("w")).alias("s")).select("q", key, F.least(F.lit(1.0), F.col("s") / F.col("size") / 5).alias("score")).where("score > 0")
 
 
-def duplicates(existing: DataFrame, candidates: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, match, similarity): each candidate's most similar existing text, by cosine of TF-IDF vectors.
-
-    The document frequencies are those of all existing texts and the one candidate, so for a word of
-    the candidate they are one above the existing texts', and an existing text's norm depends on
-    which of its words the candidate has: it is the norm without the candidate, corrected for the
-    words they share. Pairs without a shared word have similarity 0 and no row.
-    """
+def _weighted(existing: DataFrame, candidates: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Weights of the candidates' words (key, word, df, w), and of the existing texts' without a candidate and beside one that has the word (match, word, alone, beside)."""
     e, c = term_counts(existing, key, text), term_counts(candidates, key, text)
     df = e.groupBy("word").agg(F.count("*").alias("df"))
     n = existing.agg((F.count("*") + 1).alias("n"))
     tf = F.col("tf") / F.col("n_tokens")
     old = e.join(df, "word").crossJoin(F.broadcast(n)).select(F.col(key).alias("match"), "word", (tf * F.log(F.col("n") / F.col("df"))).alias("alone"), (tf * F.log(F.col("n") / (F.col("df") + 1))).alias("beside"))
+    new = c.join(df, "word", "left").crossJoin(F.broadcast(n)).select(key, "word", F.coalesce("df", F.lit(0)).alias("df"), (tf * F.log(F.col("n") / (F.coalesce("df", F.lit(0)) + 1))).alias("w"))
+    return new, old
+
+
+def _most_similar(shared: DataFrame, new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """(key, match, similarity): from the shared words of pairs, each candidate's most similar text, of equals the one with the smallest key."""
     norms = old.groupBy("match").agg(F.sum(F.col("alone") * F.col("alone")).alias("base"))
-    new = c.join(df, "word", "left").crossJoin(F.broadcast(n)).select(key, "word", (tf * F.log(F.col("n") / (F.coalesce("df", F.lit(0)) + 1))).alias("w"))
     own = new.groupBy(key).agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
-    pairs = new.join(old, "word").groupBy(key, "match").agg(F.sum(F.col("w") * F.col("beside")).alias("dot"), F.sum(F.col("beside") * F.col("beside") - F.col("alone") * F.col("alone")).alias("change"))
+    pairs = shared.groupBy(key, "match").agg(F.sum(F.col("w") * F.col("beside")).alias("dot"), F.sum(F.col("beside") * F.col("beside") - F.col("alone") * F.col("alone")).alias("change"))
     whole = pairs.join(norms, "match").join(own, key)
     size = F.sqrt("norm") * F.sqrt(F.col("base") + F.col("change"))
     sim = whole.where(size > 0).select(key, "match", F.round(F.col("dot") / size, 9).alias("s"))
     return sim.groupBy(key).agg(F.max(F.struct("s", -F.col("match"))).alias("b")).select(key, (-F.col("b.col2")).alias("match"), F.col("b.s").alias("similarity"))
+
+
+def duplicates(existing: DataFrame, candidates: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, match, similarity): each candidate's most similar existing text, by cosine of TF-IDF vectors.
+
+    The document frequencies are those of all existing texts and the one candidate, so for a word of
+    the candidate they are one above the existing texts', and an existing text's norm depends on
+    which of its words the candidate has: it is the norm without the candidate, corrected for the
+    words they share. Pairs without a shared word have similarity 0 and no row.
+    """
+    new, old = _weighted(existing, candidates, key, text)
+    return _most_similar(new.join(old, "word"), new, old, key)
+
+
+def duplicates_above(existing: DataFrame, candidates: DataFrame, key: str, text: str, least: float = 0.9) -> DataFrame:
+    """(key, match, similarity): as ``duplicates``, for the candidates with a similarity of ``least`` or more only.
+
+    A candidate's commonest words are left aside while their part of its norm stays below ``least``: with
+    those alone no cosine reaches it, whatever the other text is. Only texts that share one of the others, its rare
+    words, are compared, so common words bring no pairs.
+    """
+    new, old = (written(x, "weights") for x in _weighted(existing, candidates, key, text))
+    common = Window.partitionBy(key).orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    square = F.col("w") * F.col("w")
+    rare = new.withColumn("aside", F.sum(square).over(common)).withColumn("norm", F.sum(square).over(Window.partitionBy(key)))
+    rare = rare.where(F.col("aside") >= (least * least - 1e-9) * F.col("norm")).select(key, "word")
+    pairs = written(rare.join(old.select("match", "word"), "word").select(key, "match").distinct(), "pairs")
+    shared = pairs.join(new.select(key, "word", "w"), key).join(old, ["match", "word"])
+    return _most_similar(shared, new, old, key).where(F.col("similarity") >= least)

@@ -10,7 +10,9 @@ from pathlore.functions import patterns as p
 from pathlore.functions import scalar as sc
 from pathlore.operators import curation
 from pathlore.plans.derived import REFLECTIONS, phrase, reflections, sql_phrase
+from pathlore.plans.queries import TOKENS
 from pathlore.plans.registry import register
+from pathlore.session import table
 
 
 def _quoted(s: str) -> str:
@@ -160,3 +162,18 @@ def ingest_gate(spark, sf_dir):
     first = own.groupBy("text").agg(F.min("id").alias("first"))
     d = F.when(~F.col("kind").isin("click", "error", "purchase", "view"), "rejected_source").when(~F.col("good"), "rejected_quality").when(F.col("id") != F.col("first"), "rejected_duplicate").otherwise("ingested")
     return own.join(first, "text").groupBy(d.alias("disposition")).agg(F.count("*").alias("n"))
+
+
+_GATED = f"""x AS (SELECT doc_id AS id, {TOKENS.format('text')} AS t, source, coalesce(n_chars % 7 <> 0, false) AS good FROM documents), w AS (SELECT id, len(t) AS n_tokens, unnest(t) AS word FROM x), c AS (SELECT id, word, count(*) / n_tokens AS tf FROM w GROUP BY id, n_tokens, word),
+e AS (SELECT * FROM c WHERE id % 2 = 0), f AS (SELECT word, count(*) AS df FROM e GROUP BY 1), n AS (SELECT count(*) + 1 AS n FROM documents WHERE doc_id % 2 = 0),
+o AS (SELECT id AS match, word, tf * ln(n / df) AS alone, tf * ln(n / (df + 1)) AS beside FROM e JOIN f USING (word), n), a AS (SELECT id, word, tf * ln(n / (coalesce(df, 0) + 1)) AS w FROM c LEFT JOIN f USING (word), n WHERE id % 2 = 1),
+s AS (SELECT id, match, round(sum(w * beside) / (sqrt(any_value(na)) * sqrt(any_value(nb) + sum(beside * beside - alone * alone))), 9) AS sim FROM a JOIN o USING (word) JOIN (SELECT id, sum(w * w) AS na FROM a GROUP BY 1) USING (id) JOIN (SELECT match, sum(alone * alone) AS nb FROM o GROUP BY 1) USING (match) GROUP BY 1, 2),
+b AS (SELECT id, arg_max(match, (sim, -match)) AS match FROM s WHERE sim >= 0.9 GROUP BY 1)"""
+
+
+@register("synthetic_ingest", f"WITH {_GATED} SELECT id, CASE WHEN source IS NULL OR source IN ('src1', 'src2') THEN 'source' WHEN NOT good THEN 'quality' WHEN match IS NOT NULL THEN 'duplicate' ELSE 'accepted' END AS disposition, CASE WHEN good AND source NOT IN ('src1', 'src2') THEN match END AS match FROM x LEFT JOIN b USING (id) WHERE id % 2 = 1")
+def synthetic_ingest(spark, sf_dir):
+    """What becomes of the odd documents as candidates for a store of the even ones: duplicates are told by the cosine of their words."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.coalesce(F.col("n_chars") % 7 != 0, F.lit(False)).alias("good"))
+    named = d.withColumn("source", F.when(F.col("source").isin("src1", "src2"), "other").when(F.col("source").isNotNull(), "real"))
+    return curation.ingest(d.where("id % 2 = 0"), named.where("id % 2 = 1"))
