@@ -40,6 +40,8 @@ from .common import Words, checkpoint, slices, small, written
 LEAST, TOP, UNIT = 3, 200, 1000
 #: Counts up to which each has a bucket of its own; buckets for each doubling above.
 EXACT, STEPS = 64, 8
+#: Parts of a group that are cut down to k terms before the group meets.
+SALTS = 16
 #: Bytes of text whose counts are folded at once; pairs of entries that one step takes.
 BATCH, PAIRS = 16 << 20, 1 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -136,13 +138,14 @@ def leading(entries: DataFrame, k: int = TOP) -> DataFrame:
     bounded = extremes.select("gid", "bucket", "terms", divergence(F.col("p"), F.col("q")).alias("bound"))
     reached = F.sum("terms").over(best_first.rowsBetween(Window.unboundedPreceding, -1))
     waiting = checkpoint(bounded.select("gid", "bucket", "bound", F.row_number().over(best_first).alias("place"), F.coalesce(reached, F.lit(0)).alias("before")))
-    place = Window.partitionBy("gid").orderBy(F.desc("value"), "item")
+    place, part = (Window.partitionBy(*keys).orderBy(F.desc("value"), "item") for keys in (["gid"], ["gid", "salt"]))
     # the first round takes the buckets that hold the first k terms in order of bounds
     turn, wide, best = waiting.where(F.col("before") < k), waiting.where(F.col("before") < k).groupBy("gid").agg(F.max("place").alias("done")), None
     while True:
         chosen = small(turn.select("gid", "bucket"))
         found = keyed.join(chosen, ["gid", "bucket"], "left_semi").select("gid", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
-        both = found if best is None else best.drop("rank").unionByName(found)
+        few = found.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("salt", "rank")
+        both = few if best is None else best.drop("rank").unionByName(few)
         best = checkpoint(both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k))
         kth = best.where(F.col("rank") == k).select("gid", F.col("value").alias("kth"))
         wide = checkpoint(wide)
