@@ -66,6 +66,16 @@ def near_checkpoint(status: Column, frame: Column, checkpoint: int, within: int
     return (status == "failure") & (F.abs(frame - checkpoint) <= within)
 
 
+def checkpoint_lessons(branches: DataFrame, checkpoints: DataFrame, task: str, within: int = 3) -> DataFrame:
+    """(task, node, branch, base, lesson): for each checkpoint (task, node) the lessons of the failed branches (task, branch, base, status, lesson) that begin so near to it.
+
+    A branch meets the checkpoints at the few frames around its own, so a task's branches and checkpoints aren't paired.
+    """
+    failed = branches.where((F.col("status") == "failed") & F.col("lesson").isNotNull())
+    near = failed.select(task, "branch", "base", "lesson", F.explode(F.sequence(F.col("base") - within, F.col("base") + within)).alias("node"))
+    return near.join(checkpoints.select(task, "node").distinct(), [task, "node"]).select(task, "node", "branch", "base", "lesson")
+
+
 def execution_stats(rows: DataFrame, tool: Column, good: Column, ms: str) -> DataFrame:
     """Executions by tool: how many, how many good, mean, most and least time."""
     return rows.groupBy(tool).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.round(F.avg(ms), 6).alias("mean_ms"), F.max(ms).alias("most_ms"), F.min(ms).alias("least_ms"))

@@ -139,3 +139,8 @@ def step_verdict(far: Column, hits: Column, terms: Column) -> Column:
     """'incorrect' beyond 80 px, else as the state tells: 'correct' with two hits or half of the terms; 'partial' where nothing is known."""
     seen = (hits >= 2) | ((terms > 0) & (hits / F.greatest(terms, F.lit(1)) >= 0.5))
     return F.when(far > 80, "incorrect").when(hits.isNotNull(), F.when((terms > 0) & seen, "correct").otherwise("incorrect")).when(far <= 40, "correct").otherwise("partial")
+
+
+def with_target(step: Column, semantic: Column) -> Column:
+    """A step (a struct) with a semantic action's target, confidence and time laid over it; without one the three are null."""
+    return step.withField("target", semantic.target).withField("semantic_confidence", semantic.confidence).withField("semantic_at", semantic.captured_at)

@@ -9,7 +9,7 @@ from pathlore.functions import device as dv
 from pathlore.functions import lessons as ls
 from pathlore.functions import patterns as p
 from pathlore.functions import text as tx
-from pathlore.operators import environment, evidence, memory, relabel, retrieval, sequences, vectors
+from pathlore.operators import environment, evidence, memory, relabel, retrieval, screen, sequences, vectors
 from pathlore.plans.curation_queries import QUALITY, _quoted, _types
 from pathlore.plans.derived import PHRASES, REFLECTIONS, phrase, reflections, sql_list, sql_phrase
 from pathlore.plans.evidence_queries import _TERMS, USAGE, _usage
@@ -78,6 +78,45 @@ def reached_goals(spark, sf_dir):
     return own.select("user_id", "steps", "goal", ls.goal_type(F.col("goal")).alias("goal_type"), F.array_join(lessons, "|").alias("lessons"))
 
 
+@register("failed_run_stats", f"WITH {DEMO}, f AS (SELECT user_id FROM dm WHERE NOT good), c AS (SELECT d.user_id FROM de d JOIN f USING (user_id) WHERE event_type = 'purchase') SELECT (SELECT count(*) FROM dm) AS processed, (SELECT count(*) FROM f) AS failed, (SELECT count(*) FROM c) AS reflections, (SELECT count(DISTINCT user_id) FROM c) AS helped")
+def failed_run_stats(spark, sf_dir):
+    """How many runs were looked at, failed, gave reflections, and how many of these there are."""
+    runs = _demos(spark, sf_dir).select("user_id", "good")
+    goals = _demo_steps(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("goals"))
+    own = runs.join(goals, "user_id", "left")
+    bad = ~F.col("good")
+    return own.agg(F.count("*").alias("processed"), F.count_if(bad).alias("failed"), F.coalesce(F.sum(F.when(bad, F.col("goals"))), F.lit(0)).alias("reflections"), F.count_if(bad & (F.col("goals") > 0)).alias("helped"))
+
+
+@register("checkpoint_lessons", f"WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events) SELECT c.user_id, c.idx AS node, b.event_id AS branch, b.idx AS base, {sql_phrase('b.event_id')} AS lesson FROM s c JOIN s b ON b.user_id = c.user_id AND abs(b.idx - c.idx) <= 3 WHERE c.event_type = 'purchase' AND b.event_type = 'error' AND {sql_phrase('b.event_id')} IS NOT NULL")
+def checkpoint_lessons(spark, sf_dir):
+    """Lessons of failed branches (from errors) for each checkpoint (purchase) that they begin near to."""
+    e = sequences.indexed(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id")
+    checkpoints = e.where("event_type = 'purchase'").select("user_id", F.col("idx").alias("node"))
+    branches = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("branch"), F.col("idx").alias("base"), F.lit("failed").alias("status"), phrase(F.col("event_id")).alias("lesson"))
+    return memory.checkpoint_lessons(branches, checkpoints, "user_id")
+
+
+@register("merged_steps", "SELECT event_id, event_type AS kind, CASE WHEN event_id % 3 = 0 THEN 'target ' || event_id % 5 END AS target, CASE WHEN event_id % 3 = 0 THEN round(event_id % 10 / 10.0, 6) END AS semantic_confidence, CASE WHEN event_id % 3 = 0 THEN event_id * 2 END AS semantic_at FROM events")
+def merged_steps(spark, sf_dir):
+    """Steps with the semantic targets of every third laid over them."""
+    i = F.col("event_id")
+    semantic = F.when(i % 3 == 0, F.struct(F.concat(F.lit("target "), i % 5).alias("target"), F.round(i % 10 / 10, 6).alias("confidence"), (i * 2).alias("captured_at")))
+    step = screen.with_target(F.struct("event_id", F.col("event_type").alias("kind")), semantic)
+    return table(spark, sf_dir, "events").select(step.alias("s")).select("s.*")
+
+
+@register("probed_step", "WITH s AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events WHERE user_id = (SELECT min(user_id) FROM events)), b AS (SELECT min(idx) AS bad, (SELECT max(idx) FROM s) AS last FROM s WHERE event_type = 'error') SELECT bad AS step, CASE WHEN bad = 0 THEN 'low' WHEN bad IS NULL THEN 'none' ELSE 'high' END AS confidence FROM b")
+def probed_step(spark, sf_dir):
+    """The first task's first step from which on something is wrong, by probes of a judge, each a look at the table."""
+    e = table(spark, sf_dir, "events")
+    own = sequences.indexed(e.where(F.col("user_id") == e.agg(F.min("user_id")).first()[0]).select("user_id", "event_type", "ts", "event_id"), "user_id", "ts", "event_id").persist()
+    wrong = lambda step: not own.where((F.col("idx") <= step) & (F.col("event_type") == "error")).isEmpty()
+    step, _, sure = sequences.bisect_probes(0, own.count() - 1, wrong)
+    own.unpersist()
+    return spark.createDataFrame([(step, sure)], "step long, confidence string")
+
+
 @register("inferred_goals", f"WITH s AS (SELECT event_id AS id, {sql_phrase('event_id')} AS action FROM events) SELECT id, 'app_launch' AS goal_type FROM s WHERE regexp_matches(action, {_quoted(p.LAUNCHES)}, 'i') UNION ALL SELECT id, 'web_navigation' FROM s WHERE regexp_matches(action, {_quoted(p.NAVIGATIONS)}, 'i')")
 def inferred_goals(spark, sf_dir):
     s = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), phrase(F.col("event_id")).alias("action"))
