@@ -7,15 +7,16 @@ block is cut into segments, the first in the response record, the others in cont
 Spark's text writer, with the archive's record end as line end, writes the files, so any store that
 Spark can write to will do; gzip covers a file, not each record, and there are no warcinfo records.
 
-Reading takes any WARC files (plain, or gzip by file or by record), each in the memory of one task:
-records are cut by their Content-Length; segments are grouped by the origin's record id, ordered by
+Reading takes any WARC files (plain, or gzip by file or by record) of up to Spark's 2 GB for a binary
+file; a file is inflated piece by piece, so a task holds its packed bytes and the record at hand.
+Records are cut by their Content-Length; segments are grouped by the origin's record id, ordered by
 segment number, checked against the total length, joined, and the chunked framing is decoded. A
 SHA-256 or SHA-1 payload digest is checked. ``error`` tells what is wrong with a record that fails,
 or with the rest of a file that is cut short or no archive; the payload is null then. page_id and
 refers_to are null where a record id isn't one of this writer's.
 
 Nulls: a null html is an empty payload; a null url has no target header; a null page_id is never
-the smallest of a group that has another id. Rows that share page_id and payload have one record
+the smallest of a group that has another id. Page ids are whole numbers; a text that is none counts as a null one. Rows that share page_id and payload have one record
 id; each is written, and read back as a row of its own. Payloads may have any length up to 2 GB. An empty table gives
 an archive without records, and reads as an empty result. Other columns of the pages are not written.
 """
@@ -27,7 +28,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, shared_folder, slices, small
 
 END = b"\r\n\r\n"
-MIN_REVISIT, SEGMENT, CHUNK, RECORDS_PER_FILE = 100, 8192, 3000, 4096
+MIN_REVISIT, SEGMENT, CHUNK, RECORDS_PER_FILE, PIECE = 100, 8192, 3000, 4096, 1 << 20
 _URN = "urn:pathlore:page:"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -82,38 +83,81 @@ def records(record_id: str, url: str | None, payload: bytes, digest: str, refers
         yield _record("response" if n == 1 else "continuation", own, part)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and blocks of an archive's records, by Content-Length; ValueError at what is no whole record."""
-    at = 0
-    while at < len(data):
-        stop = data.find(END, at)
-        lines = data[at : max(stop, at)].decode(errors="replace").split("\r\n")
+class Inflated:
+    """The bytes of a file, plain or in gzip members, piece by piece as far as they go; then ``error`` says what is wrong, if anything is."""
+
+    def __init__(self, content: bytes):
+        self.content, self.error = memoryview(content), None
+
+    def __iter__(self) -> Iterator[bytes]:
+        at = 0
+        while bytes(self.content[at : at + 2]) == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            while not member.eof:
+                piece = member.unconsumed_tail
+                if not piece:
+                    piece = self.content[at : at + PIECE]
+                    at += len(piece)
+                try:
+                    out = member.decompress(piece, PIECE)
+                except zlib.error:
+                    self.error = "gzip data is damaged"
+                    return
+                if out:
+                    yield out
+                elif not len(piece) and not member.eof:
+                    self.error = "gzip data is cut short"
+                    return
+            at -= len(member.unused_data)
+        for a in range(at, len(self.content), PIECE):
+            yield bytes(self.content[a : a + PIECE])
+
+
+class _Ahead:
+    """Bytes that come in pieces, of which a few are held: ``data`` from place ``gone`` on."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.data, self.gone = iter(pieces), b"", 0
+
+    def holds(self, n: int) -> bool:
+        """Whether n bytes are there, after taking as many pieces as that needs."""
+        held, size = [self.data], len(self.data)
+        while size < n and (piece := next(self.pieces, None)) is not None:
+            held.append(piece)
+            size += len(piece)
+        if len(held) > 1:
+            self.data = b"".join(held)
+        return size >= n
+
+    def drop(self, n: int) -> None:
+        self.data, self.gone = self.data[n:], self.gone + n
+
+
+def parse(data: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and blocks of an archive's records, by Content-Length; ValueError at what is no whole record.
+
+    Bytes in pieces are held as far as the record at hand goes, and ``PIECE`` more.
+    """
+    ahead, at = _Ahead([data] if isinstance(data, bytes) else data), 0
+    while ahead.holds(at + 1):
+        ahead.holds(at + 5)
+        while (stop := ahead.data.find(END, at)) < 0 and ahead.data[at : at + 5] == b"WARC/" and ahead.holds(len(ahead.data) + 1):
+            pass
+        lines = ahead.data[at : max(stop, at)].decode(errors="replace").split("\r\n")
         if stop < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {ahead.gone + at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
         size = headers.get("content-length", "")
         if not size.isascii() or not size.isdigit():
-            raise ValueError(f"no content length at byte {at}")
+            raise ValueError(f"no content length at byte {ahead.gone + at}")
         end = stop + 4 + int(size)
-        if data[end : end + 4] != END:
-            raise ValueError(f"record at byte {at} is cut short")
-        yield headers, data[stop + 4 : end]
+        if not ahead.holds(end + 4) or ahead.data[end : end + 4] != END:
+            raise ValueError(f"record at byte {ahead.gone + at} is cut short")
+        yield headers, ahead.data[stop + 4 : end]
         at = end + 4
-
-
-def unpacked(content: bytes) -> tuple[bytes, str | None]:
-    """The bytes of a file, plain or in gzip members, as far as they go, and what is wrong behind that."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(content))
-        except zlib.error:
-            return b"".join(out), "gzip data is damaged"
-        if not member.eof:
-            return b"".join(out), "gzip data is cut short"
-        content = member.unused_data
-    return b"".join(out) + content, None
+        if at > PIECE:
+            ahead.drop(at)
+            at = 0
 
 
 def _fits(digest: str, payload: bytes) -> bool:
@@ -159,7 +203,7 @@ def page_of(urn: str | None) -> int | None:
 
 def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     """Writes (page_id, url, html) as gzip archives below ``path``."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    own = pages.select(F.expr("try_cast(page_id AS long)").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha2("html", 256))
     groups = own.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     # only groups of copies are joined; written, so that the join can split a payload that many pages have
@@ -197,8 +241,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows, size, bad = [], 0, []
-                data, wrong = unpacked(content.as_py())
+                rows, size, bad, wrong = [], 0, [], None
+                data = Inflated(content.as_buffer())
                 try:
                     for n, (h, block) in enumerate(parse(data)):
                         try:
@@ -210,8 +254,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                             yield _batch(rows, _PARTS)
                             rows, size = [], 0
                 except ValueError as e:
-                    wrong = wrong or str(e)
-                if wrong:
+                    wrong = str(e)
+                if wrong := data.error or wrong:
                     bad.append((f"{name}#rest", wrong))
                 rows += [(origin, 1, None, None, None, None, None, None, None, error) for origin, error in bad]
                 if rows:

@@ -83,3 +83,39 @@ def test_revisits_refer_to_records_that_are_there(spark, tmp_path):
     heads = [h for h, _ in warc.parse(raw)]
     ids = {h["warc-record-id"] for h in heads}
     assert len(ids) == 3 and [h["warc-refers-to"] in ids for h in heads if h["warc-type"] == "revisit"] == [True, True]
+
+
+def test_pieces_of_any_size(monkeypatch):
+    """Records come out alike however the file is packed and cut into pieces, and as far as a broken one goes."""
+    import gzip
+    import random
+
+    rng = random.Random(4)
+    heads = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d" % n for n in (0, 5, 4000, 70_000)]
+    blocks = [b"", b"\r\n\r\nx", rng.randbytes(4000), b"ab" * 35_000]
+    whole = [h + warc.END + b + warc.END for h, b in zip(heads, blocks, strict=True)]
+    plain = b"".join(whole)
+    for piece in (1, 7, 1000, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        for packed in (plain, gzip.compress(plain), b"".join(map(gzip.compress, whole)), gzip.compress(whole[0] + whole[1]) + whole[2] + whole[3]):
+            if piece == 1 and packed is plain:
+                packed = packed[: len(whole[0]) + len(whole[1])]
+            data = warc.Inflated(packed)
+            got = [b for _, b in warc.parse(data)]
+            assert got == blocks[: len(got)] and len(got) == (2 if len(packed) < 4000 and packed[:4] == b"WARC" else 4) and data.error is None
+        for cut, error in ((gzip.compress(plain)[:-3000], "gzip data is cut short"), (gzip.compress(plain)[:-8] + b"12345678", "gzip data is damaged")):
+            data, got = warc.Inflated(cut), []
+            try:
+                for _, b in warc.parse(data):
+                    got.append(b)
+            except ValueError:
+                pass
+            assert data.error == error and got == blocks[: len(got)] and (len(got) >= 2 or piece > 1000)
+
+
+def test_ids_that_are_no_numbers(spark):
+    pages = spark.createDataFrame([("7", "u", "a" * 200), ("x", "u", "b" * 200), (None, None, "a" * 200)], "page_id string, url string, html string")
+    path = warc.archive_path(spark)
+    warc.write_archive(pages, path)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.digests(warc.read_archive(spark, path)).collect())
+    assert got == [(0, "response", None), (0, "revisit", 7), (7, "response", None)]
