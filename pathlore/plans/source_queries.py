@@ -183,16 +183,39 @@ u AS (SELECT id, type, CASE WHEN turn = 1 THEN 'changed' ELSE coalesce(text, '')
 SELECT id, type, md5(content) AS digest, accesses::BIGINT AS accesses FROM u""")
 def memory_store(spark, sf_dir):
     """A store after additions (some of them known), changes, deletions and reads."""
-    new = memories.new_entries(_entries(spark, sf_dir))
-    split = F.split("id", "-")
-    conv, turn = split[0].cast("long"), split[1].cast("long")
-    store = memories.add(new.where(conv % 2 == 0), new)
-    store = memories.update(store, store.where(turn == 1).select("id", F.lit("changed").alias("content")))
-    store = memories.delete(store, store.where((turn == 2) & (conv % 2 == 0)).select("id"))
+    store = _changed(_added(spark, sf_dir))
+    conv, turn = _numbers()
     reads = store.where(turn == 0).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).where(F.col("n") <= conv % 3)
     return memories.touched(store, reads).select("id", "type", F.md5("content").alias("digest"), "accesses")
 
 
+def _numbers():
+    split = F.split("id", "-")
+    return split[0].cast("long"), split[1].cast("long")
+
+
+def _added(spark, sf_dir):
+    new = memories.new_entries(_entries(spark, sf_dir))
+    return memories.add(new.where(_numbers()[0] % 2 == 0), new)
+
+
+def _changed(store):
+    conv, turn = _numbers()
+    store = memories.update(store, store.where(turn == 1).select("id", F.lit("changed").alias("content")))
+    return memories.delete(store, store.where((turn == 2) & (conv % 2 == 0)).select("id"))
+
+
+@register("memory_vectors", rf"""WITH s AS (SELECT conv_id || '-' || turn AS id, conv_id, turn, text FROM conversations WHERE turn % 9 <> 8), u AS (SELECT id, CASE WHEN turn = 1 THEN 'changed' ELSE coalesce(text, '') END AS content FROM s WHERE NOT (turn = 2 AND conv_id % 2 = 0)),
+t AS (SELECT id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS w FROM u), h AS (SELECT id, md5(w) AS d, unnest([0, 1, 2, 3]) AS i FROM t),
+b AS (SELECT id, ('0x' || substr(d, 8 * i + 1, 2))::INT % 384 AS place, ('0x' || substr(d, 8 * i + 3, 2))::INT % 2 * 2 - 1 AS sign FROM h), v AS (SELECT id, place, sum(sign) AS v FROM b GROUP BY 1, 2 HAVING sum(sign) <> 0), n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1)
+SELECT id, place, round(v / norm, 6) AS value FROM v JOIN n USING (id)""")
+def memory_vectors(spark, sf_dir):
+    """The vectors beside a store: made for what was added, then brought up to changes and deletions."""
+    store = _added(spark, sf_dir)
+    vectors = memories.with_vectors(_changed(store), memories.with_vectors(store))
+    return vectors.select("id", "place", F.round("value", 6).alias("value"))
+
+
 @register("memory_counts", f"SELECT ({KINDS})[turn % 9 + 1] AS type, count(*) AS n FROM conversations WHERE turn % 9 <> 8 GROUP BY ROLLUP (1)")
 def memory_counts(spark, sf_dir):
     return memories.counts(memories.new_entries(_entries(spark, sf_dir)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlore.functions.text import tokens
+from pathlore.operators.vectors import hashed
 
 # Kinds of entries, and kinds of brain memories.
 ENTRY_TYPES = ["meeting", "call", "voice_command", "task", "fact", "preference", "conversation", "learning"]
@@ -46,6 +47,22 @@ def touched(store: DataFrame, reads: DataFrame, key: str = "id") -> DataFrame:
     return store.join(n, key, "left").withColumn("accesses", F.col("accesses") + F.coalesce("_reads", F.lit(0))).drop("_reads")
 
 
+def with_vectors(store: DataFrame, vectors: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(id, digest, place, value): the vectors beside a store, brought up to it from those that were there before.
+
+    A vector is that of its content, by whose digest it is known: rows that are new or changed are embedded, rows that are gone
+    lose theirs, all others keep what they have. Contents without words have none.
+    """
+    own = store.select(F.col(key).alias("id"), F.md5("content").alias("digest"), "content")
+    if vectors is None:
+        kept, missing = None, own
+    else:
+        kept = vectors.join(own.select("id", "digest"), ["id", "digest"], "left_semi")
+        missing = own.join(vectors.select("id", "digest").distinct(), ["id", "digest"], "left_anti")
+    made = hashed(missing, "id", "content").join(missing.select("id", "digest"), "id").select("id", "digest", "place", "value")
+    return made if kept is None else kept.unionByName(made)
+
+
 def counts(store: DataFrame) -> DataFrame:
     """(type, n), and the total beside a null type."""
     return store.rollup("type").agg(F.count("*").alias("n"))

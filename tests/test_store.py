@@ -68,3 +68,16 @@ def test_watched_files_written_in_parts(spark, tmp_path):
         run.trigger(availableNow=True).start().awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("log", "place", "found").collect())
     assert got == plain_changes(parts) and len(got) > 4
+
+
+def test_vectors_follow_the_store(spark):
+    from pathlore.operators.vectors import hashed
+    from pathlore.sources import memories
+
+    rows = lambda *r: spark.createDataFrame(r, "id string, content string")
+    first = memories.with_vectors(rows(("a", "alpha beta"), ("b", "beta gamma"), ("c", ""), ("d", "gone away")))
+    marked = first.withColumn("value", F.col("value") + 5)  # so that kept vectors are told from new ones
+    store = rows(("a", "alpha beta"), ("b", "changed text"), ("c", "now here"), ("e", "alpha beta"))
+    got = {(r.id, r.place): r.value for r in memories.with_vectors(store, marked).collect()}
+    want = {(r.id, r.place): r.value + (5 if r.id == "a" else 0) for r in hashed(store, "id", "content").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and {k[0] for k in got} == {"a", "b", "c", "e"}
