@@ -200,7 +200,7 @@ def environment_facts(spark, sf_dir):
     return e.groupBy("entity", "method").agg(F.count("*").alias("observations")).withColumn("confidence", F.round(F.least(F.lit(0.95), F.col("observations") / (F.col("observations") + 3.0)), 6))
 
 
-_ACTED = """n AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id % 6 AS way,
+_RUN_FACTS = """n AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id % 6 AS way,
   CASE event_id % 6 WHEN 0 THEN 'open -a "App ' || event_id % 7 || '"' WHEN 1 THEN 'open -a Notes; open "x-apple.x:com.apple.' || ['SoundSettings', 'DockPreferences', 'Wifi'][event_id // 6 % 3 + 1] || '"' WHEN 2 THEN 'key: "Command+ ' || ['Space', 'W', 'K'][event_id // 6 % 3 + 1] || '"' WHEN 3 THEN 'cmd+space' WHEN 4 THEN ['Music', 'My App!', '/tmp/x', 'Notes'][event_id // 6 % 4 + 1] ELSE 'click' END AS raw FROM events),
 p AS (SELECT *, lag(raw) OVER (PARTITION BY run ORDER BY k) AS before FROM n),
 f AS (SELECT run, 0 AS part, k, name AS display, regexp_replace(lower(name), '\\s+', '-', 'g') AS key, 'bash' AS method, 'open -a "' || name || '"' AS command FROM (SELECT *, CASE WHEN way = 0 THEN 'App ' || event_id % 7 ELSE 'Notes' END AS name FROM p WHERE way < 2)
@@ -210,7 +210,7 @@ f AS (SELECT run, 0 AS part, k, name AS display, regexp_replace(lower(name), '\\
 r AS (SELECT key, count(DISTINCT run) AS interactions, arg_min(display, (run, part, k)) AS display FROM f GROUP BY 1), m AS (SELECT key, method, command, count(*) AS observations FROM f WHERE method IS NOT NULL GROUP BY ALL)"""
 
 
-def _acted(spark, sf_dir):
+def _acting_runs(spark, sf_dir):
     """Tasks (users) as runs: what was done follows from the event's id."""
     i = F.col("event_id")
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.floor(i / 6) % len(names) + 1).cast("int"))
@@ -228,24 +228,24 @@ def _acted(spark, sf_dir):
 
 def _environment(spark, sf_dir, made, merge):
     """State after two increments: runs up to the middle one, and the others."""
-    runs = _acted(spark, sf_dir)
+    runs = _acting_runs(spark, sf_dir)
     return merge(made(runs.where("run % 2 = 0")), made(runs.where("run % 2 = 1")))
 
 
-@register("environment_model", f"WITH {_ACTED} SELECT key, display, interactions, method, command, observations, round(least(0.95, observations / (observations + 3.0)), 6) AS confidence FROM r LEFT JOIN m USING (key)")
+@register("environment_model", f"WITH {_RUN_FACTS} SELECT key, display, interactions, method, command, observations, round(least(0.95, observations / (observations + 3.0)), 6) AS confidence FROM r LEFT JOIN m USING (key)")
 def environment_model(spark, sf_dir):
     """Applications, and how surely each way opens them, merged from two increments of runs."""
     return environment.ways(_environment(spark, sf_dir, environment.entities, environment.merged_entities))
 
 
-@register("environment_settings", f"WITH {_ACTED}, c AS (SELECT DISTINCT run, ['sound', 'dock', 'wifi'][event_id // 6 % 3 + 1] AS child FROM n WHERE way = 1) SELECT 'system-settings' AS key, child, count(*) AS observations FROM c GROUP BY 2")
+@register("environment_settings", f"WITH {_RUN_FACTS}, c AS (SELECT DISTINCT run, ['sound', 'dock', 'wifi'][event_id // 6 % 3 + 1] AS child FROM n WHERE way = 1) SELECT 'system-settings' AS key, child, count(*) AS observations FROM c GROUP BY 2")
 def environment_settings(spark, sf_dir):
     """Settings that were opened by their address, and in how many runs."""
     state = _environment(spark, sf_dir, environment.entities, environment.merged_entities)
     return state.select("key", F.explode("children").alias("child", "c")).select("key", "child", "c.observations")
 
 
-@register("environment_shortcuts", f"WITH {_ACTED}, u AS (SELECT DISTINCT run, CASE WHEN way = 3 THEN 'cmd+space' ELSE 'cmd+' || ['space', 'w', 'k'][event_id // 6 % 3 + 1] END AS key FROM n WHERE way IN (2, 3)) SELECT key, CASE key WHEN 'cmd+space' THEN 'Open Spotlight (universal app/file launcher)' WHEN 'cmd+w' THEN 'Close current window/tab' ELSE 'Keyboard shortcut: ' || key END AS action, count(*) AS observations, round(least(0.95, count(*) / (count(*) + 3.0)), 6) AS confidence FROM u GROUP BY 1")
+@register("environment_shortcuts", f"WITH {_RUN_FACTS}, u AS (SELECT DISTINCT run, CASE WHEN way = 3 THEN 'cmd+space' ELSE 'cmd+' || ['space', 'w', 'k'][event_id // 6 % 3 + 1] END AS key FROM n WHERE way IN (2, 3)) SELECT key, CASE key WHEN 'cmd+space' THEN 'Open Spotlight (universal app/file launcher)' WHEN 'cmd+w' THEN 'Close current window/tab' ELSE 'Keyboard shortcut: ' || key END AS action, count(*) AS observations, round(least(0.95, count(*) / (count(*) + 3.0)), 6) AS confidence FROM u GROUP BY 1")
 def environment_shortcuts(spark, sf_dir):
     """Shortcuts with what they do, and how surely."""
     state = _environment(spark, sf_dir, environment.shortcuts, environment.merged_shortcuts)
