@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlore.functions.text import tokens
-from pathlore.operators.merging import merge_texts
+from pathlore.operators.merging import merge_texts, written
 
 MERGE_ABOVE = 0.5
 
@@ -43,16 +43,20 @@ def pattern_of(runs: DataFrame, kind: str, sig: str, order: str) -> DataFrame:
     choice at its first run is its choice for ever, so distinct signatures decide. (One without words
     would make a pattern each time; here it makes one.)
     """
-    distinct = runs.groupBy(kind, sig).agg(F.min(order).alias("first"))
-    return merge_texts(distinct, [sig], "first", MERGE_ABOVE, words, kind).withColumnRenamed(f"entry_{sig}", "pattern")
+    return _patterns(runs.groupBy(kind, sig).agg(F.min(order).alias("first")), kind, sig)
+
+
+def _patterns(distinct: DataFrame, kind: str, sig: str) -> DataFrame:
+    own = distinct.select(kind, sig, "first")
+    return merge_texts(own, [sig], "first", MERGE_ABOVE, words, kind).withColumnRenamed(f"entry_{sig}", "pattern")
 
 
 def merged(runs: DataFrame, kind: str, sig: str, order: str) -> DataFrame:
     """(kind, pattern, occurrences, success_rate, iterations, cost, last): patterns with what their runs showed."""
-    own = runs.where(F.col(sig) != "")
-    of = pattern_of(own, kind, sig, order)
-    # counted by signature first, so only one row of each meets its pattern
-    counted = own.groupBy(kind, sig).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "success").alias("good"), F.sum("iterations").alias("i"), F.sum("cost").alias("c"), F.max(order).alias("last"))
+    # counted by signature first and written: one pass over the runs, and only one row of each signature meets its pattern
+    counted = runs.where(F.col(sig) != "").groupBy(kind, sig).agg(F.min(order).alias("first"), F.count("*").alias("n"), F.count_if(F.col("outcome") == "success").alias("good"), F.sum("iterations").alias("i"), F.sum("cost").alias("c"), F.max(order).alias("last"))
+    counted = written(counted, "signatures")
+    of = _patterns(counted, kind, sig)
     total = counted.join(of, [kind, sig]).groupBy(kind, "pattern").agg(*[F.sum(x).alias(x) for x in ("n", "good", "i", "c")], F.max("last").alias("last"))
     return total.select(kind, "pattern", F.col("n").alias("occurrences"), (F.col("good") / F.col("n")).alias("success_rate"), (F.col("i") / F.col("n")).alias("iterations"), (F.col("c") / F.col("n")).alias("cost"), "last")
 
@@ -81,7 +85,7 @@ def library(segments: DataFrame, label: str, order: str, good: Column, above: fl
     In order of first use a label joins the first entry with a token Jaccard above ``above``, else it
     makes one; distinct labels decide (see ``pattern_of``).
     """
-    counted = segments.groupBy(label).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.min(order).alias("first"), F.max(order).alias("last"))
+    counted = written(segments.groupBy(label).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.min(order).alias("first"), F.max(order).alias("last")), "labels")
     of = merge_texts(counted.select(label, "first"), [label], "first", above, distinct_tokens).withColumnRenamed(f"entry_{label}", "entry")
     total = counted.join(of, label).groupBy("entry").agg(F.sum("n").alias("occurrences"), F.sum("good").alias("good"), F.max("last").alias("last"))
     return total.select("entry", "occurrences", (F.col("good") / F.col("occurrences")).alias("success_rate"), "last")
@@ -96,7 +100,7 @@ def segment_entries(segments: DataFrame, label: str, post: str, order: str, good
 
     In order of first use a segment joins the first entry whose label or postcondition is like its own, else it makes one.
     """
-    counted = segments.groupBy(label, post).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.min(order).alias("first"), F.max(order).alias("last"))
+    counted = written(segments.groupBy(label, post).agg(F.count("*").alias("n"), F.count_if(good).alias("good"), F.min(order).alias("first"), F.max(order).alias("last")), "labels")
     of = merge_texts(counted.select(label, post, "first"), [label, post], "first", above, distinct_tokens)
     total = counted.join(of, [label, post]).groupBy(F.col(f"entry_{label}").alias("label"), F.col(f"entry_{post}").alias("post")).agg(F.sum("n").alias("occurrences"), F.sum("good").alias("good"), F.max("last").alias("last"))
     rated = total.select("label", "post", "occurrences", (F.col("good") / F.col("occurrences")).alias("success_rate"), "last")
