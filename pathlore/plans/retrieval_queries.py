@@ -145,13 +145,13 @@ def _names(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_brand").alias("app"), F.count("*").alias("uses"), F.min("p_partkey").alias("key"), (F.max("p_size") % 40).alias("days"))
 
 
-@register("ranked_by_context", f"""WITH {NAMES}, q AS (SELECT name AS query FROM nm WHERE key % 100 = 0), s AS (SELECT query, key, CASE WHEN app = 'Brand#1' THEN 2.0 ELSE 0 END + CASE WHEN days <= 30 THEN exp(-days / 10.0) ELSE 0 END + least(2.0, 0.5 * log2(uses + 1))
+@register("ranked_by_context", f"""WITH {NAMES}, q AS (SELECT name AS query FROM nm), s AS (SELECT query, key, CASE WHEN app = 'Brand#1' THEN 2.0 ELSE 0 END + CASE WHEN days <= 30 THEN exp(-days / 10.0) ELSE 0 END + least(2.0, 0.5 * log2(uses + 1))
   + CASE WHEN name = query THEN 3.0 WHEN contains(name, query) OR contains(query, name) THEN 1.5 ELSE 0 END AS score FROM nm, q)
 SELECT query, key, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, key) <= 5""")
 def ranked_by_context(spark, sf_dir):
-    """Named procedures for each query by application, age, use and name."""
+    """Named procedures for each query (every distinct name) by application, age, use and name."""
     n = _names(spark, sf_dir)
-    q = n.where("key % 100 = 0").select(F.col("name").alias("q"))
+    q = n.select(F.col("name").alias("q"))
     score = tx.context_score(F.lower("app"), F.lit("brand#1"), F.col("days"), F.col("uses"), F.lower("name"), F.lower("q"), exact_app=True)
     scored = retrieval.against_blocks(n, q, F.lit(True)).select("q", "key", F.round(score, 9).alias("score"))
     return retrieval.top(scored, "key", "score", 5).select(F.col("q").alias("query"), "key", F.round("score", 6).alias("score"))
