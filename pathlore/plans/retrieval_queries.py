@@ -162,11 +162,11 @@ FUZZY = r"""CASE WHEN contains(t, q) THEN 1.0 WHEN len(list_filter(string_split(
   ELSE CASE WHEN list_reduce(string_split(q, ''), lambda j, c: CASE WHEN j >= length(t) THEN j WHEN instr(substr(t, j::BIGINT + 1), c) = 0 THEN length(t) ELSE j + instr(substr(t, j::BIGINT + 1), c) END, 0) < length(t) THEN 0.3 ELSE 0.1 END * length(q) / greatest(length(q), length(t)) END"""
 
 
-@register("fuzzy_names", "WITH x AS (SELECT DISTINCT lower(p_name) AS t FROM part), y AS (SELECT DISTINCT lower(c_mktsegment) AS q FROM customer UNION SELECT lower(p_name) FROM part WHERE p_partkey % 100 = 0 UNION SELECT 'rd wdgt') SELECT q, t, round(fz, 6) AS score FROM (SELECT q, t, " + FUZZY.replace("j::BIGINT", "CAST(j AS BIGINT)").replace("lambda j, c: CASE", "lambda j, c: CASE") + " AS fz FROM x, y)")
+@register("fuzzy_names", "WITH x AS (SELECT DISTINCT lower(p_name) AS t FROM part), y AS (SELECT DISTINCT lower(c_mktsegment) AS q FROM customer UNION SELECT t FROM x UNION SELECT 'rd wdgt') SELECT q, t, round(fz, 6) AS score FROM (SELECT q, t, " + FUZZY.replace("j::BIGINT", "CAST(j AS BIGINT)").replace("lambda j, c: CASE", "lambda j, c: CASE") + " AS fz FROM x, y)")
 def fuzzy_names(spark, sf_dir):
-    """How well each of a few names fits each distinct name: contained, by words, or letter by letter."""
+    """How well each distinct name, and a few others, fits each distinct name: contained, by words, or letter by letter."""
     t = table(spark, sf_dir, "part").select(F.lower("p_name").alias("t")).distinct()
-    q = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("q")).union(table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.lower("p_name"))).union(spark.createDataFrame([("rd wdgt",)], "q string")).distinct()
+    q = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("q")).union(t.select("t")).union(spark.createDataFrame([("rd wdgt",)], "q string")).distinct()
     return retrieval.against_blocks(t, q, F.lit(True)).select("q", "t", F.round(tx.fuzzy(F.col("q"), F.col("t")), 6).alias("score"))
 
 

@@ -29,3 +29,9 @@ def test_every_name_is_ranked_by_context(spark, parts):
     got = sorted(tuple(r) for r in registry.QUERIES["ranked_by_context"](spark, parts).collect())
     assert {r[0] for r in got} == {"red bolt", "blue bolt", "bolt", "hot plate"} and len(got) == 16
     assert got == by_sql("ranked_by_context", parts, "part")
+
+
+def test_every_name_is_held_against_every_name(spark, parts):
+    got = sorted(tuple(r) for r in registry.QUERIES["fuzzy_names"](spark, parts).collect())
+    assert {r[0] for r in got} == {"red bolt", "blue bolt", "bolt", "hot plate", "building", "rd wdgt"} and len(got) == 24
+    assert got == by_sql("fuzzy_names", parts, "part", "customer")
