@@ -1,9 +1,11 @@
 """Near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets of shingles are folded first. The rest meet by ``BANDS`` bands of ``ROWS``
-min-hashes: a pair at similarity 0.8 shares none of them with a probability of 5 in a million, one
-above that with less. Within a band each text is tied to one other only, and the components of
-these ties are the candidate groups, so that every text is sent once, to its group. A group is
+Texts with equal sets of shingles are folded first. The rest meet by SimHash: fingerprints of the
+sets of shingles that differ in ``RADIUS`` bits at most are tied (blocks of equal bits and pivot
+tables, see ``simhash``), equal ones to the smallest of their keys. A pair at similarity 0.8 may differ in more bits, so
+texts meet by ``BANDS`` bands of ``ROWS`` min-hashes, too: such a pair shares none of them with a probability of 5 in a
+million, one above that with less. Within a band each text is tied to one other only, and the components of
+both kinds of ties are the candidate groups, so that every text is sent once, to its group. A group is
 searched along links, which puts out fewer links than it has members: Jaccard distances of all
 members to the first texts of the search are a table of pivots; by the triangle inequality a pair
 is discarded if any coordinate differs by more than 0.2, and survivors are verified by their exact
@@ -32,10 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Words, checkpoint, fresh, rolling, slices, small
 from .graph import components
 
-SHINGLE, BANDS, ROWS, PIVOTS = 5, 40, 6, 16
+SHINGLE, BANDS, ROWS, PIVOTS, RADIUS = 5, 40, 6, 16, simhash.RADIUS
 MEMBERS, PART, BLOCK, PICKED = 1024, 512, 256, 16
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
@@ -64,8 +67,16 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(raw)], np.uint64)
 
 
+def fingerprint(s: np.ndarray) -> np.uint64:
+    """The SimHash of a set: a bit is set if it is in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(s), _COLUMNS):
+        ones += np.unpackbits(s[a : a + _COLUMNS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(s), bitorder="little").view(np.uint64)[0]
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, key, bands): hashes of the text and of its set of shingles, and the set's bands."""
+    """(doc_id, t, key, fp, bands): hashes of the text and of its set of shingles, the set's fingerprint and its bands."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +84,10 @@ def with_keys(docs: DataFrame) -> DataFrame:
             sets = shingles(b.column("text"))
             key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             bands = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(key), bands], ["doc_id", "t", "key", "bands"])
+            fp = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(key), fp, bands], ["doc_id", "t", "key", "fp", "bands"])
 
-    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(run, f"doc_id {kind.simpleString()}, t long, key long, bands array<long>")
+    return docs.select("doc_id", text_key().alias("t"), "text").mapInArrow(run, f"doc_id {kind.simpleString()}, t long, key long, fp long, bands array<long>")
 
 
 def text_key():
@@ -102,6 +114,16 @@ def ties(folded: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def simhash_ties(folded: DataFrame) -> DataFrame:
+    """(a, b): ties of the keys whose fingerprints differ in ``RADIUS`` bits at most, a forest of these links."""
+    heads = checkpoint(folded.groupBy("fp").agg(F.min("key").alias("head")))
+    same = folded.select("fp", "key").join(heads, "fp").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near = simhash.links(heads.select("fp"), RADIUS)
+    for end in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
+    return same.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Spanning edges (positions) of the links among distinct sets, by a table of pivots."""
     num, den = LEAST
@@ -306,8 +328,8 @@ def with_components(docs: DataFrame, members: int = MEMBERS) -> DataFrame:
     Candidate groups of over ``members`` texts are dealt out, the others searched by one task each.
     """
     keyed = checkpoint(with_keys(docs))
-    folded = keyed.groupBy("key").agg(F.min_by("bands", "t").alias("bands"), F.min("t").alias("t"))
-    groups = components(ties(folded))
+    folded = keyed.groupBy("key").agg(F.min_by("bands", "t").alias("bands"), F.min("fp").alias("fp"), F.min("t").alias("t"))
+    groups = components(simhash_ties(folded).unionByName(ties(folded)))
     grouped = checkpoint(groups.select(F.col("u").alias("key"), F.col("v").alias("grp")).unionByName(groups.select(F.col("v").alias("key"), F.col("v").alias("grp")).distinct()))
 
     def with_texts(own: DataFrame) -> DataFrame:

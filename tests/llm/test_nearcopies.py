@@ -120,3 +120,16 @@ def test_stage_is_the_same_with_large_groups_dealt_out(spark):
     one, two = ({r.doc_id: r.component for r in nearcopies.with_components(docs, members).collect()} for members in (1, 10**6))
     groups = lambda c: {frozenset(i for i in c if c[i] == v) for v in c.values()}
     assert groups(one) == groups(two)
+
+
+def test_simhash_brings_candidates(spark, monkeypatch):
+    """Near fingerprints are candidates without any shared band, and what they bring is verified."""
+    monkeypatch.setattr(nearcopies, "ties", lambda folded: folded.selectExpr("key AS a", "key AS b").limit(0))
+    one, two = [f"a{i}" for i in range(2000)], [f"b{i}" for i in range(2000)]
+    near = [*one]
+    near[7] = "x"
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(near)), (3, " ".join(two)), (4, "a b"), (5, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(df).collect()) == [1, 3, 4, 5]
+    monkeypatch.setattr(nearcopies, "RADIUS", 62)
+    monkeypatch.setattr(nearcopies.simhash, "links", lambda distinct, radius: distinct.selectExpr("fp AS a").join(distinct.selectExpr("fp AS b")))
+    assert sorted(r.doc_id for r in nearcopies.keep_one(df).collect()) == [1, 3, 4, 5]
