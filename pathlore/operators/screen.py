@@ -29,9 +29,22 @@ def within(points: DataFrame, places: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, places: DataFrame, radius: float, point: str, place: str) -> DataFrame:
-    """(point, place, distance): the nearest place of each point that has one within the radius, of equals the smallest."""
-    best = within(points, places, radius).groupBy(point).agg(F.min(F.struct("distance", place)).alias("b"))
-    return best.select(point, F.col(f"b.{place}").alias(place), "b.distance")
+    """(point, place, distance): the nearest place of each point that has one within the radius, of equals the smallest.
+
+    Points of one position are searched for once, and places of one position are met once. A screen has so many pixels only, so what
+    meets is bounded by it, however many points and places there are.
+    """
+    held = places.groupBy("px", "py").agg(F.min(place).alias(place))
+    best = within(points.select("x", "y").distinct(), held, radius).groupBy("x", "y").agg(F.min(F.struct("distance", place)).alias("b"))
+    own = points.select(point, "x", "y").join(best, ["x", "y"]).groupBy(point).agg(F.min("b").alias("b"))
+    return own.select(point, F.col(f"b.{place}").alias(place), "b.distance")
+
+
+def count_within(points: DataFrame, places: DataFrame, radius: float, point: str, place: str) -> DataFrame:
+    """(point, n, first): how many places each point has within the radius, if any, and the smallest; positions meet once, as in ``nearest``."""
+    held = places.groupBy("px", "py").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    found = within(points.select("x", "y").distinct(), held, radius).groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return points.select(point, "x", "y").join(found, ["x", "y"]).groupBy(point).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def confidence(far: Column, label: Column, actions: Column) -> Column:

@@ -31,7 +31,7 @@ def nearest_element(spark, sf_dir):
 
 @register("elements_near", f"WITH {NEAR} SELECT click, count(*) AS n, min(key) AS first_key FROM d WHERE d <= 80 GROUP BY 1")
 def elements_near(spark, sf_dir):
-    return screen.within(clicks(spark, sf_dir), _middles(spark, sf_dir), 80).groupBy("click").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+    return screen.count_within(clicks(spark, sf_dir), _middles(spark, sf_dir), 80, "click", "key").withColumnRenamed("first", "first_key")
 
 
 @register("snapped_clicks", f"""WITH {ELEMENTS}, {CLICKS}, s AS (SELECT c.click, arg_min(e.key, (sqrt((e.x - c.x) ** 2 + (e.y - c.y) ** 2), e.key)) AS key FROM cl c JOIN el e ON sqrt((e.x - c.x) ** 2 + (e.y - c.y) ** 2) <= 30 WHERE NOT (c.click % 2 = 0 AND c.y > 100) GROUP BY 1)

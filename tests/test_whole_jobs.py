@@ -35,3 +35,23 @@ def test_every_name_is_held_against_every_name(spark, parts):
     got = sorted(tuple(r) for r in registry.QUERIES["fuzzy_names"](spark, parts).collect())
     assert {r[0] for r in got} == {"red bolt", "blue bolt", "bolt", "hot plate", "building", "rd wdgt"} and len(got) == 24
     assert got == by_sql("fuzzy_names", parts, "part", "customer")
+
+
+def test_positions_meet_once(spark, monkeypatch):
+    """However many clicks and elements share positions, as many pairs meet as there are positions; ties go to the smallest key."""
+    from pathlore.operators import screen
+
+    pairs, within = [], screen.within
+
+    def counted(*args):
+        out = within(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(screen, "within", counted)
+    clicks = spark.createDataFrame([(i, 10 * (i % 2), 0) for i in range(300)] + [(900, 500, 500), (901, None, 0)], "click long, x long, y long")
+    places = spark.createDataFrame([(k, float(k % 3), 0.0) for k in range(1, 200)], "key long, px double, py double")
+    near = {r.click: (r.key, r.distance) for r in screen.nearest(clicks, places, 20, "click", "key").collect()}
+    assert near == {i: (2, 8.0) if i % 2 else (3, 0.0) for i in range(300)} and pairs == [6]
+    counts = {r.click: (r.n, r.first) for r in screen.count_within(clicks, places, 20, "click", "key").collect()}
+    assert counts == {i: (199, 1) for i in range(300)} and pairs == [6, 6]
