@@ -55,3 +55,25 @@ def test_positions_meet_once(spark, monkeypatch):
     assert near == {i: (2, 8.0) if i % 2 else (3, 0.0) for i in range(300)} and pairs == [6]
     counts = {r.click: (r.n, r.first) for r in screen.count_within(clicks, places, 20, "click", "key").collect()}
     assert counts == {i: (199, 1) for i in range(300)} and pairs == [6, 6]
+
+
+def test_messages_of_one_text_are_scored_once(spark, tmp_path, monkeypatch):
+    """No more rows than 16 for each message meet at the end, and they are what SQL gives, the session's own memory left out."""
+    import datetime
+
+    from pathlore.plans import learning_queries
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(minutes=i), i // 22 % 40, "click", 1.0, "{}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sizes, top = [], learning_queries.retrieval.top
+
+    def counted(df, *args):
+        sizes.append(df.count())
+        return top(df, *args)
+
+    monkeypatch.setattr(learning_queries.retrieval, "top", counted)
+    got = sorted(tuple(r) for r in registry.QUERIES["predicted_memories"](spark, str(tmp_path)).collect())
+    assert got == by_sql("predicted_memories", str(tmp_path), "events") and {r[0] for r in got} == set(range(0, 6000, 100))
+    assert sizes[0] <= 16 * 60
