@@ -202,7 +202,7 @@ def filtered_hybrid(spark, sf_dir):
     lexical = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", _queries(spark, sf_dir)).join(allowed.select("doc_id"), "doc_id").select("q", "doc_id", F.round("score", 9).alias("s"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q"), F.col("embedding").alias("v"))
-    near = retrieval.against_blocks(e.join(allowed.select("doc_id"), "doc_id"), q, F.col("doc_id") != F.col("q")).select("q", "doc_id", F.round(retrieval.cosine(F.col("embedding"), F.col("v")), 9).alias("s"))
+    near = retrieval.nearest_vectors(e.join(allowed.select("doc_id"), "doc_id"), q, "doc_id", 20)
     both = retrieval.fuse(retrieval.top(lexical, "doc_id", "s", 20), retrieval.top(near, "doc_id", "s", 20), "doc_id").withColumn("rrf", F.round("rrf", 9))
     return retrieval.top(both, "doc_id", "rrf", 10).join(allowed, "doc_id").select("q", "doc_id", "rrf", "lang")
 

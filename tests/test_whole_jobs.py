@@ -77,3 +77,23 @@ def test_messages_of_one_text_are_scored_once(spark, tmp_path, monkeypatch):
     got = sorted(tuple(r) for r in registry.QUERIES["predicted_memories"](spark, str(tmp_path)).collect())
     assert got == by_sql("predicted_memories", str(tmp_path), "events") and {r[0] for r in got} == set(range(0, 6000, 100))
     assert sizes[0] <= 16 * 60
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    """As cosine and top tell them, with odd vectors and many ties, and with at most k rows for each query and block."""
+    from pyspark.sql import functions as F
+
+    from pathlore.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "VECTORS", 64)
+    monkeypatch.setattr(retrieval, "QUERIES", 4)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 2)
+    vectors = [[float((i * 7 + j * j) % 11 - 5) for j in range(6)] for i in range(200)] + [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]] * 60
+    vectors += [None, [0.0] * 6, [1.0, None, 2.0, 3.0, 4.0, 5.0], [1.0, 2.0], [float("nan")] * 6, []]
+    e = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<float>")
+    q = e.where("id % 20 = 0 or id > 258").select(F.col("id").alias("q"), F.col("embedding").alias("v"))
+    want = retrieval.against_blocks(e, q, F.col("id") != F.col("q")).select("q", "id", F.round(retrieval.cosine(F.col("embedding"), F.col("v")), 9).alias("s"))
+    near = retrieval.nearest_vectors(e, q, "id", 5)
+    shown = lambda df: sorted(map(str, retrieval.top(df, "id", "s", 5).collect()))
+    assert shown(near) == shown(want) and near.count() <= 5 * q.count() * 5
+    assert retrieval.nearest_vectors(e.limit(0), q, "id", 5).count() == 0
