@@ -97,3 +97,26 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
     shown = lambda df: sorted(map(str, retrieval.top(df, "id", "s", 5).collect()))
     assert shown(near) == shown(want) and near.count() <= 5 * q.count() * 5
     assert retrieval.nearest_vectors(e.limit(0), q, "id", 5).count() == 0
+
+
+def test_duplicates_are_compared_by_few_pairs(spark, monkeypatch):
+    """As all pairs tell them; copies meet once, and texts that share rare words but are unlike aren't compared word by word."""
+    from pathlore.operators import retrieval
+
+    word = lambda i: f"word{i}"
+    texts = {i: " ".join(word(i // 4 * 40 + j) for j in range(30 if i % 4 else 29)) for i in range(80)}
+    texts |= {100 + i: "copies of one text that many rows have" for i in range(40)}
+    texts |= {200 + i: " ".join([f"shared{i // 10}", *(f"own{i}x{j}" for j in range(30))]) for i in range(40)}
+    d = spark.createDataFrame(list(texts.items()), "id long, text string")
+    e, c = d.where("id % 2 = 0"), d.where("id % 2 = 1")
+    sizes, written = [], retrieval.written
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.extend([out.count()] * (name == "pairs"))
+        return out
+
+    monkeypatch.setattr(retrieval, "written", counted)
+    got = {tuple(r) for r in retrieval.duplicates_above(e, c, "id", "text").collect()}
+    want = {tuple(r) for r in retrieval.duplicates(e, c, "id", "text").where("similarity >= 0.9").collect()}
+    assert got == want and len(got) == 60 and {r[1] for r in got if 100 <= r[0] < 200} == {100} and sizes[-1] <= 81
