@@ -118,6 +118,33 @@ def test_clusters_without_a_group(spark):
         assert [find(i) for i in range(180)] == [find(i, whole) for i in range(180)]
 
 
+def test_clusters_in_rounds(spark, monkeypatch):
+    """As one after the other makes them, though no task meets more vectors than a round has, all of them being near to others."""
+    for name, n in (("ROUND", 24), ("CLUSTERS", 4), ("KEPT", 2)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 5)) * 0.5 + 0.6
+    rows = [(i, i % 40, [float(v) for v in y]) for i, y in enumerate([*x, *[x[3]] * 20])]
+    df = spark.createDataFrame(rows, "id long, accessed_at long, embedding array<double>").withColumns({"content": F.col("id").cast("string"), "importance": F.lit(0.5), "kind": F.col("id") % 2})
+    sizes, settled = spark.sparkContext.accumulator(0), vectors._settled
+
+    def counted(least):
+        run = settled(least)
+
+        def count(key, part):
+            sizes.add(int((part["kind"] == 0).sum() > 24))
+            return run(key, part)
+
+        return count
+
+    monkeypatch.setattr(vectors, "_settled", counted)
+    got = vectors.consolidated(df).collect()
+    assert sorted(r.ids for r in got) == plain_clusters(rows) and len(got) > 10 and max(r.size for r in got) > 20 and sizes.value == 0
+    assert all(np.allclose(r.embedding, np.mean([rows[i][2] for i in r.ids], axis=0)) and r.first == r.ids[0] and r.size == len(r.ids) for r in got)
+    by_kind = sorted(plain_clusters(rows[::2]) + plain_clusters(rows[1::2]))
+    assert sorted(r.ids for r in vectors.consolidated(df, "kind").collect()) == by_kind
+
+
 def test_components_of_chains(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 90), (95, 99)]
     got = {r.id: r.root for r in merging.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
