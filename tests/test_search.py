@@ -88,3 +88,18 @@ def test_one_pass_over_the_texts(spark, tmp_path):
     assert tuple(search.collection(hits).first()) == (3, 4 / 3)
     plan = search.ranked(hits, "id", spark.createDataFrame([(1, "a")], "q int, term string"))._jdf.queryExecution().executedPlan().toString()
     assert str(tmp_path / "d") not in plan
+
+
+def test_each_distinct_word_is_stemmed_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def plain(word):
+        calls.add(1)
+        return word.rstrip("s")
+
+    monkeypatch.setattr(search, "stem", plain)
+    docs = spark.createDataFrame([(i, "cats dogs cat " * 50) for i in range(20)], "id long, text string")
+    terms = spark.createDataFrame([("cat",)], "term string")
+    got = {tuple(r) for r in search.stemmed_words(docs, search.search_tokens(F.col("text")), terms).collect()}
+    assert got == {("cats", "cat"), ("cat", "cat")} and calls.value == 3
