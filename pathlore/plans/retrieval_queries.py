@@ -44,10 +44,9 @@ def reflection_search(spark, sf_dir):
     text = F.concat_ws(" ", "task", "kind", F.array_join("lessons", " "))
     days = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400_000_000
     weight = F.exp(-days / 30) * F.when(F.col("confidence") == 0, 1.0).otherwise(F.col("confidence"))
-    own = r.crossJoin(F.broadcast(r.agg(F.max("ts").alias("now")))).select("id", tx.tokens(text).alias("t"), weight.alias("weight"))
+    own = r.crossJoin(F.broadcast(r.agg(F.max("ts").alias("now")))).select("id", text.alias("text"), weight.alias("weight"))
     q = _phrases(spark).select("q", tx.tokens(F.col("phrase")).alias("u"))
-    scored = retrieval.against_blocks(own, q, F.lit(True)).select("q", "id", F.round(tx.jaccard(F.col("t"), F.col("u")) * F.col("weight"), 9).alias("score"))
-    return retrieval.top(scored, "id", "score", 5).select("q", "id", F.round("score", 6).alias("score"))
+    return retrieval.weighted_top(own, q, lambda: tx.jaccard(tx.tokens(F.col("text")), F.col("u")), 5).select("q", "id", F.round("score", 6).alias("score"))
 
 
 @register("context_tiers", f"""WITH {REFLECTIONS}, {ASKED}, u AS (SELECT q, {TOKENS.format('phrase')} AS u FROM qs), sk AS (SELECT q AS id, {TOKENS.format('phrase')} AS t FROM qs WHERE q % 4 = 0), sg AS (SELECT q AS id, {TOKENS.format('phrase')} AS t FROM qs WHERE q % 4 <> 0),

@@ -120,3 +120,25 @@ def test_duplicates_are_compared_by_few_pairs(spark, monkeypatch):
     got = {tuple(r) for r in retrieval.duplicates_above(e, c, "id", "text").collect()}
     want = {tuple(r) for r in retrieval.duplicates(e, c, "id", "text").where("similarity >= 0.9").collect()}
     assert got == want and len(got) == 60 and {r[1] for r in got if 100 <= r[0] < 200} == {100} and sizes[-1] <= 81
+
+
+def test_few_reflections_are_ranked(spark, tmp_path, monkeypatch):
+    """Only rows that reach a query's least score are ranked, and they are what SQL gives, ties by key among them."""
+    import datetime
+
+    from pathlore.operators import retrieval
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(hours=i * 7919 % 6000 // 9), i % 40, ["click", "view", "error"][i % 3], float(i % 7 * 30 - 10), "{}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sizes, top = [], retrieval.top
+
+    def counted(df, *args):
+        sizes.append(df.count())
+        return top(df, *args)
+
+    monkeypatch.setattr(retrieval, "top", counted)
+    got = sorted(tuple(r) for r in registry.QUERIES["reflection_search"](spark, str(tmp_path)).collect())
+    assert got == by_sql("reflection_search", str(tmp_path), "events") and len(got) == 105
+    assert sizes[0] <= 6000
