@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathlore.functions import patterns as p
 from pathlore.functions.lessons import clamp, matches
+from pathlore.operators.merging import written
 
 
 def demo_confidence(good: Column, actions: Column, seconds: Column, kinds: Column) -> Column:
@@ -109,16 +110,20 @@ def waves(plan: DataFrame, needs: DataFrame, most: int = 1000) -> DataFrame:
     """(step, wave): the round in which each step may run, once all that it needs have run; steps in circles or behind them have none.
 
     ``plan`` has (step), ``needs`` (step, needed). Each round settles one wave with an anti-join of
-    the open steps with their open needs, and its result is written, so lineage doesn't grow.
+    the open steps with their open needs, and its result is written, so lineage doesn't grow. The needs of settled steps, and those
+    that were settled in a round, are left out of the next one; a need of a step that isn't there stays. Open steps and needs are
+    never broadcast, so they don't pass through the driver.
     """
     spark = plan.sparkSession
-    left, out, n = plan.select("step").distinct(), None, 0
+    left, open_needs, out, n = written(plan.select("step").distinct(), "left"), written(needs.select("step", "needed"), "needs"), None, 0
     while n < most:
-        waiting = needs.join(left.withColumnRenamed("step", "needed"), "needed", "left_semi").unionByName(needs.join(plan.select(F.col("step").alias("needed")), "needed", "left_anti"))
-        ready = left.join(waiting.select("step"), "step", "left_anti").withColumn("wave", F.lit(n)).checkpoint()
+        waiting = open_needs.select("step").hint("merge")
+        ready = written(left.join(waiting, "step", "left_anti").withColumn("wave", F.lit(n)), "ready")
         if ready.isEmpty():
             break
         out = ready if out is None else out.unionByName(ready)
-        left = left.join(ready.select("step"), "step", "left_anti").checkpoint()
+        done = ready.select("step").hint("merge")
+        left = written(left.join(done, "step", "left_anti"), "left")
+        open_needs = written(open_needs.join(done.withColumnRenamed("step", "needed"), "needed", "left_anti").select("step", "needed"), "needs")
         n += 1
     return out if out is not None else spark.createDataFrame([], f"step {plan.schema['step'].dataType.simpleString()}, wave int")

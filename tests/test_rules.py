@@ -329,3 +329,18 @@ def test_ties_take_the_smallest_key(spark):
 def test_quiet_hours_around_midnight(spark):
     at = lambda h: F.lit(datetime.datetime(2024, 1, 1, h, 0))
     assert one(spark, *[memory.quiet(at(h), 22, 7) for h in (21, 22, 6, 7)], *[memory.quiet(at(h), 1, 3) for h in (0, 1, 3)]) == (False, True, True, False, False, True, False)
+
+
+def test_waves_are_not_broadcast(spark, monkeypatch):
+    plans, written = [], relabel.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(relabel, "written", seen)
+    plan = spark.range(300).select(F.col("id").alias("step"))
+    needs = plan.where("step >= 5").selectExpr("step", "step div 5 AS needed")
+    got = {r.step: r.wave for r in relabel.waves(plan, needs).collect()}
+    assert len(got) == 300 and all(got[i] == (got[i // 5] + 1 if i >= 5 else 0) for i in got)
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
