@@ -1,8 +1,8 @@
 """Topics of sessions as their messages arrive; a session ends half an hour after its start.
 
-A session's topics are map state: each with its occurrences and the time it was last seen, the ``MOST``
-last seen at most after each message (of equally old ones those that came first). The start and the number
-of messages are value state. A session ends by a timer in event time, once the watermark is beyond its
+A session's state is one value: its start, the number of messages, and its topics in order, each with its occurrences and the time it was
+last seen, the ``MOST`` last seen at most after each message (of equally old ones those that came first). So a trigger
+reads and writes a session's state once, whatever its topics. A session ends by a timer in event time, once the watermark is beyond its
 start by more than ``LASTS_MS``, or by a message that is so far from the start; its topics are put out then,
 and a later message of the same key starts anew. Messages that are older than the watermark are dropped, and
 older ones that aren't join the session that is open.
@@ -37,8 +37,7 @@ def with_message(topics: dict[str, list[int]], terms: list[str], ms: int, most:
 class SessionTopics(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.topics = handle.getMapState("topics", "topic string", "n long, seen long, place int")
-        self.session = handle.getValueState("session", "started long, messages long")
+        self.session = handle.getValueState("session", "started long, messages long, topics array<string>, n array<long>, seen array<long>")
 
     def _rows(self, key: tuple, started: int, messages: int, topics: dict[str, list[int]]) -> list[tuple]:
         own = [(key[0], started, messages, t, n, seen, i + 1) for i, (t, (n, seen)) in enumerate(topics.items())]
@@ -47,16 +46,18 @@ class SessionTopics(StatefulProcessor):
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=COLUMNS)
 
-    def _stored(self) -> dict[str, list[int]]:
-        own = sorted((place, k[0], n, seen) for k, (n, seen, place) in self.topics.iterator())
-        return {topic: [n, seen] for _, topic, n, seen in own}
+    def _stored(self) -> tuple[int, int, dict[str, list[int]]] | None:
+        if (own := self.session.get()) is None:
+            return None
+        started, messages, topics, n, seen = own
+        return started, messages, {t: [i, ms] for t, i, ms in zip(topics, n, seen, strict=True)}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = started = None
         messages, topics, out = 0, {}, []
-        if self.session.exists():
-            before, messages = self.session.get()
-            started, topics = before, self._stored()
+        if (stored := self._stored()) is not None:
+            started, messages, topics = stored
+            before = started
         for row in pd.concat(rows).sort_values(["ms", "id"]).itertuples(index=False):
             if started is not None and row.ms - started > LASTS_MS:
                 out += self._rows(key, started, messages, topics)
@@ -68,18 +69,13 @@ class SessionTopics(StatefulProcessor):
             if before is not None:
                 self.handle.deleteTimer(before + LASTS_MS + 1)
             self.handle.registerTimer(started + LASTS_MS + 1)
-        self.session.update((started, messages))
-        self.topics.clear()
-        for place, (topic, (n, seen)) in enumerate(topics.items()):
-            self.topics.updateValue((topic,), (n, seen, place))
+        self.session.update((started, messages, list(topics), [n for n, _ in topics.values()], [seen for _, seen in topics.values()]))
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.session.exists():
-            out = self._rows(key, *self.session.get(), self._stored())
+        if (stored := self._stored()) is not None:
             self.session.clear()
-            self.topics.clear()
-            yield self._frame(out)
+            yield self._frame(self._rows(key, *stored))
 
     def close(self) -> None:
         pass

@@ -213,3 +213,35 @@ def test_reading_the_log_runs_no_tool(spark, tmp_path):
     assert all(x.at > 0 and x.ms >= 0 for x in r.runs(spark).collect()) and calls.value == before
     r.delete("loud")
     assert {x.tool for x in r.runs(spark).collect()} == {"quiet"} and calls.value == before
+
+
+def test_a_session_is_one_value():
+    """A trigger reads and writes a session's state once, however many topics it has."""
+    import pandas as pd
+
+    calls, kept = [], []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept[-1] if kept else None
+
+        def update(self, value):
+            calls.append("update")
+            kept.append(value)
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+    own = topics.SessionTopics()
+    own.init(Handle())
+    rows = pd.DataFrame({"ms": [0, 1], "id": [1, 2], "terms": [[f"word{i}" for i in range(15)], ["word3", "last"]]})
+    assert [len(x) for x in own.handleInputRows((7,), iter([rows]), None)] == [0] and sorted(calls) == ["get", "timer", "update"]
+    later = pd.DataFrame({"ms": [5], "id": [3], "terms": [["last"]]})
+    list(own.handleInputRows((7,), iter([later]), None))
+    started, messages, names, n, seen = kept[-1]
+    assert (started, messages, len(names)) == (0, 3, 16) and n[names.index("word3")] == 2 and n[names.index("last")] == 2 and seen[names.index("last")] == 5
