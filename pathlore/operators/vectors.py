@@ -20,14 +20,14 @@ def hashed(docs: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -
     out, have no rows.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9_\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
-    # a word's number of uses first, so its hash is taken once for each text
-    tf = docs.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    # dealt by key once, as texts, so that no sum below is dealt again; a word's number of uses first, so its hash is taken once for each text
+    tf = docs.select(key, text).repartition(key).select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
     digest = F.md5("word")
     byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
     at = F.explode(F.array(*[F.struct((byte(4 * i) % dimensions).alias("place"), (byte(4 * i + 1) % 2 * 2 - 1).alias("sign")) for i in range(4)]))
     sums = tf.select(key, "n", at.alias("a")).groupBy(key, F.col("a.place").alias("place")).agg(F.sum(F.col("n") * F.col("a.sign")).alias("v")).where("v != 0")
-    norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norm, key).select(key, "place", (F.col("v") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return sums.select(key, "place", (F.col("v") / norm).alias("value"))
 
 
 def dense(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pathlore.operators.merging import written
 from pathlore.plans.derived import REFLECTIONS, phrase, reflections, sql_phrase
 from pathlore.plans.registry import register
 from pathlore.session import shared_folder, table
@@ -211,8 +212,8 @@ b AS (SELECT id, ('0x' || substr(d, 8 * i + 1, 2))::INT % 384 AS place, ('0x' ||
 SELECT id, place, round(v / norm, 6) AS value FROM v JOIN n USING (id)""")
 def memory_vectors(spark, sf_dir):
     """The vectors beside a store: made for what was added, then brought up to changes and deletions."""
-    store = _added(spark, sf_dir)
-    vectors = memories.with_vectors(_changed(store), memories.with_vectors(store))
+    store = written(_added(spark, sf_dir), "store")
+    vectors = memories.with_vectors(written(_changed(store), "changed"), written(memories.with_vectors(store), "vectors"))
     return vectors.select("id", "place", F.round("value", 6).alias("value"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlore.functions.text import tokens
+from pathlore.operators.merging import written
 from pathlore.operators.vectors import hashed
 
 # Kinds of entries, and kinds of brain memories.
@@ -51,7 +52,8 @@ def with_vectors(store: DataFrame, vectors: DataFrame | None = None, key: str =
     """(id, digest, place, value): the vectors beside a store, brought up to it from those that were there before.
 
     A vector is that of its content, by whose digest it is known: rows that are new or changed are embedded, rows that are gone
-    lose theirs, all others keep what they have. Contents without words have none.
+    lose theirs, all others keep what they have. Contents without words have none. What is to be embedded is written, and embedded in one
+    pass; ``vectors`` are read several times, so give written ones.
     """
     own = store.select(F.col(key).alias("id"), F.md5("content").alias("digest"), "content")
     if vectors is None:
@@ -59,6 +61,7 @@ def with_vectors(store: DataFrame, vectors: DataFrame | None = None, key: str =
     else:
         kept = vectors.join(own.select("id", "digest"), ["id", "digest"], "left_semi")
         missing = own.join(vectors.select("id", "digest").distinct(), ["id", "digest"], "left_anti")
+    missing = written(missing, "missing")
     made = hashed(missing, "id", "content").join(missing.select("id", "digest"), "id").select("id", "digest", "place", "value")
     return made if kept is None else kept.unionByName(made)
 

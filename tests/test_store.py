@@ -81,3 +81,14 @@ def test_vectors_follow_the_store(spark):
     got = {(r.id, r.place): r.value for r in memories.with_vectors(store, marked).collect()}
     want = {(r.id, r.place): r.value + (5 if r.id == "a" else 0) for r in hashed(store, "id", "content").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and {k[0] for k in got} == {"a", "b", "c", "e"}
+
+
+def test_texts_are_dealt_once(spark):
+    """However many sums a vector takes, only the texts pass from task to task."""
+    from pathlore.operators.vectors import hashed
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i} beta{i}") for i in range(9)], "id long, content string")
+    plan = hashed(docs, "id", "content")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    made = hashed(docs, "id", "content").groupBy("id").agg(F.sum(F.col("value") * F.col("value")).alias("s")).collect()
+    assert len(made) == 9 and all(abs(r.s - 1) < 1e-9 for r in made)
