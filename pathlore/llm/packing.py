@@ -31,13 +31,15 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Words, slices
+from .common import Words, slices, string_hashes
 
 CAPACITY, END_ID = 4096, 2
 #: Ids that wait for a window at once.
 POOL_IDS = 1 << 21
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 19
+#: Words whose ids a worker remembers, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 1 << 19, 1 << 25
+#: Bytes of text whose ids are looked up at once.
+SLICE_BYTES = 1 << 20
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7eß-öø-ÿÀ-ÖØ-Þ]+")
@@ -57,7 +59,8 @@ class WordTokenizer:
     Texts are split at ASCII white space, which that vocabulary drops. A word of plain letters and
     signs is lower-cased, cut into pieces and merged by a byte-pair encoder with the same merge
     ranks; any other word goes through the tokenizers library itself. Each distinct word of a
-    batch is looked up once.
+    batch is looked up once. What is remembered lies in a few arrays, as objects for each word would
+    take most of a worker's memory: words are found by hash and compared, so equal hashes do no harm.
     """
 
     def __init__(self, path: str):
@@ -72,7 +75,12 @@ class WordTokenizer:
         ranks = {bytes(symbols[c] for c in w.removesuffix(_SUFFIX)) + b"\xff" * w.endswith(_SUFFIX): i for w, i in vocab.items() if w not in special}
         ranks.setdefault(b"\xff", max(vocab.values()) + 1)  # never left alone: each byte has a word-end form
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Remembers the empty word only, which has no ids."""
+        self.known, self.ids, self.ends = pa.array([""], pa.string()), np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.hashes, self.numbers = string_hashes(self.known), np.zeros(1, np.int64)  # by hash
 
     def word(self, w: str) -> bytes:
         """The word's ids, four bytes each."""
@@ -82,24 +90,34 @@ class WordTokenizer:
             ids = self.full.encode(w, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    def places(self, vocab: pa.Array) -> np.ndarray:
+        """Numbers of distinct words among those remembered, to which new ones are added."""
+        h = string_hashes(vocab)
+        at = self.numbers[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)]
+        new = np.flatnonzero(~pc.equal(self.known.take(pa.array(at)), vocab).to_numpy(zero_copy_only=False))
+        if len(new):
+            words = vocab.take(pa.array(new))
+            found = [self.word(w) for w in words.to_pylist()]
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, words])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) >> 2 for x in found])])
+            new = new[np.argsort(h[new])]
+            among = np.searchsorted(self.hashes, h[new])
+            self.hashes, self.numbers = np.insert(self.hashes, among, h[new]), np.insert(self.numbers, among, at[new])
+        return at
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and each text's offsets in them."""
         words = Words(texts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, found = self.known, []
-        for w in words.vocab.to_pylist():
-            ids = known.get(w)
-            if ids is None:
-                known[w] = ids = self.word(w)
-            found.append(ids)
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        begin = np.cumsum(size) - size
+        if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
+            self.forget()
+        at = self.places(words.vocab)
+        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         per = size[words.codes]
         ends = np.concatenate([[0], np.cumsum(per)])
         at = np.repeat(begin[words.codes] - ends[:-1], per) + np.arange(ends[-1])
-        return flat[at], ends[words.offsets]
+        return self.ids[at], ends[words.offsets]
 
 
 @lru_cache(1)
@@ -220,7 +238,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             return pa.RecordBatch.from_arrays([pa.array(out[0], id_type), *(pa.array(x, pa.int64()) for x in out[1:7]), lists], _COLUMNS)
 
         id_type = pa.int64()
-        for s in slices(batches, "text"):
+        for s in slices(batches, "text", SLICE_BYTES):
             id_type = s.column("doc_id").type
             flat, ends = tokenizer.encode(pc.fill_null(s.column("text"), ""))
             for i, doc_id in enumerate(s.column("doc_id").to_pylist()):
@@ -228,6 +246,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 put(packer.add((doc_id, len(ids)), ids))
             if rows:
                 yield flush()
+            pa.default_memory_pool().release_unused()  # a worker lives on with what it has
         put(packer.finish())
         if rows:
             yield flush()

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -63,6 +64,29 @@ def test_ids_equal_the_library(texts):
         assert flat[ends[i] : ends[i + 1]].tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
 
 
+def test_remembered_words_take_little_memory():
+    tokenizer, n = packing.WordTokenizer(PATH), 20_000
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for k in range(8):
+        tokenizer.encode(pa.array([" ".join(f"w{k}x{i}" for i in range(n))]))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 100 * 8 * n
+
+
+def test_equal_hashes_and_forgetting(monkeypatch):
+    texts = ["a b c ab", "", " ", "b c d é \u0130x", None, "ab zz d a", "x" * 3000]
+    for hashes, remembered in ((lambda x: np.zeros(len(x), np.uint64), 1 << 19), (packing.string_hashes, 2)):
+        monkeypatch.setattr(packing, "string_hashes", hashes)
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        tokenizer = packing.WordTokenizer(PATH)
+        for own in (texts[:3], texts[3:], texts):
+            flat, ends = tokenizer.encode(pa.array(own, pa.string()))
+            for i, t in enumerate(own):
+                assert flat[ends[i] : ends[i + 1]].tolist() == TOKENIZER.encode(t or "", add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=9), st.integers(0, 60))
 def test_least_slack(lengths, target):
