@@ -94,8 +94,8 @@ def text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def ties(folded: DataFrame) -> DataFrame:
-    """(a, b): ties of the keys that share a band, each to the band's first key."""
+def to_first(held: DataFrame) -> DataFrame:
+    """(a, b): each key beside the first key that has the same ``band``, from (band, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, head = None, None
@@ -110,17 +110,21 @@ def ties(folded: DataFrame) -> DataFrame:
             if len(own := np.flatnonzero(~new)):
                 yield pa.RecordBatch.from_arrays([pa.array(first[own]), pa.array(key[own])], ["a", "b"])
 
-    dealt = folded.select(F.explode("bands").alias("band"), "key").repartition("band").sortWithinPartitions("band", "key")
-    return dealt.mapInArrow(run, "a long, b long")
+    return held.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "a long, b long")
+
+
+def ties(folded: DataFrame) -> DataFrame:
+    """(a, b): ties of the keys that share a band, each to the band's first key."""
+    return to_first(folded.select(F.explode("bands").alias("band"), "key"))
 
 
 def simhash_ties(folded: DataFrame) -> DataFrame:
     """(a, b): ties of the keys whose fingerprints differ in ``RADIUS`` bits at most, a forest of these links."""
     heads = checkpoint(folded.groupBy("fp").agg(F.min("key").alias("head")))
-    same = folded.select("fp", "key").join(heads, "fp").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
     near = simhash.links(heads.select("fp"), RADIUS)
     for end in ("a", "b"):
         near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
+    same = to_first(folded.select(F.col("fp").alias("band"), "key"))
     return same.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
 
 
