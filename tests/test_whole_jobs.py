@@ -122,6 +122,31 @@ def test_duplicates_are_compared_by_few_pairs(spark, monkeypatch):
     assert got == want and len(got) == 60 and {r[1] for r in got if 100 <= r[0] < 200} == {100} and sizes[-1] <= 81
 
 
+def test_near_copies_are_written_by_texts_and_blocks(spark, monkeypatch):
+    """Near copies that are all like each other give few rows, in many blocks too; a text that is null counts as a document."""
+    from pathlore.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "TEXTS", 32)
+    monkeypatch.setattr(retrieval, "ROWS", 16)
+    base = " ".join(f"base{j}" for j in range(150))
+    texts = {i: f"{base} own{i}" for i in range(200)} | {200 + i: f"far{i} other{i % 7} more{i % 3}" for i in range(300)} | {500 + 2 * i: None for i in range(40)}
+    d = spark.createDataFrame(list(texts.items()), "id long, text string")
+    e, c = d.where("id % 2 = 0"), d.where("id % 2 = 1")
+    sizes, written = [], retrieval.written
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.extend([out.count()] * (name == "pairs"))
+        return out
+
+    monkeypatch.setattr(retrieval, "written", counted)
+    for least in (0.5, 0.83):
+        got = {tuple(r) for r in retrieval.duplicates_above(e, c, "id", "text", least).collect()}
+        want = {tuple(r) for r in retrieval.duplicates(e, c, "id", "text").where(f"similarity >= {least}").collect()}
+        assert got == want and {(i, 0) for i in range(1, 200, 2)} <= {r[:2] for r in got}
+        assert sizes[-1] <= 100 * 15 + 300
+
+
 def test_few_reflections_are_ranked(spark, tmp_path, monkeypatch):
     """Only rows that reach a query's least score are ranked, and they are what SQL gives, ties by key among them."""
     import datetime
